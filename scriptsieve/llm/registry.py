@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import token_counts
+from . import pieces, token_counts
 
-QUERIES = {"op2_token_counts": token_counts.op2_token_counts}
+QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
+    "op2_token_counts": token_counts.op2_token_counts,
+}
 ORACLE_SQL: dict[str, str] = {}

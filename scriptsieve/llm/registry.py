@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import pieces, token_counts
+from . import pieces, quality, simhash, token_counts
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op7_quality_rules": quality.op7_quality_rules,
+    "op9_simhash": simhash.op9_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}

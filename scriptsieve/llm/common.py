@@ -57,14 +57,19 @@ def by_batch(fn: Callable[[dict[str, list]], dict[str, list]], schema: pa.Schema
 
 
 class Memo(dict):
-    """A dict that computes missing values and starts anew when it holds `most` keys, so that a worker's memory stays bounded."""
+    """A dict that computes missing values. When it holds `most` keys they become the older generation, whose keys move back
+    as they are asked for again, so that a worker's memory stays bounded and frequent keys stay."""
 
-    def __init__(self, fn: Callable, most: int = 300_000):
+    def __init__(self, fn: Callable, most: int = 500_000):
         super().__init__()
-        self.fn, self.most = fn, most
+        self.fn, self.most, self.older = fn, most, {}
 
     def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.fn(key)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.fn(key)
+        self[key] = value
         return value

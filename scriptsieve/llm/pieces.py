@@ -9,8 +9,8 @@ The public model at hand is of the BPE kind, so a path's score is whether BPE ke
 (compatible: 0, else minus infinity), which gives the library's ids exactly; the sum of piece scores would not. For a
 unigram model the same window serves with summed scores (`UnigramModel`), the usual Viterbi.
 
-Texts are cut before runs of spaces, which no piece crosses (checked against the vocabulary), and before and after
-characters that no piece holds beside each other; what is between such cuts is encoded once and remembered in a bounded
+Texts are cut before runs of spaces, which no piece crosses (checked against the vocabulary), and between a word and
+a mark that no piece has after a letter; what is between such cuts is encoded once and remembered in a bounded
 memo. Null texts count as empty; an empty text has no ids and decodes to itself; rows repeat as given.
 """
 
@@ -31,6 +31,9 @@ from . import vocabularies
 from .common import Memo, by_batch, table
 
 SPACE = "▁"
+#: Letters of the Latin blocks, and marks that may follow a word.
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+MARKS = ".,;:!?\n\"'()[]{}|*$%&#<>=+/-"
 
 
 class PieceModel:
@@ -69,9 +72,10 @@ class PieceModel:
         beside: set[tuple[str, str]] = {pair for p in self.usable for pair in zip(p, p[1:])}
         if any(b == SPACE and a != SPACE for a, b in beside):
             raise ValueError("pieces go on over a space")
-        #: Where a word character meets another kind, cut unless a piece holds such a pair.
-        plain = all(a == SPACE or bool(re.match(r"\w", a)) == bool(re.match(r"\w", b)) for a, b in beside)
-        self.cut = re.compile(rf"{SPACE}*\w+|{SPACE}*[^\w{SPACE}]+|{SPACE}+" if plain else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        #: Marks that no piece has after a Latin letter: a word ends where one of them follows.
+        after_letter = {b for a, b in beside if re.match(f"[{LATIN}]", a)}
+        marks = "".join(re.escape(c) for c in MARKS if c not in after_letter)
+        self.cut = re.compile(rf"{SPACE}*[{LATIN}]++(?=[{SPACE}{marks}])|{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def _merge_all(self, text: str, stop_at: str | None = None):
         """Plain BPE: the piece of the best score first, the leftmost among equals. With stop_at: the two parts of the last merge, if that makes the whole text."""

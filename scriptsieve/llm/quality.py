@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -98,25 +98,26 @@ def band_of(lang: str | None, text: str, bands: Mapping[str, Band]) -> Band:
     return bands["Latin" if 2 * len(_LATIN.findall(text)) >= letters else "other"]
 
 
-def measures(text: str, model: pieces.PieceModel, counter: token_counts.TokenCounter) -> tuple[int, int, float, float]:
-    """Tokens under either vocabulary, share of byte-fallback tokens, entropy of the pieces in bits."""
+def measures(text: str, model: pieces.PieceModel) -> tuple[int, float, float]:
+    """Pieces, share of byte-fallback pieces, entropy of the pieces in bits."""
     ids = np.array(model.encode(text), np.int64)
     if not len(ids):
-        return 0, 0, 0.0, 0.0
+        return 0, 0.0, 0.0
     ordered = np.sort(ids)
     runs = np.diff(np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True]))))
     first, last = min(model.bytes), max(model.bytes)
     share = float(((ids >= first) & (ids <= last)).mean()) if last - first == 255 else float(np.isin(ids, model.bytes).mean())
-    return len(ids), counter.count(text), share, math.log2(len(ids)) - float((runs * np.log2(runs)).sum()) / len(ids)
+    return len(ids), share, math.log2(len(ids)) - float((runs * np.log2(runs)).sum()) / len(ids)
 
 
-def verdict(text: str, n_pieces: int, n_bytes: int, fallback: float, entropy: float, band: Band) -> bool:
-    """Whether the fertility of a text lies in its bands; a text without tokens does not."""
-    if not n_pieces or not n_bytes:
+def verdict(text: str, n_pieces: int, fallback: float, entropy: float, band: Band, count: Callable[[str], int]) -> bool:
+    """Whether the fertility of a text lies in its bands; a text without tokens does not. The byte-level vocabulary is asked where the pieces are too short."""
+    if not n_pieces or fallback > band.fallback or n_pieces >= ENTROPY_TOKENS and not band.low <= entropy <= band.high:
         return False
-    short = len(text) / n_pieces + ALLOWANCE / math.sqrt(n_pieces) < band.pieces and len(text) / n_bytes + ALLOWANCE / math.sqrt(n_bytes) < band.bytes
-    odd = n_pieces >= ENTROPY_TOKENS and not band.low <= entropy <= band.high
-    return not (short or odd or fallback > band.fallback)
+    if len(text) / n_pieces + ALLOWANCE / math.sqrt(n_pieces) >= band.pieces:
+        return True
+    n_bytes = count(text)
+    return len(text) / n_bytes + ALLOWANCE / math.sqrt(n_bytes) >= band.bytes
 
 
 _FIELDS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("kept", "boolean"), ("n_pieces", "long"), ("fallback_share", "double"), ("entropy", "double"), ("chars_per_token", "double")]
@@ -132,8 +133,8 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         chars = len(text) - sum(map(text.count, " \t\n\r\x0b\x0c"))
         repeat = repeated_words(words)
         failed = len(words) < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * len(words)
-        n, m, share, entropy = measures(text, model, counter)
-        kept = not failed and verdict(text, n, m, share, entropy, band_of(lang, text, bands))
+        n, share, entropy = measures(text, model)
+        kept = not failed and verdict(text, n, share, entropy, band_of(lang, text, bands), counter.count)
         return len(words), chars, sum(map(text.count, SYMBOLS)), repeated_lines(text), repeat, failed, kept, n, share, entropy, len(text) / n if n else 0.0
 
     def run(rows: dict[str, list]) -> dict[str, list]:
@@ -159,7 +160,7 @@ def kept_rows(df: DataFrame, text_col: str = "text", lang_col: str = "lang", ban
                 t = t or ""
                 words = t.encode("utf-8", "surrogatepass").split()
                 ok = len(words) >= MIN_WORDS and 100 * repeated_words(words) <= MAX_REPEAT_PERCENT * len(words)
-                keep.append(ok and verdict(t, *measures(t, model, counter), band_of(lang, t, bands)))
+                keep.append(ok and verdict(t, *measures(t, model), band_of(lang, t, bands), counter.count))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

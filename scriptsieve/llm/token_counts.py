@@ -59,12 +59,20 @@ class ByteBpe:
         """The tokens of one pre-token: the lowest-ranked pair first, the leftmost among equals."""
         if len(parts) > 48:
             return self._merged_long(parts)
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = min((ranks.get(pair, 1 << 60), i) for i, pair in enumerate(zip(parts, parts[1:])))
-            if best == 1 << 60:
+        rank, none, parts = self.ranks.get, 1 << 60, list(parts)
+        found = [rank(pair, none) for pair in zip(parts, parts[1:])]
+        while found:
+            best = min(found)
+            if best == none:
                 break
-            parts = [*parts[:at], parts[at] + parts[at + 1], *parts[at + 2 :]]
+            at = found.index(best)
+            both = parts[at] + parts.pop(at + 1)
+            parts[at] = both
+            del found[at]
+            if at:
+                found[at - 1] = rank((parts[at - 1], both), none)
+            if at < len(found):
+                found[at] = rank((both, parts[at + 1]), none)
         return parts
 
     def _merged_long(self, parts: list[str]) -> list[str]:
@@ -93,11 +101,11 @@ class TokenCounter:
         self.bpe = ByteBpe(file)
         self.proven = self._prove()
         self.specials = regex.compile("|".join(map(regex.escape, self.bpe.specials))) if self.bpe.specials else None
-        self.rest = Memo(lambda s: len(self.bpe.merged(self.bpe.mapped(s))), 200_000)
+        self.starts = tuple({s[:2] for s in self.bpe.specials})
         self.chunks = Memo(self._chunk)
 
     def _prove(self) -> frozenset[str]:
-        """The vocabulary strings that are whole characters and that the merges turn into one token."""
+        """The vocabulary strings that are whole pre-tokens and that the merges turn into one token."""
         to_byte = {c: b for b, c in enumerate(self.bpe.letters)}
         found = set()
         for s in self.bpe.strings:
@@ -105,16 +113,20 @@ class TokenCounter:
                 text = bytes(to_byte[c] for c in s).decode("utf-8")
             except (UnicodeDecodeError, KeyError):
                 continue
-            if len(self.bpe.merged(list(s))) == 1:
+            if len(self.bpe.merged(list(s))) == 1 and PRE_TOKENS.findall(text) == [text]:
                 found.add(text)
         return frozenset(found)
 
     def _chunk(self, chunk: str) -> int:
         """Tokens of a piece of text that starts and ends where no pre-token goes on."""
-        if self.specials and (found := self.specials.findall(chunk)):
+        if any(s in chunk for s in self.starts) and (found := self.specials.findall(chunk)):
             return len(found) + sum(map(self._chunk, filter(None, self.specials.split(chunk))))
-        proven, rest = self.proven, self.rest
-        return sum(1 if p in proven else rest[p] for p in PRE_TOKENS.findall(chunk))
+        if chunk in self.proven:
+            return 1
+        proven, merged, mapped, total = self.proven, self.bpe.merged, self.bpe.mapped, 0
+        for p in PRE_TOKENS.findall(chunk):
+            total += 1 if p in proven else len(merged(mapped(p)))
+        return total
 
     def count(self, text: str | None) -> int:
         return sum(map(self.chunks.__getitem__, CHUNKS.findall(text))) if text else 0

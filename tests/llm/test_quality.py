@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from scriptsieve.llm import pieces, quality, token_counts, vocabularies
+from scriptsieve.llm import pieces, quality, vocabularies
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -48,8 +48,7 @@ def test_nulls_repeats_and_empty(spark):
 
 
 def test_entropy_and_share():
-    m, c = pieces.PieceModel(vocabularies.path("piece_bpe_32k.model")), token_counts.TokenCounter(vocabularies.path("byte_bpe_50k.json"))
-    n, _, share, entropy = quality.measures("\n\n", m, c)
+    n, share, entropy = quality.measures("\n\n", pieces.PieceModel(vocabularies.path("piece_bpe_32k.model")))
     assert n == 3 and share == pytest.approx(2 / 3) and entropy == pytest.approx(0.9182958)
 
 

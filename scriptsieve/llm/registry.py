@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import pieces, quality, simhash, token_counts
+from . import embeddings, pieces, quality, simhash, token_counts
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_token_counts": token_counts.op2_token_counts,
     "op7_quality_rules": quality.op7_quality_rules,
     "op9_simhash": simhash.op9_simhash,
+    "op3_embedding_near_dedup": embeddings.op3_embedding_near_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_near_dedup": embeddings.ORACLE}

@@ -153,9 +153,9 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Every pair, in one SQL statement; the oracle of the query.
 ORACLE = """
 with recursive v as (
-  select vec_id, list_transform(embedding, x -> x::double) as e from embeddings
-  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
-    and len(list_filter(embedding, x -> x <> 0)) > 0
+  select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), l as (
   select a.vec_id as u, b.vec_id as w from v a join v b
   on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95

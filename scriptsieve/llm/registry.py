@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, pieces, quality, simhash, token_counts
+from . import embeddings, pieces, quality, simhash, token_counts, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -10,5 +10,6 @@ QUERIES = {
     "op7_quality_rules": quality.op7_quality_rules,
     "op9_simhash": simhash.op9_simhash,
     "op3_embedding_near_dedup": embeddings.op3_embedding_near_dedup,
+    "op10_warc": warc.op10_warc,
 }
-ORACLE_SQL: dict[str, str] = {"op3_embedding_near_dedup": embeddings.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_near_dedup": embeddings.ORACLE, "op10_warc": warc.ORACLE}

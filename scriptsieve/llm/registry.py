@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, pieces, quality, simhash, token_counts, warc
+from . import embeddings, pieces, quality, simhash, suffixes, token_counts, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -11,5 +11,6 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op3_embedding_near_dedup": embeddings.op3_embedding_near_dedup,
     "op10_warc": warc.op10_warc,
+    "op8_suffix_dedup": suffixes.op8_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op3_embedding_near_dedup": embeddings.ORACLE, "op10_warc": warc.ORACLE}

@@ -7,7 +7,7 @@ Method: a Gray-order hierarchical index. Distinct fingerprints are range-partiti
 into leaves; a leaf's fingerprints share their first bits. The bits that all fingerprints of a node agree on form its masked
 pattern; a child's pattern adds to that of its parent. Two nodes are compared on the bits that both patterns hold and that
 their parents did not; the differences accumulate from the top, and the whole pair of groups is dropped once they
-exceed the limit. Leaves meet by an equi-join on the first bits with up to `bits` of them flipped, each pair once.
+exceed the limit. Leaves are sent to the pairs of first bits that differ in up to `bits` of them, and meet there once.
 
 A pair of leaves yields a spanning forest of its links, never all pairs; components are joined by stars. Exact copies share
 a fingerprint and are one row of the index. Null and empty texts have fingerprint zero, which links like any other. Rows with
@@ -31,7 +31,7 @@ from .components import Forest, components
 
 SEED = 42
 #: Fingerprints that a leaf holds on average and at most.
-LEAF, LEAF_MOST = 2048, 4096
+LEAF, LEAF_MOST = 8192, 16384
 FAN = 8
 #: Node pairs that are compared at once.
 AT_ONCE = 1 << 19
@@ -145,68 +145,70 @@ def _compare(left, right, level, i, j, seen, differ, bits, own):
 
 
 def leaves(distinct: DataFrame, depth: int) -> DataFrame:
-    """Packs rows (fp, rep) in Gray order into leaves: prefix (the first `depth` bits), leaf (its least Gray rank), fps, reps."""
-    spark = distinct.sparkSession
-    schema = pa.schema([("prefix", pa.int64()), ("leaf", pa.int64()), ("fps", pa.binary()), ("reps", pa.binary())])
+    """Packs the column fp in Gray order into leaves: prefix (the first `depth` bits), fps."""
+    schema = pa.schema([("prefix", pa.int64()), ("fps", pa.binary())])
 
     def run(batches):
-        fps, reps = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        fps = np.zeros(0, np.int64)
 
         def packed(last: bool):
-            nonlocal fps, reps
+            nonlocal fps
             prefix = (fps.view(np.uint64) >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(fps), np.int64)
-            cuts = np.flatnonzero(np.concatenate(([True], prefix[1:] != prefix[:-1]))) if len(fps) else np.zeros(0, np.int64)
-            ends = [*cuts[1:].tolist(), len(fps)]
-            out, done = {k: [] for k in schema.names}, 0
-            for s, e in zip(cuts.tolist(), ends):
+            cuts = np.flatnonzero(np.concatenate(([True], prefix[1:] != prefix[:-1]))).tolist() if len(fps) else []
+            found, done = [], 0
+            for s, e in zip(cuts, [*cuts[1:], len(fps)]):
                 if e == len(fps) and not last and e - s < LEAF_MOST:
                     break
-                for at in range(s, e, LEAF_MOST):
-                    part = slice(at, min(at + LEAF_MOST, e))
-                    out["prefix"].append(int(prefix[at]))
-                    out["leaf"].append(int(gray_ranks(fps[at : at + 1].view(np.uint64)).view(np.int64)[0]))
-                    out["fps"].append(fps[part].tobytes())
-                    out["reps"].append(reps[part].tobytes())
+                found += [(int(prefix[at]), fps[at : min(at + LEAF_MOST, e)].tobytes()) for at in range(s, e, LEAF_MOST)]
                 done = e
-            fps, reps = fps[done:], reps[done:]
-            return pa.RecordBatch.from_pydict(out, schema=schema)
+            fps = fps[done:]
+            return pa.RecordBatch.from_pydict({"prefix": [p for p, _ in found], "fps": [f for _, f in found]}, schema=schema)
 
         for batch in batches:
             fps = np.concatenate((fps, batch.column(0).to_numpy()))
-            reps = np.concatenate((reps, batch.column(1).to_numpy()))
             if len(fps) >= 4 * LEAF_MOST:
                 yield packed(False)
         yield packed(True)
 
-    ranked = distinct.withColumn("rank", gray_rank(F.col("fp"))).repartitionByRange(partitions(spark), "rank").sortWithinPartitions("rank")
-    return ranked.select("fp", "rep").mapInArrow(run, "prefix long, leaf long, fps binary, reps binary")
+    ranked = distinct.select("fp", gray_rank(F.col("fp")).alias("rank")).repartitionByRange(partitions(distinct.sparkSession), "rank").sortWithinPartitions("rank")
+    return ranked.select("fp").mapInArrow(run, "prefix long, fps binary")
 
 
 def links(distinct: DataFrame, n: int, bits: int) -> DataFrame:
-    """A spanning forest (u, v: reps) of the links among n rows (fp, rep) with different fingerprints."""
+    """A spanning forest (u, v: fingerprints) of the links among n rows with different fingerprints in column fp."""
     depth = max(0, min(32, round(math.log2(max(n, 1) / LEAF))))
     packed = cut(leaves(distinct, depth))
-    masks = [m for k in range(bits + 1) for m in _masks(depth, k)]
-    flips = F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))
-    asking = packed.select("leaf", "fps", "reps", "prefix", flips.alias("flip")).select(F.col("prefix").bitwiseXOR(F.col("flip")).alias("to"), F.col("prefix").alias("own"), "leaf", "fps", "reps").where("to >= own")
-    there = packed.select(F.col("prefix").alias("to"), F.col("leaf").alias("leaf_b"), F.col("fps").alias("fps_b"), F.col("reps").alias("reps_b"))
-    # Of two leaves with the same prefix, the one that sorts first asks; a leaf also asks itself.
-    pairs = asking.join(there, "to").where("own <> to or leaf <= leaf_b").select("leaf", "leaf_b", "fps", "reps", "fps_b", "reps_b")
+    flips = F.explode(F.array(*[F.lit(m).cast("long") for k in range(bits + 1) for m in _masks(depth, k)]))
+    sent = packed.select("prefix", "fps", flips.alias("flip")).withColumn("other", F.col("prefix").bitwiseXOR(F.col("flip")))
+    sent = sent.select(F.least("prefix", "other").alias("low"), F.greatest("prefix", "other").alias("high"), (F.col("prefix") > F.col("other")).alias("second"), "fps")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
+    def found(firsts, seconds):
+        own = not seconds
+        names = np.concatenate(firsts + seconds)
+        starts = np.cumsum([0, *map(len, firsts + seconds)]).tolist()
+        forest = Forest(len(names))
+        for p in range(len(firsts)):
+            for q in range(p, len(firsts)) if own else range(len(firsts), len(firsts) + len(seconds)):
+                a, b = firsts[p], None if p == q else (firsts + seconds)[q]
+                for i, j in linked(a.view(np.uint64), None if b is None else b.view(np.uint64), bits):
+                    forest.union(i + starts[p], j + starts[q])
+        u, v = forest.star(names)
+        return pa.RecordBatch.from_pydict({"u": u, "v": v}, schema=schema)
+
     def run(batches):
+        at, sides = None, ([], [])
         for batch in batches:
-            for leaf, leaf_b, fps, reps, fps_b, reps_b in zip(*(c.to_pylist() for c in batch.columns)):
-                a, names = np.frombuffer(fps, np.uint64), np.frombuffer(reps, np.int64)
-                own = leaf == leaf_b
-                b = None if own else np.frombuffer(fps_b, np.uint64)
-                forest = Forest(len(a) if own else len(a) + len(b))
-                for i, j in linked(a, b, bits):
-                    forest.union(i, j if own else j + len(a))
-                u, v = forest.star(names if own else np.concatenate((names, np.frombuffer(reps_b, np.int64))))
-                yield pa.RecordBatch.from_pydict({"u": u, "v": v}, schema=schema)
-
-    spread = pairs.repartition(4 * partitions(distinct.sparkSession), "leaf", "leaf_b")
+            for low, high, second, fps in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != (low, high):
+                    if at is not None and (at[0] == at[1] or sides[1]) and sides[0]:
+                        yield found(*sides)
+                    at, sides = (low, high), ([], [])
+                sides[second].append(np.frombuffer(fps, np.int64))
+        if at is not None and (at[0] == at[1] or sides[1]) and sides[0]:
+            yield found(*sides)
+
+    spread = sent.repartition(4 * partitions(distinct.sparkSession), "low", "high").sortWithinPartitions("low", "high", "second")
     return spread.mapInArrow(run, "u long, v long")
 
 
@@ -221,7 +223,8 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     own = cut(fingerprints(df, id_col, text_col, words))
     distinct = cut(own.groupBy("fp").agg(F.min("doc").alias("rep")).where("rep is not null"))
     found = components(links(distinct, distinct.count(), bits))
-    named = distinct.join(found, distinct.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    tree = distinct.join(found, distinct.fp == found.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+    named = tree.join(tree.groupBy("root").agg(F.min("rep").alias("component")), "root").select("fp", "component")
     return own.join(named, "fp", "left").select("doc", "fp", "component")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, mixing, pieces, quality, simhash, suffixes, token_counts, token_files, warc
+from . import embeddings, mixing, ngrams, pieces, quality, simhash, suffixes, token_counts, token_files, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -14,5 +14,6 @@ QUERIES = {
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op6_token_files": token_files.op6_token_files,
+    "op5_lm_scores": ngrams.op5_lm_scores,
 }
 ORACLE_SQL: dict[str, str] = {"op3_embedding_near_dedup": embeddings.ORACLE, "op10_warc": warc.ORACLE, "op4_mixing": mixing.ORACLE}

@@ -9,14 +9,14 @@ sorted: an anchor is a position whose 16-byte leading token has the least hash o
 windows have the same anchors at the same places, so each repeated string is seen from an anchor within it, and nothing is
 lost. The steps, each bounded by its partition:
 
-1. Anchors' token hashes go to buckets by hash, by batch; a bucket finds the tokens that occur in two documents or more.
+1. Anchors' token hashes go to buckets by ranges of the hash, by batch; a bucket finds the tokens that occur in two documents or more.
 2. Those return to their documents, which are read again; each shared anchor becomes a suffix with the bytes before it
    that a window can reach. Copies of one context in a batch are combined: the smallest id goes on, the others are covered.
 3. Suffixes go to range buckets. There a multikey quicksort by 8-byte tokens brings equal contexts together (all but the
    smallest id are covered whole), and contexts that share the leading token are compared window by window.
 4. Covered spans return to their documents and are cut out.
 
-Windows are compared by 64-bit polynomial hashes; everything else by bytes. A null text counts as empty. A null id counts as
+Windows are compared by 64-bit polynomial hashes; everything else by bytes. Documents move as compressed packs. A null text counts as empty. A null id counts as
 larger than any other, and null ids don't count against each other; rows that repeat an id are judged one by one and
 don't count against each other. Other columns are kept by `without_repeats` and not read otherwise.
 """
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +38,11 @@ from .common import partitions, table
 
 LENGTH, TOKEN = 50, 16
 REACH = LENGTH - TOKEN
-#: Bytes of text for a bucket, anchors in the splitters' sample at most, suffixes that are combined at once.
-BUCKET_BYTES, SAMPLE, COMBINE = 16 << 20, 100_000, 60_000
+#: Bytes of text for a bucket, anchors in the splitters' sample at most, suffixes that are combined at once, bytes of text that are packed at once.
+BUCKET_BYTES, SAMPLE, COMBINE, HOLD = 8 << 20, 100_000, 100_000, 24 << 20
 LAST_ID = np.iinfo(np.int64).max
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
+_32 = np.uint64(32)
 _BASE = 0x5851F42D4C957F2D
 _BYTE = (np.random.default_rng(50).integers(1, 1 << 62, 256, dtype=np.int64) * 2 + 1).astype(np.uint64)
 
@@ -87,13 +89,13 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays of one or two dimensions, compressed; numbers as byte planes, rows of bytes as they are."""
     head, parts = [len(arrays)], []
     for a in arrays:
         head += [len(a), a.shape[1] if a.ndim == 2 else 0, a.dtype.itemsize, "iu".index(a.dtype.kind)]
         parts.append(a.tobytes() if a.ndim == 2 else np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(np.array(head, "<i8").tobytes() + b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(np.array(head, "<i8").tobytes() + b"".join(parts))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -230,13 +232,59 @@ def _windows(rows, before, after, ids, group):
 
 # ---- the distributed steps
 
-_MOVE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("text_key", pa.int64()), ("data", pa.binary())])
-_MOVE_DDL = "bucket int, kind int, id long, text_key long, data binary"
+_MOVE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
+_MOVE_DDL = "bucket int, kind int, data binary"
 SPANS, SUFFIXES, DOCUMENT = 0, 1, 2
 
 
 def _rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"bucket": [b for b, _, _ in found], "kind": [k for _, k, _ in found], "id": [None] * len(found), "text_key": [None] * len(found), "data": [d for _, _, d in found]}, schema=_MOVE)
+    return pa.RecordBatch.from_pydict({"bucket": [b for b, _, _ in found], "kind": [k for _, k, _ in found], "data": [d for _, _, d in found]}, schema=_MOVE)
+
+
+def _home(ids: np.ndarray, keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of documents by id and text key."""
+    h = (ids.astype(np.int64).view(np.uint64) ^ (keys.astype(np.uint64) << _32)) * _C[0]
+    h ^= h >> np.uint64(29)
+    h *= _C[1]
+    return ((h >> _32).astype(np.int64) * buckets) >> 32
+
+
+def _texts(batches) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(ids, keys, texts) of rows (id, text), about HOLD bytes at once. The key, 32 bits of a text's hash, tells rows of one id apart."""
+    ids, texts, size = [], [], 0
+
+    def held():
+        keys = np.array([xxhash.xxh64_intdigest(t) & 0xFFFFFFFF for t in texts], np.uint32)
+        return np.array(ids, np.int64), keys, texts
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            ids += part.column(0).to_pylist()
+            more = part.column(1).to_pylist()
+            texts += more
+            size += sum(map(len, more))
+            if size >= HOLD:
+                yield held()
+                ids, texts, size = [], [], 0
+    if ids:
+        yield held()
+
+
+def _document_rows(buckets: int):
+    """Documents packed by home bucket."""
+
+    def run(batches):
+        for ids, keys, texts in _texts(batches):
+            home = _home(ids, keys, buckets)
+            order = np.argsort(home, kind="stable")
+            edges = np.flatnonzero(np.concatenate(([True], np.diff(home[order]) != 0, [True])))
+            for s, e in zip(edges[:-1], edges[1:]):
+                k = order[s:e]
+                own = [texts[i] for i in k]
+                yield _rows([(int(home[k[0]]), DOCUMENT, pack(ids[k], keys[k], np.array([len(t) for t in own], np.int64), np.frombuffer(b"".join(own), np.uint8), level=3))])
+
+    return run
 
 
 def _by_bucket(bucket: np.ndarray, kind: int, *columns: np.ndarray) -> list[tuple[int, int, bytes]]:
@@ -254,56 +302,72 @@ def _anchor_rows(buckets: int):
     """Step 1, map: (token hash, document) of each batch, by ranges of the hash."""
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                home, ids, keys = (part.column(k).to_numpy() for k in (0, 2, 3))
-                found = [anchors(np.frombuffer(t, np.uint8))[1] for t in part.column(4).to_pylist()]
-                doc = np.repeat(np.arange(len(found), dtype=np.uint16), [len(x) for x in found])
-                h = np.concatenate(found) >> np.uint64(16)
-                if not len(h):
-                    continue
-                order = np.argsort(h, kind="stable")
-                h, doc = h[order], doc[order]
-                repeat = np.zeros(len(h), bool)
-                repeat[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
-                h, doc = h[~repeat], doc[~repeat]
-                bucket = (h >> np.uint64(16)).astype(np.int64) * buckets >> 32
-                edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-                out = []
-                for s, e in zip(edges[:-1], edges[1:]):
-                    used, own = np.unique(doc[s:e], return_inverse=True)
-                    step = np.diff(h[s:e], prepend=np.uint64(0))
-                    out.append((int(bucket[s]), 0, pack(step, own.astype(np.uint16), ids[used], keys[used], home[used])))
-                yield _rows(out)
+        for ids, keys, texts in _texts(batches):
+            found = [anchors(np.frombuffer(t, np.uint8))[1] for t in texts]
+            doc = np.repeat(np.arange(len(found), dtype=np.uint32), [len(x) for x in found])
+            h = np.concatenate(found) >> np.uint64(16)
+            if not len(h):
+                continue
+            order = np.argsort(h, kind="stable")
+            h, doc = h[order], doc[order]
+            repeat = np.zeros(len(h), bool)
+            repeat[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
+            h, doc = h[~repeat], doc[~repeat]
+            bucket = (h >> np.uint64(16)).astype(np.int64) * buckets >> 32
+            edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+            out = []
+            for s, e in zip(edges[:-1], edges[1:]):
+                used, own = np.unique(doc[s:e], return_inverse=True)
+                step = np.diff(h[s:e], prepend=np.uint64(0))
+                out.append((int(bucket[s]), 0, pack(step, own.astype(np.uint32), ids[used], keys[used])))
+            yield _rows(out)
 
     return run
 
 
-def _shared_rows(batches):
-    """Step 1, reduce: the tokens of a bucket that two ids or more have, by the documents' home buckets."""
-    h, doc, docs, n = [], [], [], 0
+def _by_key(batches) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """(bucket, its (kind, data)) from rows in order of bucket."""
+    at, held = None, []
     for batch in batches:
-        for blob in batch.column(4).to_pylist():
-            step, own, ids, keys, home = unpack(blob)
+        for b, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if b != at:
+                if held:
+                    yield at, held
+                at, held = b, []
+            held.append((kind, data))
+    if held:
+        yield at, held
+
+
+def _shared_rows(buckets: int):
+    """Step 1, reduce: the tokens of a bucket that two ids or more have, by the documents' home buckets."""
+
+    def one(blobs):
+        h, doc, docs, n = [], [], [], 0
+        for _, blob in blobs:
+            step, own, ids, keys = unpack(blob)
             h.append(np.cumsum(step, dtype=np.uint64))
             doc.append(own.astype(np.int64) + n)
-            docs.append((ids, keys, home))
+            docs.append((ids, keys))
             n += len(ids)
-    if not n:
-        return
-    h, doc = np.concatenate(h), np.concatenate(doc)
-    ids, keys, home = (np.concatenate([d[k] for d in docs]) for k in range(3))
-    order = np.argsort(h, kind="stable")
-    h, doc = h[order], doc[order]
-    starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    own = ids[doc]
-    sizes = np.diff(np.append(starts, len(h)))
-    shared = np.repeat(np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts), sizes)
-    h, doc = h[shared], doc[shared]
-    order = np.argsort(doc, kind="stable")
-    h, doc = h[order], doc[order]
-    yield _rows(_by_bucket(home[doc].astype(np.int64), SPANS, ids[doc], keys[doc], h))
+        h, doc = np.concatenate(h), np.concatenate(doc)
+        ids, keys = (np.concatenate([d[k] for d in docs]) for k in range(2))
+        order = np.argsort(h, kind="stable")
+        h, doc = h[order], doc[order]
+        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        own = ids[doc]
+        sizes = np.diff(np.append(starts, len(h)))
+        shared = np.repeat(np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts), sizes)
+        h, doc = h[shared], doc[shared]
+        order = np.argsort(doc, kind="stable")
+        h, doc = h[order], doc[order]
+        return _rows(_by_bucket(_home(ids[doc], keys[doc], buckets), SPANS, ids[doc], keys[doc], h))
+
+    def run(batches):
+        for _, blobs in _by_key(batches):
+            yield one(blobs)
+
+    return run
 
 
 def _lookup(found: list[list[np.ndarray]]):
@@ -324,10 +388,10 @@ def _lookup(found: list[list[np.ndarray]]):
 
 
 def _documents(batches):
-    """(bucket, id, text_key, text, values of the document) from rows in order of bucket and kind."""
+    """(id, key, text, values of the document) from rows in order of bucket and kind."""
     bucket, found, get = None, [], None
     for batch in batches:
-        for b, kind, i, k, data in zip(*(c.to_pylist() for c in batch.columns)):
+        for b, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
             if b != bucket:
                 bucket, found, get = b, [], None
             if kind != DOCUMENT:
@@ -335,61 +399,67 @@ def _documents(batches):
                 continue
             if get is None:
                 get, found = _lookup(found), []
-            yield b, i, k, data, get(i, k)
+            ids, keys, lengths, raw = unpack(data)
+            raw, at = raw.tobytes(), 0
+            for i, k, n in zip(ids.tolist(), keys.tolist(), lengths.tolist()):
+                yield i, k, raw[at : at + n], get(i, k)
+                at += n
 
 
-def _suffix_rows(splitters: np.ndarray):
+def _suffix_rows(splitters: np.ndarray, buckets: int):
     """Step 2: suffixes at shared anchors, combined by batch, by range buckets; spans that a batch can tell by itself."""
 
     def run(batches):
         held, size = [], 0
-        for bucket, i, k, text, tokens in _documents(batches):
+        for i, k, text, tokens in _documents(batches):
             if tokens is None:
                 continue
             data = np.frombuffer(text, np.uint8)
             at, h = anchors(data)
             at = at[np.isin(h >> np.uint64(16), tokens[0])]
             if len(at):
-                held.append((bucket, i, k, at, *contexts(data, at)))
+                held.append((i, k, at, *contexts(data, at)))
                 size += len(at)
             if size >= COMBINE:
-                yield _rows(_combined(held, splitters))
+                yield _rows(_combined(held, splitters, buckets))
                 held, size = [], 0
         if held:
-            yield _rows(_combined(held, splitters))
+            yield _rows(_combined(held, splitters, buckets))
 
     return run
 
 
-def _combined(held, splitters):
-    sizes = [len(x[3]) for x in held]
-    home, ids, keys = (np.repeat(np.array([x[c] for x in held], np.int64), sizes) for c in range(3))
-    at, rows, before, after = (np.concatenate([x[c] for x in held]) for c in (3, 4, 5, 6))
+def _combined(held, splitters, buckets):
+    sizes = [len(x[2]) for x in held]
+    ids, keys = (np.repeat(np.array([x[c] for x in held], kind), sizes) for c, kind in enumerate((np.int64, np.uint32)))
+    at, rows, before, after = (np.concatenate([x[c] for x in held]) for c in (2, 3, 4, 5))
     covered, order, _ = combine(rows, before, after, ids)
     enough = before.astype(np.int64) + after >= REACH
     k = np.flatnonzero(covered & enough)
-    out = _by_bucket(home[k], SPANS, ids[k], keys[k], (at - before)[k].astype(np.int32), (at + TOKEN + after)[k].astype(np.int32))
+    out = _by_bucket(_home(ids[k], keys[k], buckets), SPANS, ids[k], keys[k], (at - before)[k].astype(np.int32), (at + TOKEN + after)[k].astype(np.int32))
     k = order[~covered[order]]
     lead = np.ascontiguousarray(rows[k][:, REACH : REACH + 8]).view(">u8").reshape(-1).astype(np.uint64)
-    return out + _by_bucket(np.searchsorted(splitters, lead, "right"), SUFFIXES, home[k].astype(np.int32), ids[k], keys[k], at[k].astype(np.int32), before[k], after[k], rows[k])
+    return out + _by_bucket(np.searchsorted(splitters, lead, "right"), SUFFIXES, ids[k], keys[k], at[k].astype(np.int32), before[k], after[k], rows[k])
 
 
-def _span_rows(batches):
+def _span_rows(buckets: int):
     """Step 3: a bucket's suffixes are sorted and compared; spans go to the documents' home buckets."""
-    found = []
-    for batch in batches:
-        for b, kind, _, _, data in zip(*(c.to_pylist() for c in batch.columns)):
-            if kind == SPANS:
-                yield _rows([(b, SPANS, data)])
-            else:
-                found.append(data)
-    parts = [unpack(x) for x in found]
-    if not parts:
-        return
-    home, ids, keys, at, before, after, rows = (np.concatenate([p[c] for p in parts]) for c in range(7))
-    left, right = covered_spans(rows, before, after, ids)
-    k = np.flatnonzero(left >= 0)
-    yield _rows(_by_bucket(home[k].astype(np.int64), SPANS, ids[k], keys[k], (at[k] - left[k]).astype(np.int32), (at[k] + TOKEN + right[k]).astype(np.int32)))
+
+    def run(batches):
+        for b, blobs in _by_key(batches):
+            for kind, data in blobs:
+                if kind == SPANS:
+                    yield _rows([(b, SPANS, data)])
+            parts = [unpack(data) for kind, data in blobs if kind == SUFFIXES]
+            if not parts:
+                continue
+            ids, keys, at, before, after, rows = (np.concatenate([p[c] for p in parts]) for c in range(6))
+            del parts
+            left, right = covered_spans(rows, before, after, ids)
+            k = np.flatnonzero(left >= 0)
+            yield _rows(_by_bucket(_home(ids[k], keys[k], buckets), SPANS, ids[k], keys[k], (at[k] - left[k]).astype(np.int32), (at[k] + TOKEN + right[k]).astype(np.int32)))
+
+    return run
 
 
 def kept_bytes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int]:
@@ -407,22 +477,21 @@ def kept_bytes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes
     return b"".join(out), len(begin)
 
 
-def plan(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
-    """(documents as rows to move, covered spans by home bucket, buckets)."""
+def plan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Covered spans and packed documents, dealt by home bucket and sorted by bucket and kind."""
     spark = df.sparkSession
-    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     size = df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     buckets = max(partitions(spark), math.ceil(size / BUCKET_BYTES))
-    key = F.xxhash64(text)
-    docs = df.select(
-        F.pmod(F.xxhash64(F.col(id_col).cast("long"), key), F.lit(buckets)).cast("int").alias("bucket"), F.lit(DOCUMENT).alias("kind"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST_ID))).alias("id"), key.alias("text_key"), text.alias("data"),
-    )
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST_ID))).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     splitters = _splitters(docs, size, buckets)
-    tokens = docs.mapInArrow(_anchor_rows(buckets), _MOVE_DDL).repartition(buckets, "bucket").mapInArrow(_shared_rows, _MOVE_DDL)
-    there = tokens.unionByName(docs).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    suffixes = there.mapInArrow(_suffix_rows(splitters), _MOVE_DDL).repartition(buckets, "bucket", "kind")
-    return docs, suffixes.mapInArrow(_span_rows, _MOVE_DDL), buckets
+    packed = docs.mapInArrow(_document_rows(buckets), _MOVE_DDL)
+
+    def step(rows: DataFrame, fn) -> DataFrame:
+        return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(fn, _MOVE_DDL)
+
+    tokens = step(docs.mapInArrow(_anchor_rows(buckets), _MOVE_DDL), _shared_rows(buckets))
+    spans = step(step(tokens.unionByName(packed), _suffix_rows(splitters, buckets)), _span_rows(buckets))
+    return spans.unionByName(packed).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
 
 def _splitters(docs: DataFrame, size: int, buckets: int) -> np.ndarray:
@@ -438,19 +507,19 @@ def _splitters(docs: DataFrame, size: int, buckets: int) -> np.ndarray:
                 lead = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)[at]).view(">u8").reshape(-1) if len(at) else np.zeros(0, ">u8")
                 yield pa.RecordBatch.from_pydict({"lead": [lead.astype("<u8").tobytes()]}, schema=pa.schema([("lead", pa.binary())]))
 
-    sample = docs.where(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(share)) == 0).select("data").mapInArrow(run, "lead binary")
+    sample = docs.where(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(share)) == 0).select("text").mapInArrow(run, "lead binary")
     lead = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[0], np.uint64) for r in sample.collect())]))
     return lead[(np.arange(1, buckets) * len(lead)) // buckets] if len(lead) else np.zeros(0, np.uint64)
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept_sha256 for each row of df."""
-    docs, spans, buckets = plan(df, id_col, text_col)
+    there = plan(df, id_col, text_col)
     schema = pa.schema([(id_col, pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches):
         out = []
-        for _, i, _, text, spans in _documents(batches):
+        for i, _, text, spans in _documents(batches):
             kept, n = (text, 0) if spans is None else kept_bytes(text, *spans)
             out.append((None if i == LAST_ID else i, len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest()))
             if len(out) == 4096:
@@ -459,21 +528,19 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    there = spans.unionByName(docs).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
     return there.mapInArrow(run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df with what is left of their texts. Characters that lost a byte go whole; rows of which only white space is left go, if something was removed. Ids must be distinct and not null."""
-    docs, spans, buckets = plan(df, id_col, text_col)
+    there = plan(df, id_col, text_col)
 
     def run(batches):
-        for _, i, _, text, spans in _documents(batches):
+        for i, _, text, spans in _documents(batches):
             if spans is not None:
                 kept, _ = kept_bytes(text, *spans)
                 yield pa.RecordBatch.from_pydict({"__id": pa.array([i], pa.int64()), "__left": [kept.decode("utf-8", "ignore")]})
 
-    there = spans.unionByName(docs).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
     left = there.mapInArrow(run, "__id long, __left string")
     joined = df.join(left, df[id_col] == left["__id"], "left").where("`__left` is null or `__left` rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     return joined.withColumn(text_col, F.coalesce(F.col("__left"), F.col(text_col))).select(*df.columns)

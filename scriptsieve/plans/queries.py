@@ -647,3 +647,40 @@ def pooled_vectors(spark, d):
 
     rows = table(spark, d, "conversations").select("conv_id", tokens.words(F.coalesce("text", F.lit(""))).alias("tokens"))
     return learning.standardised(learning.pooled(rows, "conv_id", 16)).select("conv_id", F.size(learning.vector_to_array("scaled")).alias("dim"))
+
+
+# ---- syntax: scripts made of a document's id, for which SQL knows what each rule matches
+
+MADE = "f(); var a{0} = 'x', b = [1, 2]; eval(b); screen.width; for (var i = 0; i < 3; i++) {{ g(i); }} if (a) {{ h(); }} while (b) {{ c.d(); }} class K {{ }} var q = [0.5, 1.5]; var w = \"canvas\";"
+
+
+def made_scripts(spark, d):
+    head, tail = MADE.replace("{{", "{").replace("}}", "}").split("{0}")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.concat(F.lit(head), F.col("doc_id"), F.lit(tail)).alias("script"))
+
+
+_FOUND = {1: 2, 2: 1, 3: 1, 4: 1, 5: 1, 7: 1, 8: 1, 9: 1, 10: 4, 11: 2, 12: 1, 13: 1, 14: 1}
+
+
+@query("ast_rule_spans", "select doc_id::varchar as key, rule::int as rule, n::bigint as n_spans, case when rule in (2, 12) then (length(doc_id::varchar) + case rule when 2 then 30 else 39 end)::bigint end as first_start from documents, (values " + ", ".join(f"({r}, {n})" for r, n in _FOUND.items()) + ") v(rule, n)")
+def rule_spans(spark, d):
+    from ..operators import script_rules
+
+    out = script_rules.match_rules(made_scripts(spark, d)).groupBy("key", "rule").agg(F.count("*").alias("n_spans"), F.min("start").cast("long").alias("start"))
+    return out.select("key", "rule", "n_spans", F.when(F.col("rule").isin(2, 12), F.col("start")).alias("first_start"))
+
+
+@query("ast17_parse_check", "select doc_id::varchar as key, doc_id % 3 <> 0 as parsed from documents")
+def parse_check(spark, d):
+    from ..operators import script_rules
+
+    s = made_scripts(spark, d).withColumn("script", F.when(F.col("key") % 3 == 0, F.concat("script", F.lit(" var = ("))).otherwise(F.col("script")))
+    return script_rules.parse_checks(s)
+
+
+@query("tok2_tree_features", "select doc_id::varchar as key, 'VariableDeclarator:a' || doc_id as feature, 1::bigint as n from documents union all select doc_id::varchar, 'MemberExpression:screen', 1 from documents")
+def tree_features(spark, d):
+    from ..operators import script_rules
+
+    f = script_rules.tree_features(made_scripts(spark, d)).select("key", F.explode("features").alias("feature"))
+    return f.where(F.col("feature").isin("MemberExpression:screen") | (F.col("feature") == F.concat(F.lit("VariableDeclarator:a"), "key"))).groupBy("key", "feature").agg(F.count("*").alias("n"))

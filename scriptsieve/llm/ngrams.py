@@ -37,7 +37,7 @@ from .suffixes import pack, unpack
 MU = 200.0
 FOLDS, HELD = 7, 2
 #: Text bytes of a shard and tokens sent at once, about.
-SHARD_BYTES, SEND = 32 << 20, 1_500_000
+SHARD_BYTES, SEND = 24 << 20, 1_500_000
 END, START = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0x57A257A257A257A2)
 _BASE = 0x9E6C63D0876A9A47 | 1
 _MASK = (1 << 64) - 1
@@ -237,6 +237,21 @@ class Trie:
 
 # ---- the distributed steps
 
+
+def _by_bucket(batches) -> Iterator[list[bytes]]:
+    """The data of each bucket, from rows in order of bucket."""
+    at, held = None, []
+    for batch in batches:
+        for b, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if b != at and held:
+                yield held
+                held = []
+            at = b
+            held.append(data)
+    if held:
+        yield held
+
+
 _MOVE = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
 _MOVE_DDL = "bucket int, data binary"
 
@@ -291,19 +306,20 @@ def _word_rows(shards: int):
 
 
 def _count_rows(batches):
-    seen, n = [], np.zeros(2, np.int64)
-    for batch in batches:
-        for data in batch.column(1).to_pylist():
-            step, more = unpack(data)
-            seen.append(np.cumsum(step, dtype=np.uint64))
-            n += more
-    kinds = len(np.unique(np.concatenate(seen))) if seen else 0
-    yield pa.RecordBatch.from_pydict({"n": [int(n[0])], "texts": [int(n[1])], "kinds": [kinds]})
+    for blobs in _by_bucket(batches):
+        parts = [unpack(data) for data in blobs]
+        kinds = len(np.unique(np.concatenate([np.cumsum(step, dtype=np.uint64) for step, _ in parts])))
+        n, texts = np.sum([more for _, more in parts], axis=0).tolist()
+        yield pa.RecordBatch.from_pydict({"n": [n], "texts": [texts], "kinds": [kinds]})
+
+
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
 
 def totals(docs: DataFrame, shards: int) -> tuple[int, int, int]:
     """Training tokens, distinct ones among them, training texts."""
-    made = docs.mapInArrow(_word_rows(shards), _MOVE_DDL).repartition(shards, "bucket").mapInArrow(_count_rows, "n long, texts long, kinds long")
+    made = _dealt(docs.mapInArrow(_word_rows(shards), _MOVE_DDL), shards).mapInArrow(_count_rows, "n long, texts long, kinds long")
     n, texts, kinds = made.agg(F.sum("n"), F.sum("texts"), F.sum("kinds")).first()
     return n or 0, kinds or 0, texts or 0
 
@@ -320,6 +336,7 @@ def _token_rows(shards: int):
             order = np.lexsort((before, h))
             h, before, text = h[order], before[order], text[order]
             home, ids, keys, train = (np.array([d[c] for d in docs], np.int64) for c in range(4))
+            keys = keys.astype(np.uint32)
             out = []
             for s, (x, b, t) in _cut(_shard(h, shards), h, before, text):
                 used, own = np.unique(t, return_inverse=True)
@@ -347,16 +364,13 @@ def _score_rows(n: int, kinds: int, mu: float):
     """Of each shard: its trie from the training tokens, the sums of all texts by home bucket."""
     total = float(n + kinds + 1)
 
-    def run(batches):
+    def one(blobs):
         parts, docs, size = [], [], 0
-        for batch in batches:
-            for data in batch.column(1).to_pylist():
-                step, before, text, home, ids, keys, train = unpack(data)
-                parts.append((np.cumsum(step, dtype=np.uint64), before, text.astype(np.int64) + size))
-                docs.append((home, ids, keys, train))
-                size += len(home)
-        if not parts:
-            return
+        for data in blobs:
+            step, before, text, home, ids, keys, train = unpack(data)
+            parts.append((np.cumsum(step, dtype=np.uint64), before, text.astype(np.int64) + size))
+            docs.append((home, ids, keys, train))
+            size += len(home)
         h, before, text = (np.concatenate([p[c] for p in parts]) for c in range(3))
         parts.clear()
         home, ids, keys, train = (np.concatenate([d[c] for d in docs]) for c in range(4))
@@ -385,23 +399,29 @@ def _score_rows(n: int, kinds: int, mu: float):
         out = [np.bincount(text, minlength=docs_n).astype(np.int64), np.bincount(text, (c > 0)[pair], docs_n).astype(np.int64), np.bincount(text, base[pair], docs_n), np.bincount(text, score[pair], docs_n)]
         order = np.argsort(home, kind="stable")
         found = _cut(home[order], ids[order], keys[order], out[0][order].astype(np.int32), out[1][order].astype(np.int32), out[2][order].view(np.int64), out[3][order].view(np.int64))
-        yield pa.RecordBatch.from_pydict({"bucket": [b for b, _ in found], "data": [pack(*x) for _, x in found]}, schema=_MOVE)
+        return pa.RecordBatch.from_pydict({"bucket": [b for b, _ in found], "data": [pack(*x) for _, x in found]}, schema=_MOVE)
+
+    def run(batches):
+        for blobs in _by_bucket(batches):
+            yield one(blobs)
 
     return run
 
 
 def _sum_rows(batches):
-    """Sums of a home bucket's texts over all shards."""
-    parts = [unpack(d) for batch in batches for d in batch.column(1).to_pylist()]
-    if not parts:
-        return
+    """Sums of each home bucket's texts over all shards."""
+    for blobs in _by_bucket(batches):
+        yield _sums([unpack(data) for data in blobs])
+
+
+def _sums(parts):
     ids, keys, n, known, base, score = (np.concatenate([p[c] for p in parts]) for c in range(6))
     order = np.lexsort((keys, ids))
     ids, keys = ids[order], keys[order]
     first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]))))
     add = lambda x: np.add.reduceat(x[order], first)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(ids[first], mask=ids[first] == NULL), pa.array(keys[first]), pa.array(add(n.astype(np.int64))), pa.array(add(known.astype(np.int64))), pa.array(add(base.view(np.float64))), pa.array(add(score.view(np.float64)))],
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids[first], mask=ids[first] == NULL), pa.array(keys[first].astype(np.int64)), pa.array(add(n.astype(np.int64))), pa.array(add(known.astype(np.int64))), pa.array(add(base.view(np.float64))), pa.array(add(score.view(np.float64)))],
         names=["id", "key", "n_tokens", "n_known", "base_score", "score"],
     )
 
@@ -412,13 +432,13 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: fl
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     size = df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     shards = max(2, partitions(spark) // 2, math.ceil(size / SHARD_BYTES))
-    key = F.xxhash64(text)
+    key = F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))  # tells rows of one id apart
     ids = F.col(id_col).cast("long")
     home = F.pmod(F.xxhash64(ids, key), F.lit(shards)).cast("int")
     docs = df.select(home.alias("home"), ids.alias("id"), key.alias("key"), text.alias("data"))
     n, kinds, texts = totals(docs, shards)
-    sums = docs.mapInArrow(_token_rows(shards), _MOVE_DDL).repartition(shards, "bucket").mapInArrow(_score_rows(n, kinds, mu), _MOVE_DDL)
-    sums = sums.repartition(shards, "bucket").mapInArrow(_sum_rows, "id long, key long, n_tokens long, n_known long, base_score double, score double")
+    sums = _dealt(docs.mapInArrow(_token_rows(shards), _MOVE_DDL), shards).mapInArrow(_score_rows(n, kinds, mu), _MOVE_DDL)
+    sums = _dealt(sums, shards).mapInArrow(_sum_rows, "id long, key long, n_tokens long, n_known long, base_score double, score double")
     # Rows that repeat id and text have their tokens in one sum.
     rows = docs.groupBy("id", "key").agg(F.count("*").alias("rows"))
     found = sums.join(rows, sums.id.eqNullSafe(rows.id) & (sums.key == rows.key)).select(sums.id, "n_tokens", "n_known", "base_score", "score", "rows")

@@ -33,6 +33,7 @@ SPACE = uuid.UUID("6f1c5d5e-5f43-5b0e-9d3b-0a6d3a2f9c11")
 DATE = "2024-01-01T00:00:00Z"
 #: Buckets of the id histogram, which is all that reaches the driver.
 BUCKETS = 4096
+SMALL, LARGE = 1 << 20, 256 << 20
 
 
 def record_id(page: int | None, digest: str, url: str) -> str:
@@ -105,14 +106,15 @@ def members(stream, step: int = 1 << 20) -> Iterator[bytes]:
             unpacker, out = zlib.decompressobj(31), []
 
 
-def shards(ids: DataFrame, shard_bytes: int) -> tuple[int, int, list[int]]:
-    """(least id, bucket width, shard of each bucket) from rows (id, size); at most BUCKETS rows reach the driver."""
+def shards(ids: DataFrame, shard_bytes: int | None) -> tuple[int, int, list[int]]:
+    """(least id, bucket width, shard of each bucket) from rows (id, size); at most BUCKETS rows reach the driver. Without shard_bytes a shard has a 64th of all bytes, from SMALL to LARGE."""
     least, most = ids.agg(F.min("id"), F.max("id")).first()
     if least is None:
         return 0, 1, [0]
     width = (most - least) // BUCKETS + 1
     bucket = F.floor((F.col("id").cast("decimal(20,0)") - F.lit(least).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int")
     sizes = {r[0]: r[1] for r in ids.where("id is not null").groupBy(bucket.alias("b")).agg(F.sum("size")).collect()}
+    shard_bytes = shard_bytes or min(max(sum(sizes.values()) // 64, SMALL), LARGE)
     out, held, at = [], 0, 0
     for b in range(max(sizes) + 1):
         if held and held + sizes.get(b, 0) > shard_bytes:
@@ -122,7 +124,7 @@ def shards(ids: DataFrame, shard_bytes: int) -> tuple[int, int, list[int]]:
     return least, width, out
 
 
-def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = 0, shard_bytes: int = 8 << 20, file_bytes: int = 64 << 20, date: str = DATE) -> DataFrame:
+def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = 0, shard_bytes: int | None = None, file_bytes: int = 64 << 20, date: str = DATE) -> DataFrame:
     """Writes the rows of df as WARC files under folder and returns the manifest (file, records, bytes, sha256), which is kept there as well."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("urn:none")).alias("url"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("payload"))
@@ -131,7 +133,7 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "u
     last = keyed.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("id").alias("last"))
     keyed = keyed.join(last, "digest", "left")
     bucket = F.floor((F.col("id").cast("decimal(20,0)") - F.lit(first).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int")
-    places = F.array(*[F.lit(s) for s in shard_of])
+    places = F.split(F.lit(",".join(map(str, shard_of))), ",").cast("array<int>")
     keyed = keyed.withColumn("shard", F.coalesce(F.get(places, bucket), F.lit(0)))
     keyed = keyed.withColumn("refers", F.when(F.col("last") != F.coalesce("id", F.lit(-1)), F.col("last")))
     dealt = keyed.repartitionByRange(min(max(shard_of) + 1, 4096), "shard").sortWithinPartitions("shard", "id", "digest", "url")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -39,6 +40,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows, as texts can be long: what a task holds at once outside the heap is a batch or two."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -56,12 +62,25 @@ def by_batch(fn: Callable[[dict[str, list]], dict[str, list]], schema: pa.Schema
     return run
 
 
+_MEMOS: weakref.WeakSet = weakref.WeakSet()
+
+
+def forget() -> None:
+    """Empties the memos of this worker, which a step that needs its memory for something else calls."""
+    for memo in list(_MEMOS):
+        memo.clear()
+        memo.older = {}
+
+
 class Memo(dict):
     """A dict that computes missing values. When it holds `most` keys they become the older generation, whose keys move back
     as they are asked for again, so that a worker's memory stays bounded and frequent keys stay."""
 
-    def __init__(self, fn: Callable, most: int = 500_000):
+    __hash__ = object.__hash__
+
+    def __init__(self, fn: Callable, most: int = 200_000):
         super().__init__()
+        _MEMOS.add(self)
         self.fn, self.most, self.older = fn, most, {}
 
     def __missing__(self, key):

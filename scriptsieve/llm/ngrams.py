@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import partitions, small_batches, table
 from .suffixes import pack, unpack
 
 #: Set on held-out texts of the supplied tables: 100, 200, 500 and 1000 gave -3.833, -3.809, -3.800 and -3.808 a token; the base -4.151.
@@ -430,6 +430,7 @@ def _sums(parts):
 def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = MU) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of df."""
     spark = df.sparkSession
+    small_batches(spark)
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     size = df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     shards = max(2, partitions(spark) // 2, math.ceil(size / SHARD_BYTES))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vocabularies
-from .common import Memo, by_batch, table
+from .common import Memo, by_batch, small_batches, table
 
 SPACE = "▁"
 #: Letters of the Latin blocks, and marks that may follow a word.
@@ -157,7 +157,7 @@ class PieceModel:
     def _compatible_memo(self) -> Memo:
         memo = self.__dict__.get("_pairs")
         if memo is None:
-            memo = self.__dict__["_pairs"] = Memo(lambda pair: self.compatible(*pair), 500_000)
+            memo = self.__dict__["_pairs"] = Memo(lambda pair: self.compatible(*pair), 200_000)
         return memo
 
     def _encode_part(self, part: str) -> tuple[int, ...]:
@@ -228,6 +228,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id_col, ids, n_tokens, decoded (the text that the ids decode to) and round_trip for each row. One pass without a shuffle.
 
     round_trip holds if decoding gives the text again, with each U+2581 as the space that the model takes it for; null texts count as empty."""
+    small_batches(df.sparkSession)
     file = vocabularies.path(vocabulary, folder)
 
     def run(rows: dict[str, list]) -> dict[str, list]:
@@ -242,6 +243,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def encode_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "piece_bpe_32k.model", folder: str | None = None) -> DataFrame:
     """As encode_texts, but with the crc32 of the ids (little-endian unsigned 32-bit) in place of ids and text."""
+    small_batches(df.sparkSession)
     file = vocabularies.path(vocabulary, folder)
 
     def run(rows: dict[str, list]) -> dict[str, list]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pieces, token_counts, vocabularies
-from .common import by_batch, table
+from .common import by_batch, small_batches, table
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 20
@@ -126,6 +126,7 @@ _ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bands: Mapping[str, Band] = BANDS, folder: str | None = None) -> DataFrame:
     """Figures and verdict for each row of df, in one pass without a shuffle."""
+    small_batches(df.sparkSession)
     piece_file, byte_file = vocabularies.path("piece_bpe_32k.model", folder), vocabularies.path("byte_bpe_50k.json", folder)
 
     def one(text: str, lang: str | None, model, counter) -> tuple:
@@ -149,6 +150,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def kept_rows(df: DataFrame, text_col: str = "text", lang_col: str = "lang", bands: Mapping[str, Band] = BANDS, folder: str | None = None) -> DataFrame:
     """The rows of df that the rules keep, with all their columns; rows are judged where they are read, so nothing is joined or shuffled."""
+    small_batches(df.sparkSession)
     piece_file, byte_file = vocabularies.path("piece_bpe_32k.model", folder), vocabularies.path("byte_bpe_50k.json", folder)
 
     def run(batches):

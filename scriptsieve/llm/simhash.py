@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, cut, partitions, table
+from .common import by_batch, cut, forget, partitions, small_batches, table
 from .components import Forest, components
 
 SEED = 42
@@ -60,7 +60,10 @@ def fingerprint(text: bytes, words: int) -> int:
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """doc (long), fp (long, the unsigned fingerprint's bits) for each row."""
 
+    small_batches(df.sparkSession)
+
     def run(rows: dict[str, list]) -> dict[str, list]:
+        forget()
         fps = np.array([fingerprint(t or b"", words) for t in rows["text"]], np.uint64).view(np.int64)
         return {"doc": rows["doc"], "fp": fps}
 

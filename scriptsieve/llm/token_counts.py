@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vocabularies
-from .common import Memo, by_batch, table
+from .common import Memo, by_batch, small_batches, table
 
 #: Characters with Unicode's White_Space property (fixed values).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -102,7 +102,7 @@ class TokenCounter:
         self.proven = self._prove()
         self.specials = regex.compile("|".join(map(regex.escape, self.bpe.specials))) if self.bpe.specials else None
         self.starts = tuple({s[:2] for s in self.bpe.specials})
-        self.chunks = Memo(self._chunk)
+        self.chunks = Memo(self._chunk, 300_000)
 
     def _prove(self) -> frozenset[str]:
         """The vocabulary strings that are whole pre-tokens and that the merges turn into one token."""
@@ -140,6 +140,7 @@ def counter(file: str) -> TokenCounter:
 
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", folder: str | None = None) -> DataFrame:
     """id_col, n_bytes, n_tokens for each row of df. One pass without a shuffle."""
+    small_batches(df.sparkSession)
     file, kind = vocabularies.path(vocabulary, folder), df.schema[id_col].dataType
 
     def run(rows: dict[str, list]) -> dict[str, list]:

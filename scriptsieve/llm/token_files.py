@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import files, idcoder, vocabularies
-from .common import Memo, partitions, shared_folder, table
+from .common import Memo, partitions, shared_folder, small_batches, table
 
 MAGIC, VERSION = b"TIDS", 1
 #: Ids of a section, about; text bytes of a file, about.
@@ -46,7 +46,7 @@ class WordEncoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.bits = max(1, (self.library.get_vocab_size() - 1).bit_length())
-        self.memo = Memo(self._one, 400_000)
+        self.memo = Memo(self._one, 150_000)
 
     def _one(self, word: str) -> list[int]:
         return self.library.encode(word, add_special_tokens=False).ids
@@ -94,6 +94,7 @@ def sections(stream):
 def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", end_id: int | None = 1, vocabulary_folder: str | None = None) -> DataFrame:
     """Writes the ids of df's texts under folder and returns the manifest: part, file, documents, ids. end_id is appended to each text."""
     spark, source = df.sparkSession, vocabularies.path(vocabulary, vocabulary_folder)
+    small_batches(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(partitions(spark), -(-size // FILE_BYTES))

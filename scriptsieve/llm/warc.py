@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .common import partitions, shared_folder, table
+from .common import partitions, shared_folder, small_batches, table
 
 SPACE = uuid.UUID("6f1c5d5e-5f43-5b0e-9d3b-0a6d3a2f9c11")
 DATE = "2024-01-01T00:00:00Z"
@@ -127,6 +127,7 @@ def shards(ids: DataFrame, shard_bytes: int | None) -> tuple[int, int, list[int]
 def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = 0, shard_bytes: int | None = None, file_bytes: int = 64 << 20, date: str = DATE) -> DataFrame:
     """Writes the rows of df as WARC files under folder and returns the manifest (file, records, bytes, sha256), which is kept there as well."""
     spark = df.sparkSession
+    small_batches(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("urn:none")).alias("url"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("payload"))
     first, width, shard_of = shards(rows.select("id", F.octet_length("payload").alias("size")), shard_bytes)
     keyed = rows.withColumn("digest", F.sha1("payload"))

@@ -31,15 +31,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import partitions, table
+from .common import forget, partitions, small_batches, table
 
 LENGTH, TOKEN = 50, 16
 REACH = LENGTH - TOKEN
 #: Bytes of text for a bucket, anchors in the splitters' sample at most, suffixes that are combined at once, bytes of text that are packed at once.
-BUCKET_BYTES, SAMPLE, COMBINE, HOLD = 8 << 20, 100_000, 100_000, 24 << 20
+BUCKET_BYTES, SAMPLE, COMBINE, HOLD = 8 << 20, 100_000, 100_000, 16 << 20
 LAST_ID = np.iinfo(np.int64).max
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 _32 = np.uint64(32)
@@ -249,13 +250,14 @@ def _home(ids: np.ndarray, keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> _32).astype(np.int64) * buckets) >> 32
 
 
-def _texts(batches) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """(ids, keys, texts) of rows (id, text), about HOLD bytes at once. The key, 32 bits of a text's hash, tells rows of one id apart."""
-    ids, texts, size = [], [], 0
+def _texts(batches) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], list[bytes]]]:
+    """(ids, keys, texts, other columns) of rows (id, text, rest), about HOLD bytes at once. The key, 32 bits of a text's hash, tells rows of one id apart."""
+    forget()
+    ids, texts, rest, size = [], [], [], 0
 
     def held():
         keys = np.array([xxhash.xxh64_intdigest(t) & 0xFFFFFFFF for t in texts], np.uint32)
-        return np.array(ids, np.int64), keys, texts
+        return np.array(ids, np.int64), keys, texts, rest
 
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -263,10 +265,11 @@ def _texts(batches) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
             ids += part.column(0).to_pylist()
             more = part.column(1).to_pylist()
             texts += more
+            rest += part.column(2).to_pylist()
             size += sum(map(len, more))
             if size >= HOLD:
                 yield held()
-                ids, texts, size = [], [], 0
+                ids, texts, rest, size = [], [], [], 0
     if ids:
         yield held()
 
@@ -275,14 +278,15 @@ def _document_rows(buckets: int):
     """Documents packed by home bucket."""
 
     def run(batches):
-        for ids, keys, texts in _texts(batches):
+        for ids, keys, texts, rest in _texts(batches):
             home = _home(ids, keys, buckets)
             order = np.argsort(home, kind="stable")
             edges = np.flatnonzero(np.concatenate(([True], np.diff(home[order]) != 0, [True])))
             for s, e in zip(edges[:-1], edges[1:]):
                 k = order[s:e]
-                own = [texts[i] for i in k]
-                yield _rows([(int(home[k[0]]), DOCUMENT, pack(ids[k], keys[k], np.array([len(t) for t in own], np.int64), np.frombuffer(b"".join(own), np.uint8), level=3))])
+                parts = [[x[i] for i in k] for x in (texts, rest)]
+                sizes = [np.array(list(map(len, x)), np.int64) for x in parts]
+                yield _rows([(int(home[k[0]]), DOCUMENT, pack(ids[k], keys[k], *sizes, *(np.frombuffer(b"".join(x), np.uint8) for x in parts), level=3))])
 
     return run
 
@@ -302,7 +306,7 @@ def _anchor_rows(buckets: int):
     """Step 1, map: (token hash, document) of each batch, by ranges of the hash."""
 
     def run(batches):
-        for ids, keys, texts in _texts(batches):
+        for ids, keys, texts, _ in _texts(batches):
             found = [anchors(np.frombuffer(t, np.uint8))[1] for t in texts]
             doc = np.repeat(np.arange(len(found), dtype=np.uint32), [len(x) for x in found])
             h = np.concatenate(found) >> np.uint64(16)
@@ -388,7 +392,7 @@ def _lookup(found: list[list[np.ndarray]]):
 
 
 def _documents(batches):
-    """(id, key, text, values of the document) from rows in order of bucket and kind."""
+    """(id, key, text, other columns, values of the document) from rows in order of bucket and kind."""
     bucket, found, get = None, [], None
     for batch in batches:
         for b, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
@@ -399,11 +403,11 @@ def _documents(batches):
                 continue
             if get is None:
                 get, found = _lookup(found), []
-            ids, keys, lengths, raw = unpack(data)
-            raw, at = raw.tobytes(), 0
-            for i, k, n in zip(ids.tolist(), keys.tolist(), lengths.tolist()):
-                yield i, k, raw[at : at + n], get(i, k)
-                at += n
+            ids, keys, lengths, more, raw, rest = unpack(data)
+            raw, rest, at, on = raw.tobytes(), rest.tobytes(), 0, 0
+            for i, k, n, m in zip(ids.tolist(), keys.tolist(), lengths.tolist(), more.tolist()):
+                yield i, k, raw[at : at + n], rest[on : on + m], get(i, k)
+                at, on = at + n, on + m
 
 
 def _suffix_rows(splitters: np.ndarray, buckets: int):
@@ -411,7 +415,7 @@ def _suffix_rows(splitters: np.ndarray, buckets: int):
 
     def run(batches):
         held, size = [], 0
-        for i, k, text, tokens in _documents(batches):
+        for i, k, text, _, tokens in _documents(batches):
             if tokens is None:
                 continue
             data = np.frombuffer(text, np.uint8)
@@ -477,14 +481,16 @@ def kept_bytes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes
     return b"".join(out), len(begin)
 
 
-def plan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def plan(df: DataFrame, id_col: str, text_col: str, rest: Column | None = None) -> DataFrame:
     """Covered spans and packed documents, dealt by home bucket and sorted by bucket and kind."""
     spark = df.sparkSession
+    small_batches(spark)
     size = df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     buckets = max(partitions(spark), math.ceil(size / BUCKET_BYTES))
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST_ID))).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST_ID))).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), F.lit(b"").alias("rest"))
     splitters = _splitters(docs, size, buckets)
-    packed = docs.mapInArrow(_document_rows(buckets), _MOVE_DDL)
+    moved = docs if rest is None else df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST_ID))).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), rest.cast("binary").alias("rest"))
+    packed = moved.mapInArrow(_document_rows(buckets), _MOVE_DDL)
 
     def step(rows: DataFrame, fn) -> DataFrame:
         return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(fn, _MOVE_DDL)
@@ -519,7 +525,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(batches):
         out = []
-        for i, _, text, spans in _documents(batches):
+        for i, _, text, _, spans in _documents(batches):
             kept, n = (text, 0) if spans is None else kept_bytes(text, *spans)
             out.append((None if i == LAST_ID else i, len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest()))
             if len(out) == 4096:
@@ -532,18 +538,30 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df with what is left of their texts. Characters that lost a byte go whole; rows of which only white space is left go, if something was removed. Ids must be distinct and not null."""
-    there = plan(df, id_col, text_col)
+    """The rows of df with what is left of their texts; null texts stay null. Characters that lost a byte go whole; rows of which only white space is left go, if something was removed. The other columns move with the texts."""
+    rest = F.to_json(F.struct(F.struct(*[c for c in df.columns if c != text_col]).alias("row"), F.col(text_col).isNull().alias("none")), {"ignoreNullFields": "false"})
+    there = plan(df, id_col, text_col, rest)
+    schema = pa.schema([("rest", pa.string()), ("left", pa.string())])
 
     def run(batches):
-        for i, _, text, spans in _documents(batches):
+        out = []
+        for _, _, text, rest, spans in _documents(batches):
+            kept = text.decode("utf-8", "replace")
             if spans is not None:
-                kept, _ = kept_bytes(text, *spans)
-                yield pa.RecordBatch.from_pydict({"__id": pa.array([i], pa.int64()), "__left": [kept.decode("utf-8", "ignore")]})
+                kept = kept_bytes(text, *spans)[0].decode("utf-8", "ignore")
+                if not kept.encode("utf-8").strip():
+                    continue
+            out.append((rest.decode(), kept))
+            if len(out) == 512:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], schema=schema)
 
-    left = there.mapInArrow(run, "__id long, __left string")
-    joined = df.join(left, df[id_col] == left["__id"], "left").where("`__left` is null or `__left` rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    return joined.withColumn(text_col, F.coalesce(F.col("__left"), F.col(text_col))).select(*df.columns)
+    kind = T.StructType([T.StructField("row", T.StructType([f for f in df.schema if f.name != text_col])), T.StructField("none", T.BooleanType())])
+    found = there.mapInArrow(run, "rest string, left string").select(F.from_json("rest", kind).alias("r"), F.col("left"))
+    text = F.when(~F.col("r.none"), F.col("left"))
+    return found.select(*[text.alias(c) if c == text_col else F.col("r.row").getField(c).alias(c) for c in df.columns])
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

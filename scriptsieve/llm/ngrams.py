@@ -38,7 +38,7 @@ from .suffixes import pack, unpack
 MU = 500.0
 FOLDS, HELD = 7, 2
 #: Text bytes of a shard and tokens sent at once, about.
-SHARD_BYTES, SEND = 24 << 20, 1_500_000
+SHARD_BYTES, SEND = 12 << 20, 1_000_000
 END, START = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0x57A257A257A257A2)
 _BASE = 0x9E6C63D0876A9A47 | 1
 _MASK = (1 << 64) - 1
@@ -369,20 +369,23 @@ def _score_rows(n: int, kinds: int, mu: float):
         parts, docs, size = [], [], 0
         for data in blobs:
             step, before, text, home, ids, keys, train = unpack(data)
-            parts.append((np.cumsum(step, dtype=np.uint64), before, text.astype(np.int64) + size))
+            parts.append((np.cumsum(step, dtype=np.uint64), before, text.astype(np.int32) + np.int32(size)))
             docs.append((home, ids, keys, train))
             size += len(home)
         h, before, text = (np.concatenate([p[c] for p in parts]) for c in range(3))
         parts.clear()
+        blobs.clear()
         home, ids, keys, train = (np.concatenate([d[c] for d in docs]) for c in range(4))
-        order = np.lexsort((before, h))
+        order = np.lexsort((before, h)).astype(np.int32)
         h, before, text = h[order], before[order], text[order]
+        del order
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (before[1:] != before[:-1])
         first = np.flatnonzero(new)
-        pair = np.cumsum(new) - 1
-        count = np.add.reduceat(train[text].astype(np.int64), first)
+        pair = np.cumsum(new, dtype=np.int32) - 1
+        count = np.add.reduceat(train[text], first, dtype=np.int64)
         word, pred, seen = h[first], before[first], count > 0
+        del h, before, new, first
         folder = tempfile.mkdtemp(prefix="trie-")
         try:
             trie = Trie(folder, word[seen], pred[seen], count[seen], total, mu)

@@ -10,8 +10,9 @@ the word, as one monotone sequence, with the log10 of the smoothed numerator in
 to a temporary file, mapped into memory, and queried by successor search within the word's range.
 
 The numerator and the token's part as a context (c(h) is known where h is the word) depend on one shard each, so texts send
-their tokens to the shards once and shards return sums by text: no table of words is broadcast or collected. Only N, V
-and the number of training texts reach the driver. Words are known by 64-bit hashes; a predecessor by 32 bits within the word.
+their tokens to the shards once and shards return sums by text. A word that is a fraction of a shard by itself is dealt over all shards by its
+predecessors. N, V, the number of training texts and the counts of such words (a few for each shard) reach the driver; no other
+table of words is broadcast or collected. Words are known by 64-bit hashes; a predecessor by 32 bits within the word.
 
 A null text counts as empty (the end alone); a null id trains as the text "null". Rows that repeat id and text are each
 returned and each train. Other columns are not read.
@@ -38,7 +39,9 @@ from .suffixes import pack, unpack
 MU = 500.0
 FOLDS, HELD = 7, 2
 #: Text bytes of a shard and tokens sent at once, about.
-SHARD_BYTES, SEND = 12 << 20, 1_000_000
+SHARD_BYTES, SEND = 24 << 20, 1_000_000
+#: Training tokens from which a word is dealt over all shards by its predecessors: a fraction of a shard's, so there are few such words for each shard.
+HOT = SHARD_BYTES // 64
 END, START = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0x57A257A257A257A2)
 _BASE = 0x9E6C63D0876A9A47 | 1
 _MASK = (1 << 64) - 1
@@ -187,7 +190,8 @@ class EliasFano:
 class Trie:
     """Words, their predecessors and counts, from sorted distinct pairs (word, predecessor) with counts, mapped from files in `folder`."""
 
-    def __init__(self, folder: str, word: np.ndarray, before: np.ndarray, count: np.ndarray, total: float, mu: float = MU):
+    def __init__(self, folder: str, word: np.ndarray, before: np.ndarray, count: np.ndarray, total: float, mu: float = MU, hot: tuple[np.ndarray, np.ndarray] | None = None):
+        self.hot = hot
         new = np.concatenate(([True], word[1:] != word[:-1])) if len(word) else np.zeros(0, bool)
         first = np.flatnonzero(new)
         of = np.cumsum(new) - 1
@@ -195,7 +199,7 @@ class Trie:
         # Predecessors relative to the word: each word's range starts where that before it ended.
         ends = before[np.append(first[1:], len(before)) - 1].astype(np.uint64) + np.uint64(1) if len(first) else np.zeros(0, np.uint64)
         shift = np.concatenate(([0], np.cumsum(ends)[:-1])).astype(np.uint64) if len(first) else ends
-        numerator = np.log10(count + mu * (sums[of] + 1) / total) if len(word) else np.zeros(0)
+        numerator = np.log10(count + mu * (self._whole(word[first], sums)[of] + 1) / total) if len(word) else np.zeros(0)
         parts = {
             "words": EliasFano(word[first]), "pointers": EliasFano(np.append(first, len(word))), "counts": EliasFano(np.append(0, np.cumsum(sums))),
             "shifts": EliasFano(np.append(shift, ends.sum() if len(ends) else 0)), "before": EliasFano(before.astype(np.uint64) + shift[of]) if len(word) else EliasFano(np.zeros(0, np.uint64)),
@@ -210,21 +214,29 @@ class Trie:
         self.parts = {name: EliasFano.of({k: load(f"{name}.{k}") for k in ("low", "high", "ones", "spec")}) for name in parts}
         self.steps, self.total, self.mu = load("steps"), total, mu
 
+    def _whole(self, word: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Counts over all shards: those of words that are dealt over them come from the list of such words."""
+        if self.hot is None or not len(self.hot[0]):
+            return count
+        at = np.minimum(np.searchsorted(self.hot[0], word), len(self.hot[0]) - 1)
+        return np.where(self.hot[0][at] == word, self.hot[1][at], count)
+
     def counts(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place and count of each word; count 0 if it is not in the trie."""
+        """Place of each word, -1 if it is not in the trie, and its count over all shards."""
         words = self.parts["words"]
         i = words.successor(word)
         there = np.flatnonzero(i < words.n)
         there = there[words.get(i[there]) == word[there]]
-        count = np.zeros(len(word), np.int64)
+        place, count = np.full(len(word), -1, np.int64), np.zeros(len(word), np.int64)
         totals = self.parts["counts"]
+        place[there] = i[there]
         count[there] = (totals.get(i[there] + 1) - totals.get(i[there])).astype(np.int64)
-        return i, count
+        return place, self._whole(word, count)
 
     def numerators(self, place: np.ndarray, count: np.ndarray, before: np.ndarray) -> np.ndarray:
         """log10(c(h w) + MU p(w)) of words by place and count, after predecessors."""
         out = np.log10(self.mu * (count + 1) / self.total)
-        known = np.flatnonzero(count > 0)
+        known = np.flatnonzero(place >= 0)
         i = place[known]
         sequence = self.parts["before"]
         target = before[known].astype(np.uint64) + self.parts["shifts"].get(i)
@@ -280,24 +292,24 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _word_rows(shards: int):
-    """Distinct training words of each task's texts, by shard, and how many tokens they are."""
+    """Distinct training words of each task's texts with counts, by shard, and how many texts they are of."""
 
     def run(batches):
-        hasher, held, n, texts, size = Hasher(), [], 0, 0, 0
+        hasher, held, texts, size = Hasher(), [], 0, 0
 
         def rows():
-            nonlocal held, n, texts, size
-            h = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-            out = [(s, pack(np.diff(x, prepend=np.uint64(0)), np.array([n, texts] if k == 0 else [0, 0], np.int64))) for k, (s, (x,)) in enumerate(_cut(_shard(h, shards), h))]
-            held, n, texts, size = [], 0, 0, 0
+            nonlocal held, texts, size
+            h, count = _counted(*(np.concatenate([x[c] for x in held]) for c in range(2)))
+            out = [(s, pack(np.diff(x, prepend=np.uint64(0)), c, np.array([texts if k == 0 else 0], np.int64))) for k, (s, (x, c)) in enumerate(_cut(_shard(h, shards), h, count))]
+            held, texts, size = [], 0, 0
             return pa.RecordBatch.from_pydict({"bucket": [s for s, _ in out], "data": [d for _, d in out]}, schema=_MOVE)
 
         for _, ids, _, data in _batches(batches):
             own = [t for i, t in zip(ids, data) if not held_out(i)]
             if own:
                 h, _, _ = tokens(own, hasher)
-                held.append(np.unique(h))
-                n, texts, size = n + len(h), texts + len(own), size + len(held[-1])
+                held.append(np.unique(h, return_counts=True))
+                texts, size = texts + len(own), size + len(held[-1][0])
             if size >= SEND:
                 yield rows()
         if held:
@@ -306,26 +318,38 @@ def _word_rows(shards: int):
     return run
 
 
+def _counted(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, sorted, with their counts summed."""
+    order = np.argsort(h, kind="stable")
+    h, count = h[order], count[order]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    return h[first], np.add.reduceat(count.astype(np.int64), first)
+
+
 def _count_rows(batches):
     for blobs in _by_bucket(batches):
         parts = [unpack(data) for data in blobs]
-        kinds = len(np.unique(np.concatenate([np.cumsum(step, dtype=np.uint64) for step, _ in parts])))
-        n, texts = np.sum([more for _, more in parts], axis=0).tolist()
-        yield pa.RecordBatch.from_pydict({"n": [n], "texts": [texts], "kinds": [kinds]})
+        h, count = _counted(np.concatenate([np.cumsum(step, dtype=np.uint64) for step, _, _ in parts]), np.concatenate([c for _, c, _ in parts]))
+        hot = count >= HOT
+        yield pa.RecordBatch.from_pydict({"n": [int(count.sum())], "texts": [int(sum(t[0] for _, _, t in parts))], "kinds": [len(h)], "hot": [pack(h[hot], count[hot])]})
 
 
 def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
 
-def totals(docs: DataFrame, shards: int) -> tuple[int, int, int]:
-    """Training tokens, distinct ones among them, training texts."""
-    made = _dealt(docs.mapInArrow(_word_rows(shards), _MOVE_DDL), shards).mapInArrow(_count_rows, "n long, texts long, kinds long")
-    n, texts, kinds = made.agg(F.sum("n"), F.sum("texts"), F.sum("kinds")).first()
-    return n or 0, kinds or 0, texts or 0
+def totals(docs: DataFrame, shards: int) -> tuple[int, int, int, tuple[np.ndarray, np.ndarray]]:
+    """Training tokens, distinct ones among them, training texts; and the words with HOT tokens or more, of which each has that share of all tokens, with their counts."""
+    made = _dealt(docs.mapInArrow(_word_rows(shards), _MOVE_DDL), shards).mapInArrow(_count_rows, "n long, texts long, kinds long, hot binary")
+    rows = made.collect()  # a row for each shard
+    hot = [unpack(bytes(r.hot)) for r in rows]
+    h = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in hot)])
+    count = np.concatenate([np.zeros(0, np.int64), *(c for _, c in hot)])
+    order = np.argsort(h)
+    return sum(r.n for r in rows), sum(r.kinds for r in rows), sum(r.texts for r in rows), (h[order], count[order])
 
 
-def _token_rows(shards: int):
+def _token_rows(shards: int, hot: np.ndarray):
     """The tokens of each task's texts by shard: words, predecessors and texts, sorted."""
 
     def run(batches):
@@ -334,12 +358,15 @@ def _token_rows(shards: int):
         def rows():
             nonlocal held, docs, size
             h, before, text = (np.concatenate([x[c] for x in held]) for c in range(3))
-            order = np.lexsort((before, h))
-            h, before, text = h[order], before[order], text[order]
+            shard = _shard(h, shards)
+            often = np.flatnonzero(np.isin(h, hot))
+            shard[often] = _shard((h[often] ^ before[often]) * np.uint64(0x9E3779B97F4A7C15), shards)
+            order = np.lexsort((before, h, shard))
+            h, before, text, shard = h[order], before[order], text[order], shard[order]
             home, ids, keys, train = (np.array([d[c] for d in docs], np.int64) for c in range(4))
             keys = keys.astype(np.uint32)
             out = []
-            for s, (x, b, t) in _cut(_shard(h, shards), h, before, text):
+            for s, (x, b, t) in _cut(shard, h, before, text):
                 used, own = np.unique(t, return_inverse=True)
                 out.append((s, pack(np.diff(x, prepend=np.uint64(0)), b, own.astype(np.uint32), home[used].astype(np.int32), ids[used], keys[used], train[used].astype(np.uint8))))
             held, docs, size = [], [], 0
@@ -361,7 +388,7 @@ def _token_rows(shards: int):
 NULL = -(1 << 63)
 
 
-def _score_rows(n: int, kinds: int, mu: float):
+def _score_rows(n: int, kinds: int, mu: float, hot: tuple[np.ndarray, np.ndarray]):
     """Of each shard: its trie from the training tokens, the sums of all texts by home bucket."""
     total = float(n + kinds + 1)
 
@@ -388,7 +415,7 @@ def _score_rows(n: int, kinds: int, mu: float):
         del h, before, new, first
         folder = tempfile.mkdtemp(prefix="trie-")
         try:
-            trie = Trie(folder, word[seen], pred[seen], count[seen], total, mu)
+            trie = Trie(folder, word[seen], pred[seen], count[seen], total, mu, hot)
             new_word = np.concatenate(([True], word[1:] != word[:-1]))
             at = np.flatnonzero(new_word)
             place, c = trie.counts(word[at])
@@ -441,8 +468,8 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: fl
     ids = F.col(id_col).cast("long")
     home = F.pmod(F.xxhash64(ids, key), F.lit(shards)).cast("int")
     docs = df.select(home.alias("home"), ids.alias("id"), key.alias("key"), text.alias("data"))
-    n, kinds, texts = totals(docs, shards)
-    sums = _dealt(docs.mapInArrow(_token_rows(shards), _MOVE_DDL), shards).mapInArrow(_score_rows(n, kinds, mu), _MOVE_DDL)
+    n, kinds, texts, hot = totals(docs, shards)
+    sums = _dealt(docs.mapInArrow(_token_rows(shards, hot[0]), _MOVE_DDL), shards).mapInArrow(_score_rows(n, kinds, mu, hot), _MOVE_DDL)
     sums = _dealt(sums, shards).mapInArrow(_sum_rows, "id long, key long, n_tokens long, n_known long, base_score double, score double")
     # Rows that repeat id and text have their tokens in one sum.
     rows = docs.groupBy("id", "key").agg(F.count("*").alias("rows"))

@@ -46,6 +46,16 @@ def test_hashes_are_by_word():
     assert a[2] == a[3] == a[8] == ngrams.END and before[0] == before[3] == before[4] == ngrams.START and before[1] == a[0]
 
 
+def with_hot(hot):
+    """_count_rows with another limit, in the workers as well."""
+
+    def rows(batches):
+        ngrams.HOT = hot
+        yield from ngrams._count_rows(batches)
+
+    return rows
+
+
 def same(got, want):
     assert set(got) == set(want)
     for i, w in want.items():
@@ -53,7 +63,10 @@ def same(got, want):
         assert got[i][4] == pytest.approx(w[4], rel=1e-9) and got[i][5] == pytest.approx(w[5], abs=2e-4 * w[1])
 
 
-def test_query_equals_brute_force_and_beats_the_base(spark, sf_dir):
+@pytest.mark.parametrize("hot", [ngrams.HOT, 40])
+def test_query_equals_brute_force_and_beats_the_base(spark, sf_dir, monkeypatch, hot):
+    monkeypatch.setattr(ngrams, "HOT", hot)
+    monkeypatch.setattr(ngrams, "_count_rows", with_hot(hot))
     sf_dir = sf_dir.replace("sf0.001", "sf0.01")
     rows = [(d.doc_id, d.text) for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = {r.doc_id: tuple(r)[1:] for r in ngrams.op5_lm_scores(spark, sf_dir).collect()}

@@ -132,16 +132,19 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "u
     first, width, shard_of = shards(rows.select("id", F.octet_length("payload").alias("size")), shard_bytes)
     keyed = rows.withColumn("digest", F.sha1("payload"))
     last = keyed.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("id").alias("last"))
-    keyed = keyed.join(last, "digest", "left")
     bucket = F.floor((F.col("id").cast("decimal(20,0)") - F.lit(first).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int")
     places = F.split(F.lit(",".join(map(str, shard_of))), ",").cast("array<int>")
     keyed = keyed.withColumn("shard", F.coalesce(F.get(places, bucket), F.lit(0)))
-    keyed = keyed.withColumn("refers", F.when(F.col("last") != F.coalesce("id", F.lit(-1)), F.col("last")))
-    dealt = keyed.repartitionByRange(min(max(shard_of) + 1, 4096), "shard").sortWithinPartitions("shard", "id", "digest", "url")
+    # Payloads move once: what a revisit refers to goes to its shard as a row of its own, before the record.
+    known = keyed.where(F.octet_length("payload") >= least).select("shard", "id", "digest").distinct().join(last, "digest").where(F.col("last") != F.coalesce("id", F.lit(-1)))
+    known = known.select("shard", "id", "digest", F.lit(0).alias("kind"), F.lit("").alias("url"), F.lit(b"").alias("payload"), F.col("last").alias("refers"))
+    records = keyed.select("shard", "id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers"))
+    dealt = known.unionByName(records).repartitionByRange(min(max(shard_of) + 1, 4096), "shard").sortWithinPartitions("shard", "id", "digest", "kind", "url")
     schema = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
     def run(batches):
         draft, shard, part, count, size, hashed = None, None, 0, 0, 0, None
+        revisit, target = None, None
 
         def closed():
             draft.commit()
@@ -149,8 +152,11 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "u
 
         try:
             for batch in batches:
-                for at, page, url, payload, refers in zip(*(c.to_pylist() for c in batch.columns)):
-                    data = member(record(page, url, payload, refers, date))
+                for at, page, digest, kind, url, payload, refers in zip(*(c.to_pylist() for c in batch.columns)):
+                    if kind == 0:
+                        revisit, target = (page, digest), refers
+                        continue
+                    data = member(record(page, url, payload, target if revisit == (page, digest) else None, date))
                     if draft is not None and (at != shard or size + len(data) > file_bytes):
                         yield closed()
                         draft, part = None, part + 1
@@ -168,7 +174,7 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "u
             if draft is not None:
                 draft.drop()
 
-    made = dealt.select("shard", "id", "url", "payload", "refers").mapInArrow(run, "file string, records long, bytes long, sha256 string")
+    made = dealt.mapInArrow(run, "file string, records long, bytes long, sha256 string")
     made.write.json(f"{folder}/manifest")
     return spark.read.schema(made.schema).json(f"{folder}/manifest")
 

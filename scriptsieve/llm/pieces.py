@@ -52,7 +52,7 @@ class PieceModel:
         self.longest = max(map(len, self.ids))
         self._order()
         self._cuts()
-        self.memo = Memo(self._encode_part)
+        self.memo = Memo(self._encode_part, 400_000)
 
     def _order(self) -> None:
         """Ranks of the merged pieces, and of each the two pieces that its last merge joins; single characters have no parts."""

@@ -1,7 +1,7 @@
 """A corpus pipeline over `documents` in five stages; each works on all rows that the one before it kept.
 
 1. quality rules: rows that fail the base figures or the fertility bands go;
-2. SimHash near-duplicates of five-word shingles, fingerprints within four of 64 bits (similarity 0.93): of each group the smallest id stays;
+2. near-duplicates: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, linked transitively: of each group the smallest id stays;
 3. suffix-array dedup: byte strings of 50 that a smaller id has too are cut out; texts of which nothing is left go;
 4. mixing: rows are sampled to source, language and topic targets;
 5. SentencePiece: the ids of each text, and the text that they decode to.
@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptsieve.llm import mixing, pieces, quality, simhash, suffixes
+from scriptsieve.llm import mixing, near_copies, pieces, quality, suffixes
 from scriptsieve.llm.common import shared_folder
 
 
@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs, words=5, bits=4)
+    return near_copies.one_of_each(docs, words=5)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

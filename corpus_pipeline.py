@@ -3,7 +3,7 @@
 1. quality rules: rows that fail the base figures or the fertility bands go;
 2. near-duplicates: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, linked transitively: of each group the smallest id stays;
 3. suffix-array dedup: byte strings of 50 that a smaller id has too are cut out; texts of which nothing is left go;
-4. mixing: rows are sampled to source, language and topic targets;
+4. mixing: rows are sampled to source, language and topic targets at the tokens that came in; rows of rare cells repeat;
 5. SentencePiece: the ids of each text, and the text that they decode to.
 
 The mixing targets follow the stage's own tokens, flattened; a sampling stage is the only one that drops clean rows.

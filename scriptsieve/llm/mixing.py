@@ -2,8 +2,11 @@
 
 Method: iterative proportional fitting. Tokens are summed by cell (source, language, topic); cell weights start at these
 sums and are raked in turn to the target share of each source, language and topic, until the rounds are done. A cell's ratio of
-weight to tokens, over the largest ratio, is the probability of its documents, so that the expected tokens of a sample have
-the raked shares; documents are drawn by a hash of their id against it.
+weight to tokens, times a factor that all cells share, is how often its documents are expected in a sample, so that the
+expected tokens of a sample have the raked shares: the whole part of it is certain, and the rest is drawn by a hash of the id.
+The factor is the target size of the sample in tokens over the tokens there are, 1 where no size is given; rows of
+under-represented cells repeat, so that a small cell takes nothing from the others. `op4_mixing` has no copies, as in its SQL:
+there the factor is 1 over the largest ratio, and the most under-represented cell sets the size of the sample.
 
 Only sums by cell and margin are shuffled, with map-side partials, so that a source with a third of all rows is a row a task.
 Null margins are the value "(none)". Null and empty texts have no tokens: they don't count in any cell and are kept with
@@ -71,25 +74,31 @@ def drawn(id_col: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
 
 
-def calibrated(df: DataFrame, targets: Mapping[str, DataFrame] | None = None, rounds: int = ROUNDS, seed: str = SEED, **columns) -> DataFrame:
-    """id, source, lang, topic, tokens, probability, sampled for each row of df."""
+def calibrated(df: DataFrame, targets: Mapping[str, DataFrame] | None = None, rounds: int = ROUNDS, seed: str = SEED, budget: int | None = None, once: bool = False, **columns) -> DataFrame:
+    """id, source, lang, topic, tokens, probability, sampled, copies for each row of df. budget: tokens of the sample; once: no row more than once, whatever size that leaves."""
     rows = cut(weighed(df, **columns))
     cells = raked(rows.where("tokens > 0").groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), targets, rounds)
     ratio = cells.select(*MARGINS, (F.col("weight") / F.col("tokens")).alias("ratio"))
-    most = ratio.agg(F.max("ratio")).first()[0] or 1.0
-    odds = ratio.select(*MARGINS, F.round(F.col("ratio") / F.lit(most), 9).alias("odds"))
-    found = rows.join(odds, list(MARGINS), "left").withColumn("probability", F.when(F.col("tokens") > 0, F.coalesce("odds", F.lit(0.0))).otherwise(F.lit(1.0)))
-    return found.select("id", *MARGINS, "tokens", "probability", (drawn(F.col("id"), seed) < F.col("probability")).alias("sampled"))
+    if once:
+        unit = ratio.agg(F.max("ratio")).first()[0] or 1.0
+    else:
+        unit = 1.0 if not budget else (cells.agg(F.sum("tokens")).first()[0] or 1) / budget
+    odds = ratio.select(*MARGINS, F.round(F.col("ratio") / F.lit(unit), 9).alias("odds"))
+    found = rows.join(odds, list(MARGINS), "left").withColumn("odds", F.when(F.col("tokens") > 0, F.coalesce("odds", F.lit(0.0))).otherwise(F.lit(1.0)))
+    whole = F.floor("odds")
+    copies = (whole + (drawn(F.col("id"), seed) < F.col("odds") - whole).cast("long")).alias("copies")
+    return found.select("id", *MARGINS, "tokens", F.least("odds", F.lit(1.0)).alias("probability"), copies).select("id", *MARGINS, "tokens", "probability", (F.col("copies") > 0).alias("sampled"), "copies")
 
 
 def sample(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The sampled rows of df, with its columns."""
-    names = calibrated(df, id_col=id_col, **options).where("sampled").select(F.col("id").alias("__sampled")).distinct()
-    return df.join(names, F.col(id_col).eqNullSafe(F.col("__sampled")), "left_semi")
+    """The sampled rows of df, with its columns, each as often as it was drawn."""
+    names = calibrated(df, id_col=id_col, **options).where("sampled").groupBy(F.col("id").alias("__sampled")).agg(F.max("copies").alias("__copies"))
+    found = df.join(names, F.col(id_col).eqNullSafe(F.col("__sampled")))
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*(df[c] for c in df.columns))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = calibrated(table(spark, sf_dir, "documents"))
+    found = calibrated(table(spark, sf_dir, "documents"), once=True)
     return found.select(F.col("id").alias("doc_id"), *MARGINS, F.col("tokens").alias("n_tokens"), "probability", "sampled")
 
 

@@ -46,3 +46,26 @@ def test_nulls_repeats_and_empty(spark):
     assert [g[:3] for g in got] == [(0, "a", 1), (1, "(none)", 0), (2, "a", 0), (3, "(none)", 2), (3, "(none)", 2)]
     assert got[1][3] == got[2][3] == 1.0 and max(g[3] for g in got if g[2]) == 1.0
     assert mixing.sample(df).columns == df.columns and mixing.sample(df.limit(0)).count() == 0
+
+
+def test_one_rare_document_takes_nothing_from_the_others(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"word{i}" for i in range(50))
+    rows = [(i, f"{text} {i}", "ab"[i % 2], "en") for i in range(2000)]
+    one = [(9999, " ".join(["rare"] * 25), "new", "en")]
+    schema = "doc_id long, text string, source string, lang string"
+    kept = collections.Counter(r.doc_id for r in corpus_pipeline.mixed(spark, spark.createDataFrame(rows + one, schema), "").collect())
+    tokens = 51 * sum(kept[r[0]] for r in rows), 25 * kept[9999]
+    assert tokens[0] > 0.9 * 51 * 2000 and sum(tokens) == pytest.approx(51 * 2000 + 25, rel=0.02)
+    share = 25**0.5 / (25**0.5 + 2 * (51 * 1000) ** 0.5)
+    assert tokens[1] == pytest.approx(share * (51 * 2000 + 25), abs=25)
+
+
+def test_sample_of_a_given_size_has_the_shares(spark):
+    rows = [(i, "one two three four", "abc"[min(i % 10, 2)], "en") for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = mixing.sample(df, budget=10_000)
+    have = {r.source: 4 * r["count"] for r in got.groupBy("source").count().collect()}
+    want = {"a": 500**0.5, "b": 500**0.5, "c": 4000**0.5}
+    assert {k: pytest.approx(10_000 * v / sum(want.values()), rel=0.1) for k, v in want.items()} == have and got.columns == df.columns

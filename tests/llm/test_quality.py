@@ -70,3 +70,28 @@ def test_rows_kept_are_those_judged_so(spark, sf_dir):
     kept = quality.kept_rows(docs)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.op7_quality_rules(spark, sf_dir).collect() if r.kept}
+
+
+@pytest.fixture(scope="module")
+def labelled(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").cache()
+
+
+def shares(docs):
+    """Shares of good and of junk texts that stay, of those that pass the base figures."""
+    got = quality.judge(docs).join(docs.select("doc_id", "quality"), "doc_id").where("not base_failed").collect()
+    good, bad = [r.kept for r in got if r.quality == 1], [r.kept for r in got if r.quality == 0]
+    assert len(good) > 100 and len(bad) > 10
+    return sum(good) / len(good), sum(bad) / len(bad)
+
+
+def test_nearly_all_junk_goes(labelled):
+    good, bad = shares(labelled)
+    assert good > 0.99 and bad < 0.05
+
+
+def test_both_vocabularies_measure_every_text():
+    asked = []
+    quality.verdict("the cat " * 30, 60, 0.0, 6.0, quality.BANDS["en"], lambda t: asked.append(t) or 60)
+    assert asked

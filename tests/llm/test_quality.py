@@ -91,6 +91,14 @@ def test_nearly_all_junk_goes(labelled):
     assert good > 0.99 and bad < 0.05
 
 
+@pytest.mark.parametrize("lang", [None, "xx", "en-US"])
+def test_junk_without_a_known_language_goes(labelled, lang):
+    from pyspark.sql import functions as F
+
+    good, bad = shares(labelled.withColumn("lang", F.lit(lang).cast("string")))
+    assert good > 0.99 and bad < 0.05
+
+
 def test_both_vocabularies_measure_every_text():
     asked = []
     quality.verdict("the cat " * 30, 60, 0.0, 6.0, quality.BANDS["en"], lambda t: asked.append(t) or 60)

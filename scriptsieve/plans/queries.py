@@ -637,7 +637,7 @@ def rf_bow_eval(spark, d):
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     rows = docs.select("doc_id", F.col("quality").cast("double").alias("label"), tokens.words(F.col("text")).alias("tokens"))
     split = sampling.hash_split(rows, "doc_id")
-    model = learning.fitted(split.where("is_train"), trees=20, depth=8, size=2000)
+    model = learning.fitted(split.where("is_train"))
     return learning.transferred({"bow": model}, {"train": split.where("is_train"), "test": split.where("not is_train")})
 
 
@@ -646,7 +646,7 @@ def pooled_vectors(spark, d):
     from ..operators import learning
 
     rows = table(spark, d, "conversations").select("conv_id", tokens.words(F.coalesce("text", F.lit(""))).alias("tokens"))
-    return learning.standardised(learning.pooled(rows, "conv_id", 16)).select("conv_id", F.size(learning.vector_to_array("scaled")).alias("dim"))
+    return learning.standardised(learning.pooled(rows, "conv_id", 64)).select("conv_id", F.size(learning.vector_to_array("scaled")).alias("dim"))
 
 
 # ---- syntax: scripts made of a document's id, for which SQL knows what each rule matches

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -74,19 +74,28 @@ def forget() -> None:
 
 class Memo(dict):
     """A dict that computes missing values. When it holds `most` keys they become the older generation, whose keys move back
-    as they are asked for again, so that a worker's memory stays bounded and frequent keys stay."""
+    as they are asked for again, so that a worker's memory stays bounded and frequent keys stay. Keys longer than `longest` aren't held."""
 
     __hash__ = object.__hash__
 
-    def __init__(self, fn: Callable, most: int = 200_000):
+    def __init__(self, fn: Callable, most: int = 200_000, longest: int = 64):
         super().__init__()
         _MEMOS.add(self)
-        self.fn, self.most, self.older = fn, most, {}
+        self.fn, self.most, self.longest, self.older = fn, most, longest, {}
+
+    def missing(self, keys: Iterable) -> list:
+        """Those of the keys that are to be held and aren't, once each; put() takes their values, so that they can be computed together."""
+        return [k for k in set(keys) if k not in self and k not in self.older and len(k) <= self.longest]
+
+    def put(self, keys: Iterable, values: Iterable) -> None:
+        self.older.update(zip(keys, values))
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.fn(key)
+            if len(key) > self.longest:
+                return value
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()

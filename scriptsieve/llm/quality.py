@@ -4,31 +4,41 @@ Base figures: words, their characters, symbols, repeated lines, and words in rep
 fertility. Two public vocabularies measure characters per token, the share of byte-fallback tokens and the entropy of the
 token distribution; a text is rejected outside the bands of its language, or of its script where the language has none.
 
-Both vocabularies measure every text that passes the base figures. A text is rejected if their joint figures score below
+Both vocabularies measure every text that passes the base figures, chunk by chunk: white space and the word after it, which no token of
+either vocabulary goes beyond (checked for the pieces against their vocabulary). What the library makes of a chunk under both is remembered in a
+memo, bounded by entries and their length. A text is rejected if their joint figures score below
 zero (characters per token of both, tokens of both per word, entropy and length, weighted by language), or if both have few
 characters per token; there each is given an allowance that shrinks with the root of the token count, so that a number, key
 or address in a short clean text does not reject it.
 
 A null text counts as empty (no words, so it fails the base rule); a null or unknown language falls back on the script; rows
-repeat as given; columns other than id, text and language are not read.
+repeat as given; an empty table gives no rows; texts of any length are measured whole, in memory that grows with the text alone; columns other
+than id, text and language are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Mapping
+from array import array
+from collections import Counter
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, token_counts, vocabularies
-from .common import by_batch, small_batches, table
+from . import token_counts, vocabularies
+from .common import Memo, by_batch, small_batches, table
 
+SPACE = "▁"
+#: Marks a count of byte-level tokens among pieces.
+COUNT = 1 << 31
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 20
 WINDOW = 8
@@ -63,6 +73,8 @@ ALLOWANCE = 2.0
 #: The entropy of fewer tokens says nothing.
 ENTROPY_TOKENS = 64
 
+#: White space and the word after it; on over a carriage return, which pieces have after marks.
+CHUNKS = re.compile("[{0}]*[^{0}]+(?:\r[{0}]*[^{0}]*)*|[{0}]+".format(token_counts.WHITE))
 _LATIN = regex.compile(r"\p{Latin}")
 _LETTER = regex.compile(r"\p{L}")
 _BLANK_LINE = re.compile(r"[ \t\r\x0b\x0c]*")
@@ -90,29 +102,104 @@ def repeated_words(words: list[bytes]) -> int:
     return int((np.cumsum(edges)[:-1] > 0).sum())
 
 
+def base_failed(words: list[bytes], repeat: int) -> bool:
+    return len(words) < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * len(words)
+
+
 def repeated_lines(text: str) -> int:
     """Lines with a word that equal an earlier line."""
     lines = [x for x in text.split("\n") if not _BLANK_LINE.fullmatch(x)] if "\n" in text else []
     return len(lines) - len(set(lines))
 
 
+def in_parts(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Slices of texts of about so many characters."""
+    at, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= chars:
+            yield texts[at : k + 1]
+            at, size = k + 1, 0
+    if at < len(texts):
+        yield texts[at:]
+
+
 def band_of(lang: str | None, text: str, bands: Mapping[str, Band]) -> Band:
     if lang in bands:
         return bands[lang]
-    letters = len(_LETTER.findall(text))
-    return bands["Latin" if 2 * len(_LATIN.findall(text)) >= letters else "other"]
-
-
-def measures(text: str, model: pieces.PieceModel) -> tuple[int, float, float]:
-    """Pieces, share of byte-fallback pieces, entropy of the pieces in bits."""
-    ids = np.array(model.encode(text), np.int64)
-    if not len(ids):
-        return 0, 0.0, 0.0
-    ordered = np.sort(ids)
-    runs = np.diff(np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True]))))
-    first, last = min(model.bytes), max(model.bytes)
-    share = float(((ids >= first) & (ids <= last)).mean()) if last - first == 255 else float(np.isin(ids, model.bytes).mean())
-    return len(ids), share, math.log2(len(ids)) - float((runs * np.log2(runs)).sum()) / len(ids)
+    counts = Counter(text)
+    letters = {c: n for c, n in counts.items() if _LETTER.match(c)}
+    return bands["Latin" if 2 * sum(n for c, n in letters.items() if _LATIN.match(c)) >= sum(letters.values()) else "other"]
+
+
+class Fertility:
+    """What both vocabularies make of a text."""
+
+    def __init__(self, piece_file: str, byte_file: str, proof: token_counts.Proof | None = None):
+        self.library = sentencepiece.SentencePieceProcessor(model_file=piece_file)
+        n = self.library.get_piece_size()
+        if n > 1 << 16:
+            raise ValueError("more than 65536 pieces")
+        white = re.compile(f"(?!\\r)[{token_counts.WHITE}]")
+        if any(white.search(p) or SPACE in p.lstrip(SPACE) for p in map(self.library.id_to_piece, range(n)) if len(p) > 1):
+            raise ValueError("pieces go on over white space")
+        self.space = self.library.piece_to_id(SPACE)
+        self.is_byte = np.array([self.library.is_byte(i) for i in range(n)])
+        self.counter = token_counts.counter(byte_file, proof)
+        self.chunks = Memo(self._chunk, 500_000)
+
+    def _chunk(self, chunk: str) -> bytes:
+        return self._together([chunk])[0]
+
+    def _together(self, chunks: list[str]) -> list[bytes]:
+        """Pieces of each chunk and how many byte-level tokens, marked by COUNT, as unsigned 32-bit numbers."""
+        ids = self.library.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
+        count = self.counter._chunk
+        return [array("I", (COUNT | count(c), *self._pieces(c, i))).tobytes() for c, i in zip(chunks, ids)]
+
+    def _pieces(self, chunk: str, ids: list[int]) -> list[int]:
+        """The pieces of a chunk from those that the library gives with a space before it, which stands alone before other white space."""
+        if chunk[0] != " " and ids[0] == self.space:
+            return ids[1:]
+        return ids or [self.space]
+
+    def measure(self, texts: list[str]) -> Iterator[tuple[int, float, float, int]]:
+        """Pieces, share of byte-fallback pieces, entropy of the pieces in bits, byte-level tokens of each text."""
+        memo = self.chunks
+        for part in in_parts(texts):
+            cut = [CHUNKS.findall(t) for t in part]
+            # As the model puts a space before a text, its first chunk is one after a space; so it is looked up with one.
+            for chunks in cut:
+                if chunks:
+                    chunks[0] = " " + chunks[0]
+            new = memo.missing(chain.from_iterable(cut))
+            memo.put(new, self._together(new))
+            for text, chunks in zip(part, cut):
+                if not chunks:
+                    yield 0, 0.0, 0.0, 0
+                    continue
+                found = np.frombuffer(b"".join(map(memo.__getitem__, chunks)), np.uint32)
+                is_count = found >= COUNT
+                counts, ids = found[is_count] & (COUNT - 1), found[~is_count]
+                n_bytes = int(counts[1:].sum(dtype=np.int64)) + self.counter.count(chunks[0][1:])
+                if SPACE in text:
+                    ids = np.array(self.library.encode(text), np.uint32)
+                ids = np.sort(ids.astype(np.uint16))
+                edges = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True])))
+                runs = np.diff(edges)
+                share = float(runs[self.is_byte[ids[edges[:-1]]]].sum() / len(ids))
+                yield len(ids), share, math.log2(len(ids)) - float((runs * np.log2(runs)).sum()) / len(ids), n_bytes
+
+
+_FERTILITY: dict[tuple[str, str], Fertility] = {}
+
+
+def fertility(piece_file: str, byte_file: str, proof: token_counts.Proof | None = None) -> Fertility:
+    """One for each worker process and pair of files."""
+    key = piece_file, byte_file
+    if key not in _FERTILITY:
+        _FERTILITY[key] = Fertility(piece_file, byte_file, proof)
+    return _FERTILITY[key]
 
 
 def joint_score(chars: int, n_words: int, n_pieces: int, n_bytes: int, entropy: float, weights: tuple[float, ...]) -> float:
@@ -121,12 +208,11 @@ def joint_score(chars: int, n_words: int, n_pieces: int, n_bytes: int, entropy:
     return math.sumprod(weights, figures)
 
 
-def verdict(text: str, n_pieces: int, fallback: float, entropy: float, band: Band, count: Callable[[str], int]) -> bool:
+def verdict(chars: int, n_words: int, n_pieces: int, fallback: float, entropy: float, n_bytes: int, band: Band) -> bool:
     """Whether the fertility of a text lies in its bands under both vocabularies; a text without tokens does not."""
     if not n_pieces or fallback > band.fallback or n_pieces >= ENTROPY_TOKENS and not band.low <= entropy <= band.high:
         return False
-    n_bytes, chars = count(text), len(text)
-    if band.joint and joint_score(chars, max(1, len(text.encode("utf-8", "surrogatepass").split())), n_pieces, n_bytes, entropy, band.joint) < 0:
+    if band.joint and joint_score(chars, max(1, n_words), n_pieces, n_bytes, entropy, band.joint) < 0:
         return False
     return chars / n_pieces + ALLOWANCE / math.sqrt(n_pieces) >= band.pieces or chars / n_bytes + ALLOWANCE / math.sqrt(n_bytes) >= band.bytes
 
@@ -135,23 +221,29 @@ _FIELDS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), (
 _ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
+def _measured(df: DataFrame, folder: str | None):
+    """Gives a worker its Fertility; the proof of the byte-level counts is made here, once."""
+    piece_file, byte_file = vocabularies.path("piece_bpe_32k.model", folder), vocabularies.path("byte_bpe_50k.json", folder)
+    proof = df.sparkSession.sparkContext.broadcast(token_counts.prove(byte_file))
+    return lambda: fertility(piece_file, byte_file, proof.value)
+
+
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bands: Mapping[str, Band] = BANDS, folder: str | None = None) -> DataFrame:
     """Figures and verdict for each row of df, in one pass without a shuffle."""
     small_batches(df.sparkSession)
-    piece_file, byte_file = vocabularies.path("piece_bpe_32k.model", folder), vocabularies.path("byte_bpe_50k.json", folder)
+    measured = _measured(df, folder)
 
-    def one(text: str, lang: str | None, model, counter) -> tuple:
+    def one(text: str, lang: str | None, n: int, share: float, entropy: float, n_bytes: int) -> tuple:
         words = text.encode("utf-8", "surrogatepass").split()
         chars = len(text) - sum(map(text.count, " \t\n\r\x0b\x0c"))
         repeat = repeated_words(words)
-        failed = len(words) < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * len(words)
-        n, share, entropy = measures(text, model)
-        kept = not failed and verdict(text, n, share, entropy, band_of(lang, text, bands), counter.count)
+        failed = base_failed(words, repeat)
+        kept = not failed and verdict(len(text), len(words), n, share, entropy, n_bytes, band_of(lang, text, bands))
         return len(words), chars, sum(map(text.count, SYMBOLS)), repeated_lines(text), repeat, failed, kept, n, share, entropy, len(text) / n if n else 0.0
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        model, counter = pieces.model(piece_file), token_counts.counter(byte_file)
-        found = [one(t or "", lang, model, counter) for t, lang in zip(rows["text"], rows["lang"])]
+        texts = [t or "" for t in rows["text"]]
+        found = [one(t, lang, *m) for t, lang, m in zip(texts, rows["lang"], measured().measure(texts))]
         return {id_col: rows["id"]} | {name: [x[i] for x in found] for i, (name, _) in enumerate(_FIELDS)}
 
     schema = pa.schema([(id_col, pa.int64()), *((name, _ARROW[kind]) for name, kind in _FIELDS)])
@@ -162,18 +254,18 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def kept_rows(df: DataFrame, text_col: str = "text", lang_col: str = "lang", bands: Mapping[str, Band] = BANDS, folder: str | None = None) -> DataFrame:
     """The rows of df that the rules keep, with all their columns; rows are judged where they are read, so nothing is joined or shuffled."""
     small_batches(df.sparkSession)
-    piece_file, byte_file = vocabularies.path("piece_bpe_32k.model", folder), vocabularies.path("byte_bpe_50k.json", folder)
+    measured = _measured(df, folder)
 
     def run(batches):
-        model, counter = pieces.model(piece_file), token_counts.counter(byte_file)
+        model = measured()
         for batch in batches:
             names = batch.schema.names
+            texts = [t or "" for t in batch.column(names.index(text_col)).to_pylist()]
+            base = [base_failed(w := t.encode("utf-8", "surrogatepass").split(), repeated_words(w)) for t in texts]
+            rest = model.measure([t for t, failed in zip(texts, base) if not failed])
             keep = []
-            for t, lang in zip(batch.column(names.index(text_col)).to_pylist(), batch.column(names.index(lang_col)).to_pylist()):
-                t = t or ""
-                words = t.encode("utf-8", "surrogatepass").split()
-                ok = len(words) >= MIN_WORDS and 100 * repeated_words(words) <= MAX_REPEAT_PERCENT * len(words)
-                keep.append(ok and verdict(t, *measures(t, model), band_of(lang, t, bands), counter.count))
+            for t, lang, failed in zip(texts, batch.column(names.index(lang_col)).to_pylist(), base):
+                keep.append(not failed and verdict(len(t), len(t.encode("utf-8", "surrogatepass").split()), *next(rest), band_of(lang, t, bands)))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -1,16 +1,21 @@
 """Token ids of whole texts in compressed binary files, in the order of the documents' ids, and their reader.
 
-A file has sections; a section has a header, a compressed table of its documents (id, count) and its blocks, each with count,
-checksum and code (`idcoder`). Texts are range-partitioned and sorted by id, one file a partition, written under a temporary name
-and moved when complete; the manifest names files, ids and documents. Memory is bounded by the section.
+A file has sections; a section has a header, a compressed table of its documents (id or null, count) and its blocks, each with count,
+checksum and code (`idcoder`); header and table have a checksum of their own. Texts are range-partitioned and sorted by id, one file a
+partition, written under a temporary name and moved when complete; the manifest names files, ids and documents. Memory is
+bounded by the section and the longest text.
 
-Each text is encoded with the tokenizers library; words between white space are encoded once and remembered in a bounded memo, as
-the vocabulary's pre-tokens end at white space. A null text counts as empty and has the end id alone. A null id comes first;
-rows that repeat an id follow each other, by the hash of their texts. Other columns are not read.
+Ids are those of the tokenizers library. Words between white space are encoded once and remembered in a bounded memo, as the
+vocabulary's pre-tokens end at white space. Words of ASCII and Latin letters are lower-cased and cut into pre-tokens here, of which
+those that are not remembered go to the library's merges; other words, and words that could hold special strings, go to it whole.
+
+A null text counts as empty and has the end id alone. A null id comes first; rows that repeat an id follow each other, by the hash of
+their texts. An empty table gives no files and no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -26,16 +31,21 @@ from tokenizers import Tokenizer
 
 from . import files, idcoder, vocabularies
 from .common import Memo, partitions, shared_folder, small_batches, table
+from .token_counts import mapped
 
-MAGIC, VERSION = b"TIDS", 1
-#: Ids of a section, about; text bytes of a file, about.
-SECTION, FILE_BYTES = 4 << 20, 16 << 20
-NULL = -(1 << 63)
-_HEAD = struct.Struct("<4sHHIIIQ")  # magic, version, bits of an id, documents, blocks, bytes of the table, bytes of the blocks
+MAGIC, VERSION = b"TIDS", 2
+#: Ids of a section, about; text bytes of a file, about; files whose sizes one task adds up.
+SECTION, FILE_BYTES, GROUP = 1 << 20, 16 << 20, 4096
+_HEAD = struct.Struct("<4sHHIIIIQ")  # magic, version, bits of an id, crc32 of the table, documents, blocks, bytes of the table, bytes of the blocks
 _BLOCK = struct.Struct("<III")  # ids, crc32, bytes of code
-WHITE = re.compile(r"\S+")
 #: Python takes these for white space, the library doesn't; texts that hold them are encoded whole.
 CONTROL = re.compile("[\x1c-\x1f]")
+#: How the vocabulary normalises texts and cuts words, checked against its file.
+NORMALIZER = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words whose lower case and pre-tokens are the same in Python: ASCII and the letters of Latin-1 that lower-case one to one.
+SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 class WordEncoder:
@@ -45,22 +55,45 @@ class WordEncoder:
         self.library = Tokenizer.from_file(file)
         self.library.no_padding()
         self.library.no_truncation()
+        self.library.encode_special_tokens = False
         self.bits = max(1, (self.library.get_vocab_size() - 1).bit_length())
-        self.memo = Memo(self._one, 150_000)
-
-    def _one(self, word: str) -> list[int]:
-        return self.library.encode(word, add_special_tokens=False).ids
-
-    def encode(self, text: str) -> list[int]:
+        self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
+        with open(file, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.words = Memo(self._word if self._simple(spec) else self._library, 400_000)
+        if self._simple(spec):
+            self.merges = self.library.model
+            self.starts = tuple({t["content"][:2] for t in spec["added_tokens"]})
+            self.pre_tokens = Memo(self._pre_token, 400_000)
+
+    @staticmethod
+    def _simple(spec: dict) -> bool:
+        """Whether words can be cut and merged here."""
+        model, cut, norm = spec["model"], spec["pre_tokenizer"] or {}, spec["normalizer"] or {}
+        parts = cut.get("pretokenizers", [{}])
+        return (
+            [n.get("type") for n in norm.get("normalizers", [])] == NORMALIZER
+            and [p.get("type") for p in parts] == ["Split", "ByteLevel"]
+            and parts[0]["pattern"] == {"Regex": PATTERN} and parts[0]["invert"] and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"]
+            and model["type"] == "BPE" and not model["dropout"] and not model["continuing_subword_prefix"] and bool(model["end_of_word_suffix"]) and not model.get("ignore_merges")
+        )
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if SIMPLE.fullmatch(word) and not any(s in word for s in self.starts):
+            return b"".join(map(self.pre_tokens.__getitem__, PRE_TOKENS.findall(word.lower())))
+        return self._library(word)
+
+    def _pre_token(self, text: str) -> bytes:
+        return np.array([t.id for t in self.merges.tokenize(mapped(text))], self.kind).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian numbers of `kind`."""
         if CONTROL.search(text):
-            return self._one(text)
-        memo = self.memo
-        words = WHITE.findall(text)
-        missing = [w for w in set(words) if w not in memo and w not in memo.older]
-        if len(missing) > 8:
-            for w, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False)):
-                memo.older[w] = e.ids
-        return [i for w in words for i in memo[w]]
+            return self._library(text)
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 @lru_cache(2)
@@ -68,27 +101,37 @@ def encoder(file: str) -> WordEncoder:
     return WordEncoder(file)
 
 
-def section(docs: list[int], counts: list[int], ids: np.ndarray, bits: int) -> bytes:
+def section(docs: list[int | None], counts: list[int], ids: np.ndarray, bits: int) -> bytes:
     blocks = idcoder.encode(ids, bits)
-    names = zlib.compress(np.array(docs, "<i8").tobytes() + np.array(counts, "<u8").tobytes(), 6)
+    none = np.array([d is None for d in docs])
+    names = zlib.compress(np.array([d or 0 for d in docs], "<i8").tobytes() + np.array(counts, "<u8").tobytes() + np.packbits(none).tobytes(), 6)
     body = b"".join(_BLOCK.pack(n, crc, len(code)) + code for n, crc, code in blocks)
-    return _HEAD.pack(MAGIC, VERSION, bits, len(docs), len(blocks), len(names), len(body)) + names + body
+    return _HEAD.pack(MAGIC, VERSION, bits, zlib.crc32(names), len(docs), len(blocks), len(names), len(body)) + names + body
 
 
 def sections(stream):
     """(documents, counts, ids) of each section of a file."""
     while head := stream.read(_HEAD.size):
-        magic, version, bits, n, blocks, size, body = _HEAD.unpack(head)
+        if len(head) < _HEAD.size:
+            raise idcoder.Damaged("the file ends inside a header")
+        magic, version, bits, crc, n, blocks, size, body = _HEAD.unpack(head)
         if magic != MAGIC or version != VERSION:
             raise idcoder.Damaged("not a section of token ids")
-        names = zlib.decompress(stream.read(size))
+        packed = stream.read(size)
+        if zlib.crc32(packed) != crc:
+            raise idcoder.Damaged("a section's table doesn't have its checksum")
+        names = zlib.decompress(packed)
         data, at, found = stream.read(body), 0, []
+        if len(names) != 16 * n + (n + 7) // 8 or len(data) != body:
+            raise idcoder.Damaged("a section doesn't have the length that its header says")
         for _ in range(blocks):
             count, crc, length = _BLOCK.unpack_from(data, at)
             at += _BLOCK.size
             found.append((count, crc, data[at : at + length]))
             at += length
-        yield np.frombuffer(names, "<i8", n), np.frombuffer(names, "<u8", n, 8 * n), idcoder.decode(found, bits)
+        none = np.unpackbits(np.frombuffer(names, np.uint8, -1, 16 * n), count=n)
+        docs = [None if x else d for d, x in zip(np.frombuffer(names, "<i8", n).tolist(), none)]
+        yield docs, np.frombuffer(names, "<u8", n, 8 * n), idcoder.decode(found, bits)
 
 
 def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", end_id: int | None = 1, vocabulary_folder: str | None = None) -> DataFrame:
@@ -103,25 +146,28 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
     def run(batches):
         part = TaskContext.get().partitionId()
         coder, draft, docs, counts, held, size, total, n = encoder(source), None, [], [], [], 0, 0, 0
+        wide = coder.kind.itemsize
+        end = b"" if end_id is None else np.array([end_id], coder.kind).tobytes()
+
+        def ended():
+            nonlocal draft, docs, counts, held, size, total, n
+            draft = draft or files.Draft(folder, f"ids-{part:06d}.bin")
+            draft.write(section(docs, counts, np.frombuffer(b"".join(held), coder.kind), coder.bits))
+            total, n = total + size, n + len(docs)
+            docs, counts, held, size = [], [], [], 0
+
         try:
             for batch in batches:
                 for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                    ids = coder.encode(text)
-                    if end_id is not None:
-                        ids.append(end_id)
-                    docs.append(NULL if doc is None else doc)
-                    counts.append(len(ids))
-                    held.append(np.array(ids, np.uint32))
-                    size += len(ids)
+                    ids = coder.encode(text) + end
+                    docs.append(doc)
+                    counts.append(len(ids) // wide)
+                    held.append(ids)
+                    size += counts[-1]
                     if size >= SECTION:
-                        draft = draft or files.Draft(folder, f"ids-{part:06d}.bin")
-                        draft.write(section(docs, counts, np.concatenate(held), coder.bits))
-                        total, n = total + size, n + len(docs)
-                        docs, counts, held, size = [], [], [], 0
+                        ended()
             if docs:
-                draft = draft or files.Draft(folder, f"ids-{part:06d}.bin")
-                draft.write(section(docs, counts, np.concatenate(held), coder.bits))
-                total, n = total + size, n + len(docs)
+                ended()
             if draft is not None:
                 draft.commit()
                 yield pa.RecordBatch.from_pydict({"part": [part], "file": [draft.name.rsplit("/", 1)[1]], "documents": [n], "ids": [total]}, schema=schema)
@@ -141,8 +187,12 @@ _READ = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(p
 
 
 def _read(manifest: DataFrame, folder: str, schema: pa.Schema, ddl: str, row) -> DataFrame:
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    placed = manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
+    # The ids before a file: those of the groups of files before its own, a row each, and those of its group's files before it.
+    before = lambda w, name: F.coalesce(F.sum("ids").over(w.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    grouped = manifest.withColumn("group", F.floor(F.col("part") / GROUP))
+    groups = grouped.groupBy("group").agg(F.sum("ids").alias("ids"))
+    groups = groups.select("group", before(Window, "group").alias("first"))
+    placed = grouped.withColumn("own", before(Window.partitionBy("group"), "part")).join(groups, "group").withColumn("start", F.col("first") + F.col("own"))
 
     def run(batches):
         for batch in batches:
@@ -151,7 +201,7 @@ def _read(manifest: DataFrame, folder: str, schema: pa.Schema, ddl: str, row) ->
                 with files.seekable(f"{folder}/{name}") as stream:
                     for docs, counts, ids in sections(stream):
                         edges = np.append(0, np.cumsum(counts.astype(np.int64)))
-                        out = [row(None if d == NULL else int(d), start + int(a), ids[a:b]) for d, a, b in zip(docs, edges[:-1], edges[1:])]
+                        out = [row(d, start + int(a), ids[a:b]) for d, a, b in zip(docs, edges[:-1], edges[1:])]
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
                         seen, start = seen + len(docs), start + int(edges[-1])
                 if seen != documents:

@@ -15,7 +15,7 @@ def library():
 
 
 def test_counts_equal_the_library(library):
-    count = token_counts.TokenCounter(FILE).count
+    count = token_counts.counter(FILE).count
     rng = random.Random(3)
     letters = "abcdeéñ漢😀 \n\t\xa0 '.,!#0129ABs t\x1c\x85　<|>"
     texts = [*ODD, *("".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(1500))]
@@ -23,15 +23,34 @@ def test_counts_equal_the_library(library):
 
 
 def test_proof_holds_for_the_library(library):
-    proven = sorted(token_counts.TokenCounter(FILE).proven)[::37]
+    proven = sorted(token_counts.prove(FILE).strings)[::37]
     assert proven and all(len(e.ids) == 1 for e in library.encode_batch(proven, add_special_tokens=False))
 
 
+def test_a_proof_of_another_file_is_refused():
+    with pytest.raises(ValueError):
+        token_counts.TokenCounter(FILE, token_counts.Proof("0", frozenset()))
+
+
+@pytest.mark.parametrize("text", ["a" * 300_000, "ab cd " * 100_000, " " * 300_000, "QmFzZTY0" * 40_000])
+def test_very_long_texts(library, text):
+    counter = token_counts.counter(FILE)
+    assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+    assert all(len(k) <= 64 for memo in (counter.chunks, counter.pre_tokens) for k in memo)
+
+
+def test_latin_1_pre_tokens_equal_the_general_ones():
+    rng = random.Random(9)
+    for _ in range(20_000):
+        text = "".join(chr(rng.randrange(256)) if rng.random() < 0.5 else rng.choice(" \n\t'slltreaB1²ª") for _ in range(rng.randrange(1, 9)))
+        assert token_counts.pre_tokens(text) == token_counts.PRE_TOKENS.findall(text)
+
+
 def test_long_merge_equals_short():
     bpe = token_counts.ByteBpe(FILE)
     rng = random.Random(5)
     for _ in range(50):
-        s = bpe.mapped("".join(rng.choices("theanringo", k=47)))
+        s = list(token_counts.mapped("".join(rng.choices("theanringo é", k=47))))
         assert bpe.merged(s) == bpe._merged_long(s)
 
 

@@ -1,7 +1,7 @@
 """Token ids of whole texts in compressed binary files, in the order of the documents' ids, and their reader.
 
-A file has sections; a section has a header, a compressed table of its documents (id or null, count) and its blocks, each with count,
-checksum and code (`idcoder`); header and table have a checksum of their own. Texts are range-partitioned and sorted by id, one file a
+A file has sections; a section has a header, a compressed table of its documents (id or null, count) and blocks (ids, checksum, bytes),
+and the blocks' code (`idcoder`); header and table have a checksum of their own. Texts are range-partitioned and sorted by id, one file a
 partition, written under a temporary name and moved when complete; the manifest names files, ids and documents. Memory is
 bounded by the section and the longest text.
 
@@ -36,8 +36,8 @@ from .token_counts import mapped
 MAGIC, VERSION = b"TIDS", 2
 #: Ids of a section, about; text bytes of a file, about; files whose sizes one task adds up.
 SECTION, FILE_BYTES, GROUP = 1 << 20, 16 << 20, 4096
-_HEAD = struct.Struct("<4sHHIIIIQ")  # magic, version, bits of an id, crc32 of the table, documents, blocks, bytes of the table, bytes of the blocks
-_BLOCK = struct.Struct("<III")  # ids, crc32, bytes of code
+_HEAD = struct.Struct("<4sHHIII")  # magic, version, bits of an id, documents, blocks, bytes of the table
+_CRC = struct.Struct("<I")  # crc32 of header and table
 #: Python takes these for white space, the library doesn't; texts that hold them are encoded whole.
 CONTROL = re.compile("[\x1c-\x1f]")
 #: How the vocabulary normalises texts and cuts words, checked against its file.
@@ -103,35 +103,35 @@ def encoder(file: str) -> WordEncoder:
 
 def section(docs: list[int | None], counts: list[int], ids: np.ndarray, bits: int) -> bytes:
     blocks = idcoder.encode(ids, bits)
-    none = np.array([d is None for d in docs])
-    names = zlib.compress(np.array([d or 0 for d in docs], "<i8").tobytes() + np.array(counts, "<u8").tobytes() + np.packbits(none).tobytes(), 6)
-    body = b"".join(_BLOCK.pack(n, crc, len(code)) + code for n, crc, code in blocks)
-    return _HEAD.pack(MAGIC, VERSION, bits, zlib.crc32(names), len(docs), len(blocks), len(names), len(body)) + names + body
+    none = np.packbits([d is None for d in docs])
+    names = zlib.compress(np.array([d or 0 for d in docs], "<i8").tobytes() + np.array(counts, "<u8").tobytes() + np.array([(n, crc, len(code)) for n, crc, code in blocks], "<u8").tobytes() + none.tobytes(), 6)
+    head = _HEAD.pack(MAGIC, VERSION, bits, len(docs), len(blocks), len(names))
+    return b"".join((head, _CRC.pack(zlib.crc32(names, zlib.crc32(head))), names, *(code for _, _, code in blocks)))
 
 
 def sections(stream):
     """(documents, counts, ids) of each section of a file."""
-    while head := stream.read(_HEAD.size):
-        if len(head) < _HEAD.size:
-            raise idcoder.Damaged("the file ends inside a header")
-        magic, version, bits, crc, n, blocks, size, body = _HEAD.unpack(head)
+
+    def exactly(size: int) -> bytes:
+        data = stream.read(size)
+        if len(data) != size:
+            raise idcoder.Damaged("the file ends inside a section")
+        return data
+
+    while first := stream.read(1):
+        head = first + exactly(_HEAD.size - 1)
+        magic, version, bits, n, blocks, size = _HEAD.unpack(head)
         if magic != MAGIC or version != VERSION:
             raise idcoder.Damaged("not a section of token ids")
-        packed = stream.read(size)
-        if zlib.crc32(packed) != crc:
-            raise idcoder.Damaged("a section's table doesn't have its checksum")
+        (crc,) = _CRC.unpack(exactly(_CRC.size))
+        packed = exactly(size)
+        if zlib.crc32(packed, zlib.crc32(head)) != crc:
+            raise idcoder.Damaged("a section's header and table don't have their checksum")
         names = zlib.decompress(packed)
-        data, at, found = stream.read(body), 0, []
-        if len(names) != 16 * n + (n + 7) // 8 or len(data) != body:
-            raise idcoder.Damaged("a section doesn't have the length that its header says")
-        for _ in range(blocks):
-            count, crc, length = _BLOCK.unpack_from(data, at)
-            at += _BLOCK.size
-            found.append((count, crc, data[at : at + length]))
-            at += length
-        none = np.unpackbits(np.frombuffer(names, np.uint8, -1, 16 * n), count=n)
+        found = np.frombuffer(names, "<u8", 3 * blocks, 16 * n).reshape(-1, 3).tolist()
+        none = np.unpackbits(np.frombuffer(names, np.uint8, -1, 16 * n + 24 * blocks), count=n)
         docs = [None if x else d for d, x in zip(np.frombuffer(names, "<i8", n).tolist(), none)]
-        yield docs, np.frombuffer(names, "<u8", n, 8 * n), idcoder.decode(found, bits)
+        yield docs, np.frombuffer(names, "<u8", n, 8 * n), idcoder.decode([(k, c, exactly(length)) for k, c, length in found], bits)
 
 
 def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", end_id: int | None = 1, vocabulary_folder: str | None = None) -> DataFrame:

@@ -96,8 +96,8 @@ def test_sections_and_their_checksums():
     data = b"".join(token_files.section(docs, [4, 6], ids, 16) for docs in ([None, 7], [-(1 << 63), (1 << 63) - 1]))
     found = list(token_files.sections(io.BytesIO(data)))
     assert [f[0] for f in found] == [[None, 7], [-(1 << 63), (1 << 63) - 1]] and all(np.array_equal(f[2], ids) for f in found)
-    for at in range(0, token_files._HEAD.size + 20):
-        with pytest.raises((idcoder.Damaged, ValueError)):
+    for at in range(len(data) // 2):
+        with pytest.raises(idcoder.Damaged):
             list(token_files.sections(io.BytesIO(data[:at] + bytes([data[at] ^ 4]) + data[at + 1 :])))
     with pytest.raises(idcoder.Damaged):
         list(token_files.sections(io.BytesIO(data[:-3])))

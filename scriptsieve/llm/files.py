@@ -6,6 +6,7 @@ import contextlib
 import re
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs
 
 
@@ -44,3 +45,17 @@ def read(uri: str) -> fs.FileSystem:
 def seekable(uri: str):
     system, path = opened(uri)
     return system.open_input_file(path)
+
+
+def there(uri: str) -> bool:
+    system, path = opened(uri)
+    return system.get_file_info(path).type == fs.FileType.File
+
+
+def mapped(uri: str) -> pa.Buffer:
+    """The contents of a file, mapped into memory on a local file system."""
+    system, path = opened(uri)
+    if isinstance(system, fs.LocalFileSystem):
+        return pa.memory_map(path).read_buffer()
+    with system.open_input_file(path) as stream:
+        return stream.read_buffer()

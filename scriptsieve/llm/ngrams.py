@@ -1,57 +1,68 @@
-"""Language-model scores of whole texts by a distributed bigram model in Elias-Fano tries.
+"""Language-model scores of whole texts by a distributed trigram model in Elias-Fano tries.
 
-Tokens: words between ASCII white space, A-Z lower-cased, then one end. Texts whose crc32(id as text) mod 7 is not 2 train. A
-token's probability after its predecessor h is (c(h w) + MU p(w)) / (c(h) + MU) with p(w) = (c(w) + 1) / (N + V + 1), the base;
-it sums to one over the known words and one unknown, and `score` is the sum of its log10 over the text.
+Tokens: words between ASCII white space, A-Z lower-cased, then one end. Texts whose crc32(id as text) mod 7 is not 2 train. With
+p(w) = (c(w) + 1) / (N + V + 1), the base, which sums to one over the known words and one unknown,
+p(w|b) = (c(b w) + MU2 p(w)) / (c(b) + MU2) and p(w|a b) = (c(a b w) + MU3 p(w|b)) / (c(a b) + MU3); `score` is the sum of
+log10 p(w|a b) over the text, whose first tokens follow two starts.
 
-Method: an Elias-Fano n-gram trie, cut into shards by the last word. The first level holds a shard's words, with monotone
-pointers to their predecessors and cumulative counts; the second holds, for each word, its predecessors relative to
-the word, as one monotone sequence, with the log10 of the smoothed numerator in 16-bit steps. Levels are written compactly
-to a temporary file, mapped into memory, and queried by successor search within the word's range.
+Method: an Elias-Fano n-gram trie in shards that are files of the shared folder, mapped into memory. A word's id is its place in a shard of
+the first level, words with their counts. A shard of the n-gram levels has its words as a monotone sequence, and ranks
+in it below: the middle words b with monotone pointers to the words w that follow them, relative to b, with log10 p(w|b) and
+log10(c(b w) + MU3), and monotone pointers to the words a before them, relative to b w, with log10(c(a b w) + MU3 p(w|b)), all
+quantised to 16-bit steps. A query is a successor search for b, one for w in b's range and one for a in that of b w.
 
-The numerator and the token's part as a context (c(h) is known where h is the word) depend on one shard each, so texts send
-their tokens to the shards once and shards return sums by text. A word that is a fraction of a shard by itself is dealt over all shards by its
-predecessors. N, V, the number of training texts and the counts of such words (a few for each shard) reach the driver; no other
-table of words is broadcast or collected. Words are known by 64-bit hashes; a predecessor by 32 bits within the word.
+The steps, each bounded by a batch of texts or a shard:
 
-A null text counts as empty (the end alone); a null id trains as the text "null". Rows that repeat id and text are each
-returned and each train. Other columns are not read.
+1. Texts are cut into batches of tokens, written as files. Different words go to the shards of the first level, whose answers give ids and counts.
+2. Different trigrams of a batch go with their counts to the shard of their middle word, which builds its trie from the training ones and
+   answers all from it, in their order. log10(c(a b w) + ..) belongs to the token, log10(c(b w) + MU3) to the one after it.
+3. A batch adds up the answers by text.
+
+A middle word with a fraction of a shard's tokens or more is dealt by b w, and a pair of words with as many by a b w; their counts, which one shard alone
+then can't know, are sent to all: no more than 2**20 words and 2**20 pairs, as each has that share of all tokens or more. N, V and the
+number of training texts are the only other figures that reach the driver. Words are known by 64-bit hashes.
+
+`fit` gives the model and the scores of the texts it was asked for; `score` asks a model for other texts. A null text counts as empty (the
+end alone), a null id trains as the text "null"; rows that repeat are each returned and each train; an empty table gives no rows and an
+empty model. A text of any length is whole in one batch. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import math
-import os
-import shutil
-import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, table
+from . import files
+from .common import partitions, shared_folder, small_batches, table, written
 from .suffixes import pack, unpack
 
-#: Set on held-out texts of the supplied tables: 100, 200, 500 and 1000 gave -3.833, -3.809, -3.800 and -3.808 a token; the base -4.151.
-MU = 500.0
+#: Set on held-out texts of the supplied tables.
+MU2, MU3 = 500.0, 100.0
 FOLDS, HELD = 7, 2
-#: Text bytes of a shard and tokens sent at once, about.
-SHARD_BYTES, SEND = 24 << 20, 1_000_000
-#: Training tokens from which a word is dealt over all shards by its predecessors: a fraction of a shard's, so there are few such words for each shard.
-HOT = SHARD_BYTES // 64
-END, START = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0x57A257A257A257A2)
+#: Tokens of a batch and of a shard, about.
+BATCH, SHARD = 1 << 20, 1 << 20
+#: Tokens from which a word or pair is dealt over several shards: this many, or this share of all.
+HOT, HOT_SHARE = SHARD // 32, 1 << 20
+END_HASH = np.uint64(0x0E4D0E4D0E4D0E4D)
+START, UNKNOWN, END, WORDS = 0, 1, 2, 1 << 32
 _BASE = 0x9E6C63D0876A9A47 | 1
-_MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LETTER = (np.random.default_rng(5).integers(1, 1 << 62, 256, dtype=np.int64) * 2 + 1).astype(np.uint64)
 _LETTER[65:91] = _LETTER[97:123]
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
-#: log10 numerators are stored in steps of STEP from LOW.
-LOW, STEP = -12.0, 24.0 / 65535
+#: Logarithms are stored in steps of STEP from LOW.
+LOW, STEP = -24.0, 48.0 / 65535
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -97,6 +108,16 @@ def tokens(texts: list[bytes], hasher: Hasher) -> tuple[np.ndarray, np.ndarray,
     return h, before, text
 
 
+def tokens(texts: list[bytes], hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens of texts, ends included, and how many each text has."""
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    stops = np.cumsum([len(t) + 1 for t in texts])
+    starts, h = hasher(data)
+    text = np.searchsorted(stops, starts, "right")
+    at = np.searchsorted(text, np.arange(len(texts)), "right")
+    return np.insert(h, at, END_HASH), np.diff(at, prepend=0) + 1
+
+
 # ---- Elias-Fano
 
 
@@ -109,34 +130,33 @@ class EliasFano:
         values = values.astype(np.uint64)
         n = len(values)
         top = int(values[-1]) if n else 0
-        self.n, self.bits = n, max(0, int(math.log2(max(1, (top + 1) // max(n, 1)))))
-        low = values & np.uint64((1 << self.bits) - 1)
-        self.low = self._packed(low)
+        self.n, self.bits = n, max(0, ((top + 1) // max(n, 1)).bit_length() - 1)
+        self.low = self._packed(values & np.uint64((1 << self.bits) - 1))
         high = (values >> np.uint64(self.bits)).astype(np.int64) + np.arange(n)
         flags = np.zeros(((int(high[-1]) if n else 0) // 64 + 2) * 64, np.uint8)
         flags[high] = 1
         self.high = np.packbits(flags, bitorder="little").view("<u8")
-        ones = np.bitwise_count(self.high).astype(np.int64)
-        self.ones = np.concatenate(([0], np.cumsum(ones)))
+        self.ones = np.concatenate(([0], np.cumsum(np.bitwise_count(self.high).astype(np.int64))))
 
     def _packed(self, low: np.ndarray) -> np.ndarray:
         out = np.zeros(len(low) * self.bits // 64 + 2, np.uint64)
-        if self.bits:
+        if self.bits and len(low):
             at = np.arange(len(low)) * self.bits
             word, shift = at >> 6, (at & 63).astype(np.uint64)
-            np.bitwise_or.at(out, word, low << shift)
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            out[word[first]] = np.bitwise_or.reduceat(low << shift, first)
             over = np.flatnonzero(shift + np.uint64(self.bits) > np.uint64(64))
-            np.bitwise_or.at(out, word[over] + 1, low[over] >> (np.uint64(64) - shift[over]))
+            out[word[over] + 1] |= low[over] >> (np.uint64(64) - shift[over])
         return out
 
-    def arrays(self) -> dict[str, np.ndarray]:
-        return {"low": self.low, "high": self.high, "ones": self.ones, "spec": np.array([self.n, self.bits])}
+    def arrays(self) -> list[np.ndarray]:
+        return [np.array([self.n, self.bits]), self.low, self.high, self.ones]
 
     @classmethod
-    def of(cls, arrays: dict[str, np.ndarray]) -> EliasFano:
+    def of(cls, spec: np.ndarray, low: np.ndarray, high: np.ndarray, ones: np.ndarray) -> EliasFano:
         self = cls()
-        self.low, self.high, self.ones = arrays["low"], arrays["high"], arrays["ones"]
-        self.n, self.bits = (int(x) for x in arrays["spec"])
+        self.low, self.high, self.ones = low, high, ones
+        self.n, self.bits = (int(x) for x in spec)
         return self
 
     def _low(self, i: np.ndarray) -> np.ndarray:
@@ -163,7 +183,7 @@ class EliasFano:
         """The values at places i."""
         word = np.searchsorted(self.ones, i, "right") - 1
         at = word * 64 + self._in_word(self.high[word], i - self.ones[word])
-        return ((at - i).astype(np.uint64) << np.uint64(self.bits)) | self._low(i)
+        return (((at - i).astype(np.uint64) << np.uint64(self.bits)) | self._low(i)).astype(np.int64)
 
     def _before(self, high: np.ndarray) -> np.ndarray:
         """How many values have a high part below `high`: the ones before the (high-1)-th zero."""
@@ -173,315 +193,541 @@ class EliasFano:
         at = word * 64 + self._in_word(~self.high[word], k - zeros[word])
         return np.where(high > 0, np.minimum(at - k, self.n), 0)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The first place whose value is x or more, n if there is none."""
-        most = (len(self.high) * 64 - self.n) - 2
-        high = np.minimum((x >> np.uint64(self.bits)).astype(np.int64), most)
+    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first place whose value is x or more, n if there is none, and whether it is x: the high part by the bitmap, the low bits by halving."""
+        x = x.astype(np.uint64)
+        most = len(self.high) * 64 - self.n - 2
+        high = (x >> np.uint64(self.bits)).astype(np.int64)
+        beyond = high > most
+        high = np.minimum(high, most)
         low = x & np.uint64((1 << self.bits) - 1)
         at, end = self._before(high), self._before(high + 1)
-        todo = np.flatnonzero(at < end)
+        stop = end.copy()
+        todo = np.flatnonzero(at < stop)
         while len(todo):
-            todo = todo[self._low(at[todo]) < low[todo]]
-            at[todo] += 1
-            todo = todo[at[todo] < end[todo]]
-        return at
+            middle = (at[todo] + stop[todo]) >> 1
+            less = self._low(middle) < low[todo]
+            at[todo[less]] = middle[less] + 1
+            stop[todo[~less]] = middle[~less]
+            todo = todo[at[todo] < stop[todo]]
+        at[beyond] = self.n
+        hit = (at < end) & ~beyond
+        k = np.flatnonzero(hit)
+        hit[k] = self._low(at[k]) == low[k]
+        return at, hit
+
+
+def quantised(x: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint((x - LOW) / STEP), 0, 65535).astype(np.uint16)
+
+
+def restored(steps: np.ndarray) -> np.ndarray:
+    return LOW + STEP * steps
+
+
+def _to_file(folder: str, name: str, arrays: list[np.ndarray]) -> None:
+    """Arrays in one file: a line that names their types and lengths, then each at a multiple of 8 bytes."""
+    spec = json.dumps([(a.dtype.str, len(a)) for a in arrays]).encode()
+    draft = files.Draft(folder, name)
+    try:
+        draft.write(spec + b" " * (-len(spec) % 8 + 7) + b"\n")
+        for a in arrays:
+            draft.write(a.tobytes() + bytes(-a.nbytes % 8))
+        draft.commit()
+    except BaseException:
+        draft.drop()
+        raise
+
+
+def _from_file(folder: str, name: str) -> list[np.ndarray]:
+    """The arrays, mapped into memory where the file system is a local one."""
+    buffer = files.mapped(f"{folder}/{name}")
+    line = buffer[: min(buffer.size, 1 << 16)].to_pybytes().split(b"\n", 1)[0]
+    at, out = len(line) + 1, []
+    for kind, n in json.loads(line):
+        out.append(np.frombuffer(buffer, kind, n, at))
+        at += -(-out[-1].nbytes // 8) * 8
+    return out
+
+
+class Words:
+    """A shard of the first level: words by hash, with counts."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        self.hashes, self.sums = EliasFano.of(*arrays[:4]), EliasFano.of(*arrays[4:8])
+
+    @staticmethod
+    def built(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+        return [*EliasFano(hashes).arrays(), *EliasFano(np.append(0, np.cumsum(counts))).arrays()]
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each word, -1 if it has none, and its count."""
+        at, hit = self.hashes.successor(hashes)
+        place, count = np.where(hit, at, -1), np.zeros(len(hashes), np.int64)
+        at = at[hit]
+        count[hit] = self.sums.get(at + 1) - self.sums.get(at)
+        return place, count
+
+
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows start."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def _relative(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values that grow within ranges as one monotone sequence, and what is added in each range: each starts where that before it ended."""
+    if not len(starts):
+        return values, np.zeros(1, np.int64)
+    shifts = np.append(0, np.cumsum(values[np.append(starts[1:], len(values)) - 1] + 1))
+    return values + np.repeat(shifts[:-1], np.diff(np.append(starts, len(values)))), shifts
 
 
 class Trie:
-    """Words, their predecessors and counts, from sorted distinct pairs (word, predecessor) with counts, mapped from files in `folder`."""
-
-    def __init__(self, folder: str, word: np.ndarray, before: np.ndarray, count: np.ndarray, total: float, mu: float = MU, hot: tuple[np.ndarray, np.ndarray] | None = None):
-        self.hot = hot
-        new = np.concatenate(([True], word[1:] != word[:-1])) if len(word) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        of = np.cumsum(new) - 1
-        sums = np.add.reduceat(count, first) if len(first) else count
-        # Predecessors relative to the word: each word's range starts where that before it ended.
-        ends = before[np.append(first[1:], len(before)) - 1].astype(np.uint64) + np.uint64(1) if len(first) else np.zeros(0, np.uint64)
-        shift = np.concatenate(([0], np.cumsum(ends)[:-1])).astype(np.uint64) if len(first) else ends
-        numerator = np.log10(count + mu * (self._whole(word[first], sums)[of] + 1) / total) if len(word) else np.zeros(0)
-        parts = {
-            "words": EliasFano(word[first]), "pointers": EliasFano(np.append(first, len(word))), "counts": EliasFano(np.append(0, np.cumsum(sums))),
-            "shifts": EliasFano(np.append(shift, ends.sum() if len(ends) else 0)), "before": EliasFano(before.astype(np.uint64) + shift[of]) if len(word) else EliasFano(np.zeros(0, np.uint64)),
-        }
-        steps = np.clip(np.rint((numerator - LOW) / STEP), 0, 65535).astype(np.uint16)
-        self.folder = folder
-        np.save(f"{folder}/steps.npy", steps)
-        for name, ef in parts.items():
-            for k, a in ef.arrays().items():
-                np.save(f"{folder}/{name}.{k}.npy", a)
-        load = lambda x: np.load(f"{folder}/{x}.npy", mmap_mode="r" if os.path.getsize(f"{folder}/{x}.npy") > 4096 else None)
-        self.parts = {name: EliasFano.of({k: load(f"{name}.{k}") for k in ("low", "high", "ones", "spec")}) for name in parts}
-        self.steps, self.total, self.mu = load("steps"), total, mu
-
-    def _whole(self, word: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Counts over all shards: those of words that are dealt over them come from the list of such words."""
-        if self.hot is None or not len(self.hot[0]):
-            return count
-        at = np.minimum(np.searchsorted(self.hot[0], word), len(self.hot[0]) - 1)
-        return np.where(self.hot[0][at] == word, self.hot[1][at], count)
-
-    def counts(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each word, -1 if it is not in the trie, and its count over all shards."""
-        words = self.parts["words"]
-        i = words.successor(word)
-        there = np.flatnonzero(i < words.n)
-        there = there[words.get(i[there]) == word[there]]
-        place, count = np.full(len(word), -1, np.int64), np.zeros(len(word), np.int64)
-        totals = self.parts["counts"]
-        place[there] = i[there]
-        count[there] = (totals.get(i[there] + 1) - totals.get(i[there])).astype(np.int64)
-        return place, self._whole(word, count)
-
-    def numerators(self, place: np.ndarray, count: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10(c(h w) + MU p(w)) of words by place and count, after predecessors."""
-        out = np.log10(self.mu * (count + 1) / self.total)
-        known = np.flatnonzero(place >= 0)
-        i = place[known]
-        sequence = self.parts["before"]
-        target = before[known].astype(np.uint64) + self.parts["shifts"].get(i)
-        j = sequence.successor(target)
-        inside = j < self.parts["pointers"].get(i + 1).astype(np.int64)
-        known, target, j = known[inside], target[inside], j[inside]
-        hit = sequence.get(j) == target
-        out[known[hit]] = LOW + STEP * self.steps[j[hit]]
-        return out
+    """A shard of the n-gram levels."""
+
+    PARTS = ("ranks", "middle", "to_words", "word_shifts", "words", "to_before", "before_shifts", "before")
+
+    def __init__(self, arrays: list[np.ndarray], mu3: float):
+        for k, name in enumerate(self.PARTS):
+            setattr(self, name, EliasFano.of(*arrays[4 * k : 4 * k + 4]))
+        self.context, self.pair, self.pair_context, self.triple = arrays[4 * len(self.PARTS) :]
+        self.mu3 = mu3
+
+    @classmethod
+    def built(cls, b, w, a, count, c_w, total: float, mu2: float, mu3: float, hot: Hot) -> list[np.ndarray]:
+        """From sorted distinct trigrams (b, w, a) with counts, and the words' counts."""
+        pairs = _firsts(b, w)
+        c_pair = hot.pair_counts(b[pairs], w[pairs], np.add.reduceat(count, pairs) if len(pairs) else count)
+        middles = _firsts(b[pairs])
+        sums = np.add.reduceat(c_pair, middles) if len(middles) else c_pair
+        c_b = hot.word_counts(b[pairs][middles], sums)
+        of_pair = np.repeat(np.arange(len(middles)), np.diff(np.append(middles, len(pairs))))
+        of_triple = np.repeat(np.arange(len(pairs)), np.diff(np.append(pairs, len(b))))
+        p2 = (c_pair + mu2 * (c_w[pairs] + 1) / total) / (c_b[of_pair] + mu2)
+        ranks = np.unique(np.concatenate((b[pairs], w[pairs], a)))
+        words, word_shifts = _relative(np.searchsorted(ranks, w[pairs]), middles)
+        before, before_shifts = _relative(np.searchsorted(ranks, a), pairs)
+        levels = [ranks, np.searchsorted(ranks, b[pairs][middles]), np.append(middles, len(pairs)), word_shifts, words, np.append(pairs, len(b)), before_shifts, before]
+        steps = [np.log10(c_b + mu2), np.log10(p2), np.log10(c_pair + mu3), np.log10(count + mu3 * p2[of_triple])]
+        return [x for level in levels for x in EliasFano(level).arrays()] + [quantised(x) for x in steps]
+
+    def answers(self, b, w, a, c_w, total: float, mu2: float, hot: Hot) -> np.ndarray:
+        """log10 of the token's numerator, less that of its part as a context, of each trigram. What a word or pair that isn't here counts is 0, or known to all."""
+        log_mu3, share = math.log10(self.mu3), (c_w + 1) / total
+        (rb, there), (rw, w_there), (ra, a_there) = (self.ranks.successor(x) for x in (b, w, a))
+        c_b = hot.word_counts(b, np.zeros(len(b), np.int64))
+        c_pair = hot.pair_counts(b, w, np.zeros(len(b), np.int64))
+        p2, context = np.log10((c_pair + mu2 * share) / (c_b + mu2)), np.log10(c_pair + self.mu3)
+        k = np.flatnonzero(there)
+        middle, hit = self.middle.successor(rb[k])
+        k, middle = k[hit], middle[hit]
+        none = c_pair[k] == 0
+        p2[k[none]] = np.log10(mu2 * share[k[none]]) - restored(self.context[middle[none]])
+        score = p2 + log_mu3
+        inside = w_there[k]
+        k, middle = k[inside], middle[inside]
+        pair, hit = self.words.successor(rw[k] + self.word_shifts.get(middle))
+        hit &= pair < self.to_words.get(middle + 1)
+        k, pair = k[hit], pair[hit]
+        score[k], context[k] = restored(self.pair[pair]) + log_mu3, restored(self.pair_context[pair])
+        inside = a_there[k]
+        k, pair = k[inside], pair[inside]
+        triple, hit = self.before.successor(ra[k] + self.before_shifts.get(pair))
+        hit &= triple < self.to_before.get(pair + 1)
+        score[k[hit]] = restored(self.triple[triple[hit]])
+        return score - np.where(w == END, 0.0, context)
+
+
+# ---- words and pairs that are dealt over several shards
+
+
+@dataclass(frozen=True)
+class Hot:
+    """Frequent middle words (sorted ids) and pairs of words (sorted), with their counts."""
+
+    ids: np.ndarray
+    counts: np.ndarray
+    pair_ids: np.ndarray
+    pair_sums: np.ndarray
+
+    def words(self, b: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.ids, b), len(self.ids) - 1)
+        return np.where(self.ids[at] == b, at, -1)
+
+    def pairs(self, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Only pairs of frequent words are frequent; a pair is known by its words' places."""
+        if not len(self.pair_ids):
+            return np.full(len(b), -1)
+        x, y = self.words(b), self.words(w)
+        key = x * len(self.ids) + y
+        at = np.minimum(np.searchsorted(self.pair_ids, key), len(self.pair_ids) - 1)
+        return np.where((x >= 0) & (y >= 0) & (self.pair_ids[at] == key), at, -1)
+
+    def word_counts(self, b: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        at = self.words(b)
+        return np.where(at >= 0, self.counts[at], counts)
+
+    def pair_counts(self, b: np.ndarray, w: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        at = self.pairs(b, w)
+        return np.where(at >= 0, self.pair_sums[at], counts) if len(self.pair_sums) else counts
+
+    def shards(self, b: np.ndarray, w: np.ndarray, a: np.ndarray, shards: int) -> np.ndarray:
+        key = b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        often = self.words(b) >= 0
+        key[often] ^= w[often].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        often = self.pairs(b, w) >= 0
+        key[often] ^= a[often].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        key ^= key >> np.uint64(29)
+        key *= np.uint64(0xBF58476D1CE4E5B9)
+        return _shard(key ^ key >> np.uint64(32), shards)
+
+
+@dataclass(frozen=True)
+class Model:
+    """A fitted model: where its shards are, and the figures that all tasks need."""
+
+    folder: str
+    shards: int
+    tokens: int
+    kinds: int
+    texts: int
+    mu2: float
+    mu3: float
+    hot: Hot
+
+    @property
+    def total(self) -> float:
+        return float(self.tokens + self.kinds + 1)
+
+    def save(self) -> None:
+        figures = {k: getattr(self, k) for k in ("shards", "tokens", "kinds", "texts", "mu2", "mu3")}
+        draft = files.Draft(self.folder, "model.json")
+        draft.write(json.dumps(figures).encode())
+        draft.commit()
+        _to_file(self.folder, "hot", [self.hot.ids, self.hot.counts, self.hot.pair_ids, self.hot.pair_sums])
+
+    @staticmethod
+    def load(folder: str) -> Model:
+        with files.read(f"{folder}/model.json") as f:
+            return Model(folder, hot=Hot(*_from_file(folder, "hot")), **json.loads(f.read()))
 
 
 # ---- the distributed steps
 
+_MOVE = pa.schema([("shard", pa.int32()), ("batch", pa.string()), ("data", pa.binary())])
+_MOVE_DDL = "shard int, batch string, data binary"
+
+
+def held_out(doc_id) -> bool:
+    return zlib.crc32(("null" if doc_id is None else str(doc_id)).encode()) % FOLDS == HELD
 
-def _by_bucket(batches) -> Iterator[list[bytes]]:
-    """The data of each bucket, from rows in order of bucket."""
+
+def _shard(h: np.ndarray, shards: int) -> np.ndarray:
+    return ((h >> np.uint64(32)).astype(np.int64) * shards) >> 32
+
+
+def _cut(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Columns by bucket, which is sorted."""
+    edges = np.append(_firsts(bucket), len(bucket))
+    for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield int(bucket[s]), [c[s:e] for c in columns]
+
+
+def _moved(rows: list[tuple[int, str, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"shard": [r[0] for r in rows], "batch": [r[1] for r in rows], "data": [r[2] for r in rows]}, schema=_MOVE)
+
+
+def _runs(batches) -> Iterator[tuple[object, list[tuple]]]:
+    """(key, its other columns) from rows in order of their first column."""
     at, held = None, []
     for batch in batches:
-        for b, data in zip(*(c.to_pylist() for c in batch.columns)):
-            if b != at and held:
-                yield held
+        for key, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != at and held:
+                yield at, held
                 held = []
-            at = b
-            held.append(data)
+            at = key
+            held.append(tuple(rest))
     if held:
-        yield held
+        yield at, held
 
 
-_MOVE = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
-_MOVE_DDL = "bucket int, data binary"
+def _write_batches(folder: str, train: bool):
+    """Texts (id, data) as files of about BATCH tokens: ids, which are null, which train, tokens of each, different words, tokens as places among them."""
+    schema = pa.schema([("batch", pa.string()), ("tokens", pa.int64())])
 
+    def run(batches):
+        hasher, part, k = Hasher(), TaskContext.get().partitionId(), 0
+        held, ids, size = [], [], 0
+
+        def ended():
+            nonlocal held, ids, size, k
+            h, lengths = (np.concatenate(x) for x in zip(*held))
+            words, place = np.unique(h, return_inverse=True)
+            name = f"batch-{part:06d}-{k:06d}"
+            flags = np.array([(i is None, train and not held_out(i)) for i in ids], np.uint8)
+            draft = files.Draft(folder, name)
+            draft.write(pack(np.array([i or 0 for i in ids], np.int64), flags[:, 0], flags[:, 1], lengths, words, place.astype(np.uint32)))
+            draft.commit()
+            row = {"batch": [name], "tokens": [len(h)]}
+            held, ids, size, k = [], [], 0, k + 1
+            return pa.RecordBatch.from_pydict(row, schema=schema)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                names, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
+                held.append(tokens(texts, hasher))
+                ids += names
+                size += len(held[-1][0])
+                if size >= BATCH:
+                    yield ended()
+        if held:
+            yield ended()
 
-def held_out(doc_id) -> bool:
-    return zlib.crc32(("null" if doc_id is None else str(doc_id)).encode()) % FOLDS == HELD
+    return run
 
 
-def _batches(batches, rows: int = 256) -> Iterator[tuple[list, list, list, list[bytes]]]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield tuple(c.to_pylist() for c in batch.slice(at, rows).columns)
+def _batch(folder: str, name: str) -> list[np.ndarray]:
+    with files.read(f"{folder}/{name}") as f:
+        return unpack(f.read())
 
 
-def _cut(shard: np.ndarray, *columns: np.ndarray) -> list[tuple[int, tuple[np.ndarray, ...]]]:
-    """Columns by shard; sorted by it."""
-    if not len(shard):
-        return []
-    edges = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
-    return [(int(shard[s]), tuple(c[s:e] for c in columns)) for s, e in zip(edges[:-1], edges[1:])]
+def _word_requests(folder: str, shards: int):
+    """The different words of each batch by shard, with their counts in training texts and the number of these."""
 
+    def run(batches):
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                _, _, train, lengths, words, place = _batch(folder, name)
+                counts = np.bincount(place[np.repeat(train, lengths) > 0], minlength=len(words))
+                texts = int(train.sum())
+                rows = []
+                for k, (shard, (h, c)) in enumerate(_cut(_shard(words, shards), words, counts)):
+                    rows.append((shard, name, pack(np.diff(h, prepend=np.uint64(0)), c, np.array([0 if k else texts]))))
+                yield _moved(rows)
 
-def _shard(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> np.uint64(32)).astype(np.int64) * shards) >> 32
+    return run
 
 
-def _word_rows(shards: int):
-    """Distinct training words of each task's texts with counts, by shard, and how many texts they are of."""
+_WORDS = pa.schema([("kind", pa.int32()), ("batch", pa.string()), ("shard", pa.int32()), ("data", pa.binary()), ("id", pa.int64()), ("n", pa.int64()), ("kinds", pa.int64()), ("texts", pa.int64())])
+_WORDS_DDL = "kind int, batch string, shard int, data binary, id long, n long, kinds long, texts long"
+ANSWER, FIGURES, OFTEN = range(3)
+
+
+def _word_answers(folder: str, fitted: bool, hot: int):
+    """A shard of the first level: built, unless it is there, and asked. Rows: answers by batch, figures of the shard, its frequent words."""
+
+    def rows(kind, batch, shard, data, ids, n, kinds=(0,), texts=(0,)):
+        k = len(n)
+        columns = [[kind] * k, batch, [shard] * k, data, ids, n, list(kinds) * k, list(texts) * k]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _WORDS)], schema=_WORDS)
 
     def run(batches):
-        hasher, held, texts, size = Hasher(), [], 0, 0
-
-        def rows():
-            nonlocal held, texts, size
-            h, count = _counted(*(np.concatenate([x[c] for x in held]) for c in range(2)))
-            out = [(s, pack(np.diff(x, prepend=np.uint64(0)), c, np.array([texts if k == 0 else 0], np.int64))) for k, (s, (x, c)) in enumerate(_cut(_shard(h, shards), h, count))]
-            held, texts, size = [], 0, 0
-            return pa.RecordBatch.from_pydict({"bucket": [s for s, _ in out], "data": [d for _, d in out]}, schema=_MOVE)
-
-        for _, ids, _, data in _batches(batches):
-            own = [t for i, t in zip(ids, data) if not held_out(i)]
-            if own:
-                h, _, _ = tokens(own, hasher)
-                held.append(np.unique(h, return_counts=True))
-                texts, size = texts + len(own), size + len(held[-1][0])
-            if size >= SEND:
-                yield rows()
-        if held:
-            yield rows()
+        for shard, asked in _runs(batches):
+            parts = [unpack(data) for _, data in asked]
+            asked_for = [np.cumsum(step, dtype=np.uint64) for step, _, _ in parts]
+            if not fitted:
+                h, counts = np.concatenate(asked_for), np.concatenate([c for _, c, _ in parts])
+                order = np.argsort(h, kind="stable")
+                h, counts = h[order], counts[order]
+                first = _firsts(h)
+                h, counts = h[first], np.add.reduceat(counts, first)
+                known = counts > 0
+                h, counts = h[known], counts[known]
+                _to_file(folder, f"words-{shard:07d}", Words.built(h, counts))
+                yield rows(FIGURES, [None], shard, [None], [None], [int(counts.sum())], [len(h)], [int(sum(t[0] for _, _, t in parts))])
+                often = np.flatnonzero((counts >= hot) & (h != END_HASH))
+                yield rows(OFTEN, [None] * len(often), shard, [None] * len(often), (shard + 1) * WORDS + often, counts[often])
+            words = Words(_from_file(folder, f"words-{shard:07d}")) if files.there(f"{folder}/words-{shard:07d}") else Words(Words.built(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+            for (name, _), h in zip(asked, asked_for):
+                yield rows(ANSWER, [name], shard, [pack(*words.find(h))], [None], [len(h)])
 
     return run
 
 
-def _counted(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes, sorted, with their counts summed."""
-    order = np.argsort(h, kind="stable")
-    h, count = h[order], count[order]
-    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    return h[first], np.add.reduceat(count.astype(np.int64), first)
+def _ids(shards: np.ndarray, place: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return np.where(hashes == END_HASH, END, np.where(place < 0, UNKNOWN, (shards + 1) * WORDS + place))
 
 
-def _count_rows(batches):
-    for blobs in _by_bucket(batches):
-        parts = [unpack(data) for data in blobs]
-        h, count = _counted(np.concatenate([np.cumsum(step, dtype=np.uint64) for step, _, _ in parts]), np.concatenate([c for _, c, _ in parts]))
-        hot = count >= HOT
-        yield pa.RecordBatch.from_pydict({"n": [int(count.sum())], "texts": [int(sum(t[0] for _, _, t in parts))], "kinds": [len(h)], "hot": [pack(h[hot], count[hot])]})
+def _tokens_of(batch: list[np.ndarray], answers: list[tuple], shards: int):
+    """(text, b, w, a as ranks, the ranks' ids, their counts) of a batch's tokens, from the answers of the first level in order of shard."""
+    _, _, _, lengths, words, place = batch
+    found = [unpack(data) for _, data in answers]
+    at, count = (np.concatenate([f[c] for f in found]) for c in range(2))
+    ids = _ids(_shard(words, shards), at, words)
+    ids, first, rank = np.unique(ids, return_index=True, return_inverse=True)
+    counts = np.where(ids == UNKNOWN, 0, count[first])
+    kinds = np.concatenate(([START], ids))
+    w = rank[place] + 1
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    starts = np.cumsum(lengths) - lengths
+    b = np.concatenate(([0], w[:-1]))
+    b[starts] = 0
+    a = np.concatenate(([0], b[:-1]))
+    a[starts] = 0
+    return text, b, w, a, kinds, np.concatenate(([0], counts))
 
 
-def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+def _pair_counts(folder: str, shards: int, hot: Hot):
+    """Pairs of frequent words in the training texts of each batch, with counts."""
+    schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
 
+    def run(batches):
+        for name, rows in _runs(batches):
+            batch = _batch(folder, name)
+            text, b, w, _, kinds, _ = _tokens_of(batch, rows, shards)
+            place = hot.words(kinds)
+            keep = (place[b] >= 0) & (place[w] >= 0) & (batch[2][text] > 0)
+            pair, n = np.unique(place[b[keep]] * len(hot.ids) + place[w[keep]], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"pair": pair, "n": n}, schema=schema)
 
-def totals(docs: DataFrame, shards: int) -> tuple[int, int, int, tuple[np.ndarray, np.ndarray]]:
-    """Training tokens, distinct ones among them, training texts; and the words with HOT tokens or more, of which each has that share of all tokens, with their counts."""
-    made = _dealt(docs.mapInArrow(_word_rows(shards), _MOVE_DDL), shards).mapInArrow(_count_rows, "n long, texts long, kinds long, hot binary")
-    rows = made.collect()  # a row for each shard
-    hot = [unpack(bytes(r.hot)) for r in rows]
-    h = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in hot)])
-    count = np.concatenate([np.zeros(0, np.int64), *(c for _, c in hot)])
-    order = np.argsort(h)
-    return sum(r.n for r in rows), sum(r.kinds for r in rows), sum(r.texts for r in rows), (h[order], count[order])
+    return run
 
 
-def _token_rows(shards: int, hot: np.ndarray):
-    """The tokens of each task's texts by shard: words, predecessors and texts, sorted."""
+def _trigrams(folder: str, model: Model, hot):
+    """Different trigrams of each batch by shard; base figures and the tokens' places among the trigrams are kept in a file beside the batch."""
 
     def run(batches):
-        hasher, held, docs, size = Hasher(), [], [], 0
-
-        def rows():
-            nonlocal held, docs, size
-            h, before, text = (np.concatenate([x[c] for x in held]) for c in range(3))
-            shard = _shard(h, shards)
-            often = np.flatnonzero(np.isin(h, hot))
-            shard[often] = _shard((h[often] ^ before[often]) * np.uint64(0x9E3779B97F4A7C15), shards)
-            order = np.lexsort((before, h, shard))
-            h, before, text, shard = h[order], before[order], text[order], shard[order]
-            home, ids, keys, train = (np.array([d[c] for d in docs], np.int64) for c in range(4))
-            keys = keys.astype(np.uint32)
+        for name, rows in _runs(batches):
+            batch = _batch(folder, name)
+            ids, none, train, lengths, _, _ = batch
+            text, b, w, a, kinds, counts = _tokens_of(batch, rows, model.shards)
+            base = np.bincount(text, np.log10((counts + 1) / model.total)[w], len(lengths))
+            known = np.bincount(text, counts[w] > 0, len(lengths)).astype(np.int64)
+            u = len(kinds)
+            pair = b * u + w
+            if u**3 >= 1 << 63:
+                pairs, pair = np.unique(pair, return_inverse=True)
+            keys, trigram = np.unique(pair * u + a, return_inverse=True)
+            n = np.bincount(trigram, train[text], len(keys)).astype(np.int64)
+            pair, a = np.divmod(keys, u)
+            if u**3 >= 1 << 63:
+                pair = pairs[pair]
+            b, w = np.divmod(pair, u)
+            c_w = counts[w]
+            b, w, a = kinds[b], kinds[w], kinds[a]
+            shard = hot.value.shards(b, w, a, model.shards)
+            order = np.argsort(shard, kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order))
+            draft = files.Draft(folder, f"{name}-links")
+            draft.write(pack(ids, none, lengths, known, base.view(np.int64), place[trigram]))
+            draft.commit()
             out = []
-            for s, (x, b, t) in _cut(shard, h, before, text):
-                used, own = np.unique(t, return_inverse=True)
-                out.append((s, pack(np.diff(x, prepend=np.uint64(0)), b, own.astype(np.uint32), home[used].astype(np.int32), ids[used], keys[used], train[used].astype(np.uint8))))
-            held, docs, size = [], [], 0
-            return pa.RecordBatch.from_pydict({"bucket": [s for s, _ in out], "data": [d for _, d in out]}, schema=_MOVE)
-
-        for homes, ids, keys, data in _batches(batches):
-            h, before, text = tokens(data, hasher)
-            held.append((h, (before >> np.uint64(32)).astype(np.uint32), text + len(docs)))
-            docs += [(b, NULL if i is None else i, k, not held_out(i)) for b, i, k in zip(homes, ids, keys)]
-            size += len(h)
-            if size >= SEND:
-                yield rows()
-        if held:
-            yield rows()
+            for s, (x, y, z, count, c) in _cut(shard[order], b[order], w[order], a[order], n[order], c_w[order]):
+                out.append((s, name, pack(np.diff(x, prepend=0), y, z, count, c)))
+            yield _moved(out)
 
     return run
 
 
-NULL = -(1 << 63)
-
-
-def _score_rows(n: int, kinds: int, mu: float, hot: tuple[np.ndarray, np.ndarray]):
-    """Of each shard: its trie from the training tokens, the sums of all texts by home bucket."""
-    total = float(n + kinds + 1)
-
-    def one(blobs):
-        parts, docs, size = [], [], 0
-        for data in blobs:
-            step, before, text, home, ids, keys, train = unpack(data)
-            parts.append((np.cumsum(step, dtype=np.uint64), before, text.astype(np.int32) + np.int32(size)))
-            docs.append((home, ids, keys, train))
-            size += len(home)
-        h, before, text = (np.concatenate([p[c] for p in parts]) for c in range(3))
-        parts.clear()
-        blobs.clear()
-        home, ids, keys, train = (np.concatenate([d[c] for d in docs]) for c in range(4))
-        order = np.lexsort((before, h)).astype(np.int32)
-        h, before, text = h[order], before[order], text[order]
-        del order
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (before[1:] != before[:-1])
-        first = np.flatnonzero(new)
-        pair = np.cumsum(new, dtype=np.int32) - 1
-        count = np.add.reduceat(train[text], first, dtype=np.int64)
-        word, pred, seen = h[first], before[first], count > 0
-        del h, before, new, first
-        folder = tempfile.mkdtemp(prefix="trie-")
-        try:
-            trie = Trie(folder, word[seen], pred[seen], count[seen], total, mu, hot)
-            new_word = np.concatenate(([True], word[1:] != word[:-1]))
-            at = np.flatnonzero(new_word)
-            place, c = trie.counts(word[at])
-            of = np.cumsum(new_word) - 1
-            place, c = place[of], c[of]
-            score = trie.numerators(place, c, pred)
-        finally:
-            shutil.rmtree(folder, ignore_errors=True)
-        score -= np.where(word == END, 0.0, np.log10(c + mu))
-        base = np.log10((c + 1) / total)
-        docs_n = len(home)
-        out = [np.bincount(text, minlength=docs_n).astype(np.int64), np.bincount(text, (c > 0)[pair], docs_n).astype(np.int64), np.bincount(text, base[pair], docs_n), np.bincount(text, score[pair], docs_n)]
-        order = np.argsort(home, kind="stable")
-        found = _cut(home[order], ids[order], keys[order], out[0][order].astype(np.int32), out[1][order].astype(np.int32), out[2][order].view(np.int64), out[3][order].view(np.int64))
-        return pa.RecordBatch.from_pydict({"bucket": [b for b, _ in found], "data": [pack(*x) for _, x in found]}, schema=_MOVE)
+def _trigram_answers(model: Model, hot, fitted: bool):
+    """A shard of the n-gram levels: built, unless it is there, and asked."""
 
     def run(batches):
-        for blobs in _by_bucket(batches):
-            yield one(blobs)
+        for shard, asked in _runs(batches):
+            parts = [unpack(data) for _, data in asked]
+            for p in parts:
+                p[0] = np.cumsum(p[0])
+            name = f"trie-{shard:07d}"
+            if not fitted:
+                b, w, a, n, c_w = (np.concatenate([p[c][p[3] > 0] for p in parts]) for c in range(5))
+                order = np.lexsort((a, w, b))
+                b, w, a, n, c_w = (x[order] for x in (b, w, a, n, c_w))
+                first = _firsts(b, w, a)
+                n = np.add.reduceat(n, first) if len(first) else n
+                _to_file(model.folder, name, Trie.built(b[first], w[first], a[first], n, c_w[first], model.total, model.mu2, model.mu3, hot.value))
+                del b, w, a, n, c_w, order, first
+            none = np.zeros(0, np.int64)
+            arrays = _from_file(model.folder, name) if files.there(f"{model.folder}/{name}") else Trie.built(none, none, none, none, none, model.total, model.mu2, model.mu3, hot.value)
+            trie = Trie(arrays, model.mu3)
+            out = []
+            for (batch, _), (b, w, a, _, c_w) in zip(asked, parts):
+                values = trie.answers(b, w, a, c_w, model.total, model.mu2, hot.value).astype(np.float32)
+                out.append((shard, batch, pack(values.view(np.uint32))))
+            yield _moved(out)
 
     return run
 
 
-def _sum_rows(batches):
-    """Sums of each home bucket's texts over all shards."""
-    for blobs in _by_bucket(batches):
-        yield _sums([unpack(data) for data in blobs])
+_SCORES = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _sums(parts):
-    ids, keys, n, known, base, score = (np.concatenate([p[c] for p in parts]) for c in range(6))
-    order = np.lexsort((keys, ids))
-    ids, keys = ids[order], keys[order]
-    first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]))))
-    add = lambda x: np.add.reduceat(x[order], first)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids[first], mask=ids[first] == NULL), pa.array(keys[first].astype(np.int64)), pa.array(add(n.astype(np.int64))), pa.array(add(known.astype(np.int64))), pa.array(add(base.view(np.float64))), pa.array(add(score.view(np.float64)))],
-        names=["id", "key", "n_tokens", "n_known", "base_score", "score"],
-    )
+def _sums(folder: str, start: float):
+    """The answers of each batch's tokens, added up by text."""
 
+    def run(batches):
+        for name, rows in _runs(batches):
+            ids, none, lengths, known, base, place = _batch(folder, f"{name}-links")
+            values = np.concatenate([unpack(data)[0] for _, data in rows]).view(np.float32)
+            text = np.repeat(np.arange(len(lengths)), lengths)
+            score = np.bincount(text, values[place], len(lengths)) - start
+            columns = [pa.array(ids, mask=none > 0), lengths, known, base.view(np.float64), score]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_SCORES)
 
-def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = MU) -> DataFrame:
-    """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of df."""
+    return run
+
+
+def _asked(df: DataFrame, id_col: str, text_col: str, model: Model | None, mu2: float, mu3: float) -> tuple[Model, DataFrame]:
     spark = df.sparkSession
     small_batches(spark)
-    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    size = df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    shards = max(2, partitions(spark) // 2, math.ceil(size / SHARD_BYTES))
-    key = F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))  # tells rows of one id apart
-    ids = F.col(id_col).cast("long")
-    home = F.pmod(F.xxhash64(ids, key), F.lit(shards)).cast("int")
-    docs = df.select(home.alias("home"), ids.alias("id"), key.alias("key"), text.alias("data"))
-    n, kinds, texts, hot = totals(docs, shards)
-    sums = _dealt(docs.mapInArrow(_token_rows(shards, hot[0]), _MOVE_DDL), shards).mapInArrow(_score_rows(n, kinds, mu, hot), _MOVE_DDL)
-    sums = _dealt(sums, shards).mapInArrow(_sum_rows, "id long, key long, n_tokens long, n_known long, base_score double, score double")
-    # Rows that repeat id and text have their tokens in one sum.
-    rows = docs.groupBy("id", "key").agg(F.count("*").alias("rows"))
-    found = sums.join(rows, sums.id.eqNullSafe(rows.id) & (sums.key == rows.key)).select(sums.id, "n_tokens", "n_known", "base_score", "score", "rows")
-    start = math.log10(texts + mu)
-    one = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("data"))
+    docs.mapInArrow(_write_batches(folder, model is None), "batch string, tokens long").write.json(f"{folder}/manifest")
+    manifest = spark.read.schema("batch string, tokens long").json(f"{folder}/manifest")
+    count, size = manifest.agg(F.count("*"), F.sum("tokens")).first()
+    fitted, home = model is not None, model.folder if model else folder
+    shards = model.shards if model else max(2, partitions(spark) // 2, math.ceil((size or 0) / SHARD))
+    tasks = max(1, min(count, 4 * max(shards, partitions(spark))))
+
+    def by_shard(rows: DataFrame) -> DataFrame:
+        return rows.repartition(min(shards, 1 << 17), "shard").sortWithinPartitions("shard", "batch").select("shard", "batch", "data")
+
+    def by_batch(rows: DataFrame) -> DataFrame:
+        return rows.repartition(tasks, "batch").sortWithinPartitions("batch", "shard").select("batch", "shard", "data")
+
+    asked = by_shard(manifest.select("batch").repartition(tasks).mapInArrow(_word_requests(folder, shards), _MOVE_DDL))
+    words = written(asked.mapInArrow(_word_answers(home, fitted, HOT), _WORDS_DDL), "lm-words")
+    answers = by_batch(words.where(F.col("kind") == ANSWER))
+    if model is None:
+        figures = words.where(F.col("kind") == FIGURES).agg(F.sum("n"), F.sum("kinds"), F.sum("texts")).first()
+        n, kinds, texts = (x or 0 for x in figures)
+        least = max(HOT, n // HOT_SHARE)
+        often = words.where((F.col("kind") == OFTEN) & (F.col("n") >= least)).select("id", "n").collect()  # at most HOT_SHARE rows
+        ids = np.array([START, END, *sorted(r.id for r in often)], np.int64)
+        counts = dict((r.id, r.n) for r in often) | {START: texts, END: texts}
+        none = np.zeros(0, np.int64)
+        hot = Hot(ids, np.array([counts[i] for i in ids.tolist()], np.int64), none, none)
+        pairs = answers.mapInArrow(_pair_counts(folder, shards, hot), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        found = sorted(map(tuple, pairs.where(F.col("n") >= least).collect()))  # at most HOT_SHARE rows
+        hot = Hot(hot.ids, hot.counts, *(np.array([r[k] for r in found], np.int64) for k in range(2)))
+        model = Model(folder, shards, n, kinds, texts, mu2, mu3, hot)
+        model.save()
+    known = spark.sparkContext.broadcast(model.hot)  # bounded by HOT_SHARE
+    asked = by_shard(answers.mapInArrow(_trigrams(folder, model, known), _MOVE_DDL))
+    found = by_batch(asked.mapInArrow(_trigram_answers(model, known, fitted), _MOVE_DDL))
+    sums = found.mapInArrow(_sums(folder, math.log10(model.texts + model.mu3)), "id long, n_tokens long, n_known long, base_score double, score double")
     held = F.pmod(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("null")).cast("binary")), F.lit(FOLDS)) == HELD
-    share = lambda c: F.col(c) / F.col("rows")
-    return one.select(
-        F.col("id").alias(id_col), held.alias("held_out"), share("n_tokens").cast("long").alias("n_tokens"), share("n_known").cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), share("base_score").alias("base_score"), (share("score") - F.lit(start)).alias("score"),
-    )
+    return model, sums.select(F.col("id").alias(id_col), held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu2: float = MU2, mu3: float = MU3) -> tuple[Model, DataFrame]:
+    """The model of df's training texts, and id_col, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of df.
+
+    The shards of the n-gram levels are written as the scores are computed; the model is whole once these have been read to the end."""
+    return _asked(df, id_col, text_col, None, mu2, mu3)
+
+
+def score(model: Model, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same columns for the rows of another table; nothing of it trains."""
+    return _asked(df, id_col, text_col, model, model.mu2, model.mu3)[1]
+
+
+def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu2: float = MU2, mu3: float = MU3) -> DataFrame:
+    return fit(df, id_col, text_col, mu2, mu3)[1]
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

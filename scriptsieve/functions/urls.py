@@ -10,11 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-LINK = r'(?i)<a\s[^>]*?href="([^"]*)"'
+#: An href in double quotes, in single ones, or bare.
+LINK = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def hrefs(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(LINK), 1)
+    quoted = F.regexp_extract_all(html, F.lit(LINK), 1)
+    return F.transform(quoted, lambda h: F.when(h.startswith('"') | h.startswith("'"), F.substring(h, F.lit(2), F.length(h) - 2)).otherwise(h))
 
 
 def authority(url: Column) -> Column:
@@ -25,20 +27,33 @@ def path(url: Column) -> Column:
     return F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its dot segments resolved; what would climb above the root stays at it."""
+    parts = F.split(path, "/", -1)
+    last = F.element_at(parts, -1)
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.regexp_replace(done, "/[^/]*$", "")
+        return F.when(part == ".", done).when(part == "..", up).otherwise(F.concat(done, F.lit("/"), part))
+
+    walked = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.lit(""), step)
+    return F.when(last.isin(".", ".."), F.concat(walked, F.lit("/"))).otherwise(walked)
+
+
 def absolute(base: Column, href: Column) -> Column:
-    """A link resolved against a page for the forms without dot segments; `resolve` takes all forms."""
+    """A link resolved against a page, dot segments included, in SQL functions."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     bare = F.regexp_extract(base, r"^([^?#]*)", 1)
-    folder = F.when(path(base) == "", F.concat(root, F.lit("/"))).otherwise(F.regexp_extract(bare, r"^(.*/)", 1))
+    folder = F.when(path(base) == "", F.lit("/")).otherwise(F.regexp_extract(F.substring(bare, F.length(root) + 1, F.length(bare)), r"^(.*/)", 1))
+    way, rest = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
+        .when(href == "", base)
         .when(href.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
         .when(href.startswith("?"), F.concat(bare, href))
-        .when(href == "", base)
-        .otherwise(F.concat(folder, href))
+        .otherwise(F.concat(root, without_dots(F.when(href.startswith("/"), way).otherwise(F.concat(folder, way))), rest))
     )
 
 

@@ -108,6 +108,8 @@ def matches(text: str, tree: dict) -> list[tuple[int, int, int, dict[str, str]]]
             add(CLASSES, node, name=node["name"])
         elif kind in ("FunctionDeclaration", "FunctionExpression", "Arrow"):
             add(FUNCTIONS, node, name=node.get("name"))
+        elif kind == "Method":  # a function expression from its parameters on
+            add(FUNCTIONS, node, start=text.index("(", node["key"]["end"]))
         elif kind == "If":
             # What is inside a refused `if` is not matched either.
             if not any(s <= node["start"] and node["end"] <= e for s, e in refused):

@@ -5,6 +5,7 @@ Nodes are dicts with `type`, `start`, `end` and children; offsets count characte
 from __future__ import annotations
 
 import re
+import sys
 import time
 
 
@@ -555,11 +556,20 @@ class Parser:
 _STATEMENTS = {"var", "const", "function", "class", "if", "for", "while", "do", "return", "throw", "break", "continue", "debugger", "try", "switch", "with"}
 
 
+#: Frames of the parser at most, which bounds its memory to some 300 MB; a level of nesting takes up to sixteen.
+FRAMES = 400_000
+
+
 def parse(text: str, seconds: float = 10.0) -> dict:
+    """The tree of a script. The parser's frames are on the heap, so the limit is that of memory: 25,000 nested functions and more."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, min(FRAMES, 2_000 + 16 * len(text))))
     try:
         return Parser(text, seconds).program()
     except RecursionError as e:
         raise SyntaxFault("nested too deeply") from e
+    finally:
+        sys.setrecursionlimit(before)
 
 
 def children(node: dict):

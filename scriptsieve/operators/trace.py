@@ -175,6 +175,12 @@ def setter_calls(calls: DataFrame) -> DataFrame:
     return calls.where(F.col("value").isNull() & (F.json_array_length("argument") == 1))
 
 
+def hook_kind(argument: Column, value: Column) -> Column:
+    """What kind of hook logged a call: a setter has no value and one argument, a getter an empty object for arguments, a method a list."""
+    setter = value.isNull() & F.coalesce(F.json_array_length(argument) == 1, F.lit(False))
+    return F.when(setter, "setter").when(F.regexp_replace(argument, r"\\s", "") == "{}", "getter").when(F.ltrim(argument).startswith("["), "method")
+
+
 def coverage(calls: DataFrame, surface: DataFrame) -> DataFrame:
     """symbol, n: how often each symbol of a hooked surface was called, 0 for those that never were."""
     counts = normalised(calls).groupBy("symbol").agg(F.count("*").alias("n"))

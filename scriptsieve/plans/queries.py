@@ -80,35 +80,29 @@ def distinct_with_null(spark, d):
     return calls(spark, d).select("script", v.alias("v")).groupBy("script").agg((F.count_distinct("v") + F.max(F.col("v").isNull().cast("int"))).alias("n_values"))
 
 
+def short_calls(spark, d):
+    """The calls of a user dealt over ten scripts, which are short enough to lack some signals."""
+    e = table(spark, d, "events").withColumn("script", F.col("user_id") * 10 + F.col("event_id") % 10)
+    return e.select("script", F.col("event_id").alias("seq"), F.col("event_type").alias("symbol"), F.col("props").alias("argument"), F.floor("value").cast("long").cast("string").alias("value"))
+
+
 @query(
     "trace_ground_truth",
-    f"""with {CALLS}, s as (select script, value, case when symbol like '%click%' then 'text' when symbol like '%view%' then 'style' when symbol = 'error' then 'state' when symbol like '%signup%' then 'font' when symbol like '%purch%' then 'measure' end as g from calls),
+    """with s as (select user_id * 10 + event_id % 10 as script, floor(value)::bigint::varchar as value, case when event_type like '%click%' then 'text' when event_type like '%view%' then 'style' when event_type = 'error' then 'state' when event_type like '%signup%' then 'font' when event_type like '%purch%' then 'measure' end as g from events),
     t as (select script, coalesce(bool_or(g = 'text'), false) and coalesce(bool_or(g = 'style'), false) and not coalesce(bool_or(g = 'state'), false) as x, coalesce(bool_or(g = 'state'), false) as st,
-      count(distinct case when g = 'font' then value end) > 8 and count(*) filter (where g = 'measure') > 8 as f from s group by script)
+      count(distinct case when g = 'font' then value end) > 1 and count(*) filter (where g = 'measure') > 1 as f from s group by script)
     select script, x as is_drawn, st as has_state, f as is_font, x or f as is_any from t""",
 )
 def trace_ground_truth(spark, d):
-    c = trace.normalised(calls(spark, d)).withColumn("signal", SIGNALS.column(F.col("symbol")))
+    c = trace.normalised(short_calls(spark, d)).withColumn("signal", SIGNALS.column(F.col("symbol")))
     has = lambda n: F.coalesce(F.bool_or(F.col("signal") == n), F.lit(False))
     out = c.groupBy("script").agg(
         (has("text") & has("style") & ~has("state")).alias("is_drawn"), has("state").alias("has_state"),
-        ((F.count_distinct(F.when(F.col("signal") == "font", F.col("value"))) > 8) & (F.count_if(F.col("signal") == "measure") > 8)).alias("is_font"),
+        ((F.count_distinct(F.when(F.col("signal") == "font", F.col("value"))) > 1) & (F.count_if(F.col("signal") == "measure") > 1)).alias("is_font"),
     )
     return out.withColumn("is_any", F.expr("is_drawn or is_font"))
 
 
-@query(
-    "rule6_ground_truth_labels",
-    f"""with {CALLS}, m as (select script, value, case symbol when 'click' then 'canvasrenderingcontext2d.filltext' when 'view' then 'canvasrenderingcontext2d.fillstyle' when 'signup' then 'htmlcanvaselement.todataurl' when 'purchase' then 'canvasrenderingcontext2d.measuretext' else 'offlineaudiocontext.startrendering' end as s from calls)
-    select script, c as is_canvas, false as is_webrtc, false as is_canvasfont, a as is_audio, c or a as is_fingerprinting from
-    (select script, bool_or(s = 'canvasrenderingcontext2d.filltext') and bool_or(s = 'canvasrenderingcontext2d.fillstyle') and bool_or(s = 'htmlcanvaselement.todataurl') as c, bool_or(s like 'offline%') as a from m group by script)""",
-)
-def ground_truth_labels(spark, d):
-    names = {"click": " CanvasRenderingContext2D.fillText ", "view": "CanvasRenderingContext2D.fillStyle", "signup": "HTMLCanvasElement.toDataURL", "purchase": "CanvasRenderingContext2D.measureText"}
-    sym = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("symbol")), F.lit("OfflineAudioContext.startRendering"))
-    return trace.ground_truth(calls(spark, d).withColumn("symbol", sym))
-
-
 @query(
     "agg7_value_features",
     f"""with {CALLS}, v as (select script, seq, case symbol when 'click' then 'window.document.cookie' when 'view' then 'canvasrenderingcontext2d.fillstyle' when 'signup' then 'canvasrenderingcontext2d.filter' else symbol end as s,
@@ -207,11 +201,6 @@ def rule_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", n("er").alias("n_er"), n("[aeiou]n ").alias("n_vn"))
 
 
-@query("rule1_script_vocabulary", "select page_id, '' as categories from pages where length(html) > 0")
-def script_vocabulary(spark, d):
-    return table(spark, d, "pages").where(F.length("html") > 0).select("page_id", F.array_join(rules.categories(F.col("html")), ";").alias("categories"))
-
-
 SCRIPT_BODY = "(?s)<script[^>]*>(.*?)</script>"
 
 
@@ -402,7 +391,8 @@ def document_spans(spark, d):
     """Three made spans for each document, from its id and length."""
     rows = table(spark, d, "documents").select("doc_id", "text", F.length("text").alias("n"))
     s = lambda a, b, rule: F.struct((F.col("doc_id") * a % F.col("n")).cast("int").alias("start"), F.least(F.col("n"), F.col("doc_id") * a % F.col("n") + b).cast("int").alias("end"), F.lit(rule).alias("rule"), F.lit(0).alias("idx"))
-    return rows.where("n > 0").withColumn("spans", F.array(s(7, 40, 1), s(13, 25, 2), s(29, 60, 3), s(7, 40, 1)))
+    made = F.array(s(7, 40, 1), s(13, 25, 2), s(29, 60, 3), s(7, 40, 1))
+    return rows.withColumn("n", F.nullif("n", F.lit(0))).withColumn("spans", F.when(F.col("n").isNotNull(), made).otherwise(F.array().cast(f"array<{spans.SPAN}>")))
 
 
 SPANS = """s as (select doc_id, text, length(text) as n, u.r as rule, (doc_id * u.a % length(text))::int as st, least(length(text), doc_id * u.a % length(text) + u.b)::int as en from documents, (values (1, 7, 40), (2, 13, 25), (3, 29, 60)) u(r, a, b) where length(text) > 0),
@@ -410,23 +400,23 @@ SPANS = """s as (select doc_id, text, length(text) as n, u.r as rule, (doc_id *
  t as (select a.doc_id, a.text, a.n, a.st as s1, a.en as e1, b.st as s2, b.en as e2, b.st >= a.en as k2, c.st as s3, c.en as e3, c.st >= case when b.st >= a.en then b.en else a.en end as k3 from o a join o b on a.doc_id = b.doc_id and a.k = 1 and b.k = 2 join o c on c.doc_id = a.doc_id and c.k = 3)"""
 
 
-@query("seq3_span_cover", f"with {SPANS} select doc_id, 1 + k2::int + k3::int as n_taken, round(((e1 - s1) + case when k2 then e2 - s2 else 0 end + case when k3 then e3 - s3 else 0 end) / n::double, 9) as cnv_ptg from t")
+@query("seq3_span_cover", f"with {SPANS} select doc_id, 1 + k2::int + k3::int as n_taken, round(((e1 - s1) + case when k2 then e2 - s2 else 0 end + case when k3 then e3 - s3 else 0 end) / n::double, 9) as cnv_ptg from t union all select doc_id, 0, 0.0 from documents where coalesce(length(text), 0) = 0")
 def span_cover(spark, d):
     taken = document_spans(spark, d).withColumn("taken", spans.chosen(F.col("spans")))
     return taken.select("doc_id", F.size("taken").alias("n_taken"), F.round(spans.coverage(F.col("taken"), F.col("text")), 9).alias("cnv_ptg"))
 
 
-@query("seq3_splice", f"with {SPANS} select doc_id, md5(substr(text, 1, s1) || '<>' || case when k2 and k3 then substr(text, e1 + 1, s2 - e1) || '<>' || substr(text, e2 + 1, s3 - e2) || '<>' || substr(text, e3 + 1) when k2 then substr(text, e1 + 1, s2 - e1) || '<>' || substr(text, e2 + 1) when k3 then substr(text, e1 + 1, s3 - e1) || '<>' || substr(text, e3 + 1) else substr(text, e1 + 1) end) as digest from t")
+@query("seq3_splice", f"with {SPANS} select doc_id, md5(substr(text, 1, s1) || '<>' || case when k2 and k3 then substr(text, e1 + 1, s2 - e1) || '<>' || substr(text, e2 + 1, s3 - e2) || '<>' || substr(text, e3 + 1) when k2 then substr(text, e1 + 1, s2 - e1) || '<>' || substr(text, e2 + 1) when k3 then substr(text, e1 + 1, s3 - e1) || '<>' || substr(text, e3 + 1) else substr(text, e1 + 1) end) as digest from t union all select doc_id, md5(text) from documents where coalesce(length(text), 0) = 0")
 def span_splice(spark, d):
     codes = F.create_map(*[x for r in (1, 2, 3) for x in (F.lit(r), F.lit("<>"))])
     taken = document_spans(spark, d).withColumn("taken", spans.chosen(F.col("spans")))
     return taken.select("doc_id", F.md5(spans.spliced(F.col("taken"), F.col("text"), codes)).alias("digest"))
 
 
-@query("ast15_rule_composition", "select conv_id as script, count(*)::bigint as n_spans from conversations where role = 'user' and turn > 0 group by 1")
+@query("ast15_rule_composition", "select conv_id as script, count(*)::bigint as n_spans from conversations where role = 'user' group by 1")
 def rule_composition(spark, d):
     c = table(spark, d, "conversations")
-    s = c.select(F.col("conv_id").alias("script"), F.col("role").alias("rule"), F.col("turn").cast("int").alias("start"), (F.col("turn") + 1).cast("int").alias("end"), F.lit(0).alias("idx")).where("start > 0")
+    s = c.select(F.col("conv_id").alias("script"), F.col("role").alias("rule"), F.col("turn").cast("int").alias("start"), (F.col("turn") + 1).cast("int").alias("end"), F.lit(0).alias("idx"))
     checks = c.select(F.col("conv_id").alias("script"), F.col("role").alias("rule"), (F.col("role") == "user").alias("valid"))
     return spans.composed(s, checks).select("script", F.size("spans").cast("long").alias("n_spans"))
 
@@ -438,10 +428,10 @@ def quoted_canvas(spark, d):
     return found.select("doc_id", F.size("s").alias("n_spans"), F.get("s", 0)["start"].cast("long").alias("first_start"))
 
 
-@query("seq4_offsets", "select doc_id, case when len(string_split(text, chr(10))) >= 2 then length(string_split(text, chr(10))[1]) + 1 + 1 else -1 end::bigint as at from documents where not (len(string_split(text, chr(10))) >= 2 and length(string_split(text, chr(10))[1]) + 2 > length(text))")
+@query("seq4_offsets", "select doc_id, coalesce(case when len(x) >= 2 and length(x[1]) + 2 <= length(text) then length(x[1]) + 2 end, -1)::bigint as at from (select doc_id, text, string_split(text, chr(10)) as x from documents)")
 def offsets(spark, d):
-    rows = table(spark, d, "documents").where("not (size(split(text, '\\n', -1)) >= 2 and length(split(text, '\\n', -1)[0]) + 2 > length(text))")
-    return rows.select("doc_id", spans.offset(F.col("text"), F.lit(2), F.lit(1)).cast("long").alias("at"))
+    at = F.coalesce(spans.offset(F.col("text"), F.lit(2), F.lit(1)), F.lit(-1))
+    return table(spark, d, "documents").select("doc_id", at.cast("long").alias("at"))
 
 
 @query("seq5_ordinals", "select conv_id, turn, row_number() over (partition by conv_id order by turn)::bigint as n, ceil(row_number() over (partition by conv_id order by turn) / 3.0)::bigint as part from conversations")
@@ -517,12 +507,6 @@ def token_lookup(spark, d):
     return tokens.named(ids, spark.range(1, 21).select(F.concat(F.lit("tok"), F.col("id")).alias("token"), F.col("id").alias("idx")))
 
 
-@query("tok1_script_tokens", f"with {SCRIPTS} select page_id, pos::bigint as pos, len(regexp_extract_all(script, '[A-Za-z_$][A-Za-z0-9_$]*'))::bigint as n_names from scripts")
-def script_tokens(spark, d):
-    names = F.regexp_extract_all("script", F.lit("[A-Za-z_$][A-Za-z0-9_$]*"), 0)
-    return page_scripts(spark, d).select("page_id", F.col("pos").cast("long").alias("pos"), F.size(names).cast("long").alias("n_names"))
-
-
 PREDICTED = "p as (select quality as label, toxic as prediction from labels)"
 
 
@@ -589,14 +573,6 @@ def row_sets(spark, d):
     )
 
 
-@query("map1_merge_invert", "select user_id, count(distinct event_type)::bigint as n_keys, max(event_id)::bigint as last_id from events group by 1")
-def map_merge(spark, d):
-    m = F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: F.struct(x["event_id"], x["event_type"])))
-    out = table(spark, d, "events").groupBy("user_id").agg(m.alias("m"))
-    names = F.array_distinct(F.map_values("m"))
-    return out.select("user_id", F.size(names).cast("long").alias("n_keys"), F.array_max(F.map_keys("m")).alias("last_id"))
-
-
 @query("str13_halves", "select distinct role, substr(role, 1, length(role) // 2) as a, substr(role, length(role) // 2 + 1) as b from conversations")
 def word_halves(spark, d):
     h = T.halves(F.col("role"))
@@ -659,25 +635,6 @@ def made_scripts(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.concat(F.lit(head), F.col("doc_id"), F.lit(tail)).alias("script"))
 
 
-_FOUND = {1: 2, 2: 1, 3: 1, 4: 1, 5: 1, 7: 1, 8: 1, 9: 1, 10: 4, 11: 2, 12: 1, 13: 1, 14: 1}
-
-
-@query("ast_rule_spans", "select doc_id::varchar as key, rule::int as rule, n::bigint as n_spans, case when rule in (2, 12) then (length(doc_id::varchar) + case rule when 2 then 30 else 39 end)::bigint end as first_start from documents, (values " + ", ".join(f"({r}, {n})" for r, n in _FOUND.items()) + ") v(rule, n)")
-def rule_spans(spark, d):
-    from ..operators import script_rules
-
-    out = script_rules.match_rules(made_scripts(spark, d)).groupBy("key", "rule").agg(F.count("*").alias("n_spans"), F.min("start").cast("long").alias("start"))
-    return out.select("key", "rule", "n_spans", F.when(F.col("rule").isin(2, 12), F.col("start")).alias("first_start"))
-
-
-@query("ast17_parse_check", "select doc_id::varchar as key, doc_id % 3 <> 0 as parsed from documents")
-def parse_check(spark, d):
-    from ..operators import script_rules
-
-    s = made_scripts(spark, d).withColumn("script", F.when(F.col("key") % 3 == 0, F.concat("script", F.lit(" var = ("))).otherwise(F.col("script")))
-    return script_rules.parse_checks(s)
-
-
 @query("tok2_tree_features", "select doc_id::varchar as key, 'VariableDeclarator:a' || doc_id as feature, 1::bigint as n from documents union all select doc_id::varchar, 'MemberExpression:screen', 1 from documents")
 def tree_features(spark, d):
     from ..operators import script_rules

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +47,35 @@ def nested(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("value"))
 
 
-def one_file_a_row(df: DataFrame, path: str) -> None:
-    """A folder for each key with its text; for exports of bounded size."""
-    df.select("key", F.col("content").alias("value")).write.mode("overwrite").partitionBy("key").text(path)
+def named_files(df: DataFrame, root: str) -> None:
+    """A file for each row (name: path under root, content), written under a temporary name and moved when complete; a repeated attempt writes the same."""
+    schema = pa.schema([("name", pa.string())])
+
+    def run(batches):
+        system, top = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", root))
+        for batch in batches:
+            names, contents = (c.to_pylist() for c in batch.columns)
+            for name, content in zip(names, contents):
+                folder, _, last = f"{top}/{name}".rpartition("/")
+                draft = f"{folder}/_{uuid.uuid4().hex}"
+                system.create_dir(folder, recursive=True)
+                with system.open_output_stream(draft) as out:
+                    out.write((content or "").encode("utf-8", "surrogatepass"))
+                system.move(draft, f"{folder}/{last}")
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], schema=schema)
+
+    df.select("name", "content").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+
+
+def one_file_a_row(df: DataFrame, root: str, suffix: str = ".txt") -> None:
+    """A file for each key with its text, named by the key."""
+    named_files(df.select(F.concat(F.col("key").cast("string"), F.lit(suffix)).alias("name"), "content"), root)
+
+
+def samples(df: DataFrame, root: str, prefix: str, stamp: str) -> None:
+    """Samples (rep and other columns) as one JSON array file a repetition, `<prefix>_<rep>_<stamp>.json`."""
+    rows = df.groupBy("rep").agg(F.to_json(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != "rep"])))).alias("content"))
+    named_files(rows.select(F.concat(F.lit(f"{prefix}_"), F.col("rep").cast("string"), F.lit(f"_{stamp}.json")).alias("name"), "content"), root)
 
 
 def model(pipeline_model, path: str) -> None:

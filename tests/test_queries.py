@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from scriptsieve.plans import queries
+from scriptsieve.plans import corpus as queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -51,7 +51,7 @@ from .suffixes import pack, unpack
 MU2, MU3 = 1000.0, 20.0
 FOLDS, HELD = 7, 2
 #: Tokens of a batch and of a shard, about.
-BATCH, SHARD = 1 << 20, 1 << 20
+BATCH, SHARD = 1 << 21, 3 << 19
 #: Tokens from which a word or pair is dealt over several shards: this many, or this share of all.
 HOT, HOT_SHARE = SHARD // 32, 1 << 20
 END_HASH = np.uint64(0x0E4D0E4D0E4D0E4D)
@@ -62,8 +62,8 @@ _LETTER = (np.random.default_rng(5).integers(1, 1 << 62, 256, dtype=np.int64) *
 _LETTER[65:91] = _LETTER[97:123]
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
-#: Logarithms are stored in steps of STEP from LOW.
-LOW, STEP = -24.0, 48.0 / 65535
+#: Logarithms are stored in 65,536 steps of STEP from -ZERO * STEP.
+ZERO, STEP = 1 << 15, 24.0 / (1 << 15)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -219,11 +219,11 @@ class EliasFano:
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint((x - LOW) / STEP), 0, 65535).astype(np.uint16)
+    return np.clip(np.rint(x / STEP) + ZERO, 0, 2 * ZERO - 1).astype(np.uint16)
 
 
 def restored(steps: np.ndarray) -> np.ndarray:
-    return LOW + STEP * steps
+    return STEP * (steps.astype(np.int64) - ZERO)
 
 
 def _to_file(folder: str, name: str, arrays: list[np.ndarray]) -> None:
@@ -317,30 +317,30 @@ class Trie:
         return [x for level in levels for x in EliasFano(level).arrays()] + [quantised(x) for x in steps]
 
     def answers(self, b, w, a, c_w, total: float, mu2: float, hot: Hot) -> np.ndarray:
-        """log10 of the token's numerator, less that of its part as a context, of each trigram. What a word or pair that isn't here counts is 0, or known to all."""
+        """log10 of the token's numerator, less that of its part as a context, of each trigram, in steps. What a word or pair that isn't here counts is 0, or known to all."""
         log_mu3, share = math.log10(self.mu3), (c_w + 1) / total
         (rb, there), (rw, w_there), (ra, a_there) = (self.ranks.successor(x) for x in (b, w, a))
         c_b = hot.word_counts(b, np.zeros(len(b), np.int64))
         c_pair = hot.pair_counts(b, w, np.zeros(len(b), np.int64))
-        p2, context = np.log10((c_pair + mu2 * share) / (c_b + mu2)), np.log10(c_pair + self.mu3)
+        p2, context = np.log10((c_pair + mu2 * share) / (c_b + mu2)), quantised(np.log10(c_pair + self.mu3))
         k = np.flatnonzero(there)
         middle, hit = self.middle.successor(rb[k])
         k, middle = k[hit], middle[hit]
         none = c_pair[k] == 0
         p2[k[none]] = np.log10(mu2 * share[k[none]]) - restored(self.context[middle[none]])
-        score = p2 + log_mu3
         inside = w_there[k]
         k, middle = k[inside], middle[inside]
         pair, hit = self.words.successor(rw[k] + self.word_shifts.get(middle))
         hit &= pair < self.to_words.get(middle + 1)
         k, pair = k[hit], pair[hit]
-        score[k], context[k] = restored(self.pair[pair]) + log_mu3, restored(self.pair_context[pair])
+        p2[k], context[k] = restored(self.pair[pair]), self.pair_context[pair]
+        score = quantised(p2 + log_mu3)
         inside = a_there[k]
         k, pair = k[inside], pair[inside]
         triple, hit = self.before.successor(ra[k] + self.before_shifts.get(pair))
         hit &= triple < self.to_before.get(pair + 1)
-        score[k[hit]] = restored(self.triple[triple[hit]])
-        return score - np.where(w == END, 0.0, context)
+        score[k[hit]] = self.triple[triple[hit]]
+        return score.astype(np.int32) - np.where(w == END, ZERO, context).astype(np.int32)
 
 
 # ---- words and pairs that are dealt over several shards
@@ -513,17 +513,17 @@ def _word_requests(folder: str, shards: int):
     return run
 
 
-_WORDS = pa.schema([("kind", pa.int32()), ("batch", pa.string()), ("shard", pa.int32()), ("data", pa.binary()), ("id", pa.int64()), ("n", pa.int64()), ("kinds", pa.int64()), ("texts", pa.int64())])
-_WORDS_DDL = "kind int, batch string, shard int, data binary, id long, n long, kinds long, texts long"
+_WORDS = pa.schema([("kind", pa.int32()), ("batch", pa.string()), ("shard", pa.int32()), ("data", pa.binary()), ("id", pa.int64()), ("n", pa.int64()), ("kinds", pa.int64()), ("texts", pa.int64()), ("hash", pa.int64())])
+_WORDS_DDL = "kind int, batch string, shard int, data binary, id long, n long, kinds long, texts long, hash long"
 ANSWER, FIGURES, OFTEN = range(3)
 
 
 def _word_answers(folder: str, fitted: bool, hot: int):
     """A shard of the first level: built, unless it is there, and asked. Rows: answers by batch, figures of the shard, its frequent words."""
 
-    def rows(kind, batch, shard, data, ids, n, kinds=(0,), texts=(0,)):
+    def rows(kind, batch, shard, data, ids, n, kinds=(0,), texts=(0,), hashes=None):
         k = len(n)
-        columns = [[kind] * k, batch, [shard] * k, data, ids, n, list(kinds) * k, list(texts) * k]
+        columns = [[kind] * k, batch, [shard] * k, data, ids, n, list(kinds) * k, list(texts) * k, [None] * k if hashes is None else hashes]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _WORDS)], schema=_WORDS)
 
     def run(batches):
@@ -541,7 +541,7 @@ def _word_answers(folder: str, fitted: bool, hot: int):
                 _to_file(folder, f"words-{shard:07d}", Words.built(h, counts))
                 yield rows(FIGURES, [None], shard, [None], [None], [int(counts.sum())], [len(h)], [int(sum(t[0] for _, _, t in parts))])
                 often = np.flatnonzero((counts >= hot) & (h != END_HASH))
-                yield rows(OFTEN, [None] * len(often), shard, [None] * len(often), (shard + 1) * WORDS + often, counts[often])
+                yield rows(OFTEN, [None] * len(often), shard, [None] * len(often), (shard + 1) * WORDS + often, counts[often], hashes=h[often].view(np.int64))
             words = Words(_from_file(folder, f"words-{shard:07d}")) if files.there(f"{folder}/words-{shard:07d}") else Words(Words.built(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
             for (name, _), h in zip(asked, asked_for):
                 yield rows(ANSWER, [name], shard, [pack(*words.find(h))], [None], [len(h)])
@@ -553,74 +553,85 @@ def _ids(shards: np.ndarray, place: np.ndarray, hashes: np.ndarray) -> np.ndarra
     return np.where(hashes == END_HASH, END, np.where(place < 0, UNKNOWN, (shards + 1) * WORDS + place))
 
 
-def _tokens_of(batch: list[np.ndarray], answers: list[tuple], shards: int):
-    """(text, b, w, a as ranks, the ranks' ids, their counts) of a batch's tokens, from the answers of the first level in order of shard."""
-    _, _, _, lengths, words, place = batch
+def _words_of(batch: list[np.ndarray], answers: list[tuple], shards: int):
+    """The rank of each of a batch's words, and the ranks' ids and counts (0: the start), from the answers of the first level in order of shard."""
+    _, _, _, _, words, _ = batch
     found = [unpack(data) for _, data in answers]
     at, count = (np.concatenate([f[c] for f in found]) for c in range(2))
-    ids = _ids(_shard(words, shards), at, words)
-    ids, first, rank = np.unique(ids, return_index=True, return_inverse=True)
+    ids, first, rank = np.unique(_ids(_shard(words, shards), at, words), return_index=True, return_inverse=True)
     counts = np.where(ids == UNKNOWN, 0, count[first])
-    kinds = np.concatenate(([START], ids))
-    w = rank[place] + 1
-    text = np.repeat(np.arange(len(lengths)), lengths)
-    starts = np.cumsum(lengths) - lengths
-    b = np.concatenate(([0], w[:-1]))
-    b[starts] = 0
-    a = np.concatenate(([0], b[:-1]))
-    a[starts] = 0
-    return text, b, w, a, kinds, np.concatenate(([0], counts))
-
-
-def _pair_counts(folder: str, shards: int, hot: Hot):
-    """Pairs of frequent words in the training texts of each batch, with counts."""
+    return rank + 1, np.concatenate(([START], ids)), np.concatenate(([0], counts))
+
+
+def _pair_counts(folder: str, hashes: np.ndarray):
+    """Pairs of frequent words in the training texts of each batch, with counts. A word is known by its place among the frequent ones, of which the first is the start."""
     schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
+    order = np.argsort(hashes[1:])
+    ordered = hashes[1:][order]
 
     def run(batches):
-        for name, rows in _runs(batches):
-            batch = _batch(folder, name)
-            text, b, w, _, kinds, _ = _tokens_of(batch, rows, shards)
-            place = hot.words(kinds)
-            keep = (place[b] >= 0) & (place[w] >= 0) & (batch[2][text] > 0)
-            pair, n = np.unique(place[b[keep]] * len(hot.ids) + place[w[keep]], return_counts=True)
-            yield pa.RecordBatch.from_pydict({"pair": pair, "n": n}, schema=schema)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                _, _, train, lengths, words, place = _batch(folder, name)
+                at = np.minimum(np.searchsorted(ordered, words), len(ordered) - 1)
+                w = np.where(ordered[at] == words, order[at] + 1, -1)[place]
+                b = np.concatenate(([0], w[:-1]))
+                b[np.cumsum(lengths) - lengths] = 0
+                keep = (b >= 0) & (w >= 0) & (np.repeat(train, lengths) > 0)
+                pair, n = np.unique(b[keep] * len(hashes) + w[keep], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"pair": pair, "n": n}, schema=schema)
 
     return run
 
 
+class _Trigrams:
+    """The different trigrams of a batch, in order of shard, from its tokens as ranks of words and the words' ids."""
+
+    def __init__(self, lengths: np.ndarray, w: np.ndarray, kinds: np.ndarray, hot: Hot, shards: int):
+        starts, u = np.cumsum(lengths) - lengths, len(kinds)
+        b = np.concatenate(([0], w[:-1]))
+        b[starts] = 0
+        a = np.concatenate(([0], b[:-1]))
+        a[starts] = 0
+        pair, pairs = b * u + w, None
+        if u**3 >= 1 << 63:
+            pairs, pair = np.unique(pair, return_inverse=True)
+        keys, self.of_token = np.unique(pair * u + a, return_inverse=True)
+        pair, self.a = np.divmod(keys, u)
+        self.b, self.w = np.divmod(pair if pairs is None else pairs[pair], u)
+        self.shard = hot.shards(kinds[self.b], kinds[self.w], kinds[self.a], shards)
+        self.order = np.argsort(self.shard.astype(np.int32), kind="stable")
+
+    def rows(self, train: np.ndarray, kinds: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """Of each shard: the words' ids and counts, and the trigrams as places among them, with how often they train."""
+        n = np.bincount(self.of_token, train, len(self.b)).astype(np.uint32)
+        used, place = np.zeros(len(kinds), bool), np.zeros(len(kinds), np.uint32)
+        for shard, (b, w, a, c) in _cut(self.shard[self.order], self.b[self.order], self.w[self.order], self.a[self.order], n[self.order]):
+            for x in (b, w, a):
+                used[x] = True
+            own = np.flatnonzero(used)
+            used[own] = False
+            place[own] = np.arange(len(own), dtype=np.uint32)
+            yield shard, pack(kinds[own], counts[own], np.diff(place[b], prepend=np.uint32(0)), place[w], place[a], c)
+
+
 def _trigrams(folder: str, model: Model, hot):
-    """Different trigrams of each batch by shard; base figures and the tokens' places among the trigrams are kept in a file beside the batch."""
+    """Different trigrams of each batch by shard; base figures and the words' ids are kept in a file beside the batch."""
 
     def run(batches):
         for name, rows in _runs(batches):
             batch = _batch(folder, name)
-            ids, none, train, lengths, _, _ = batch
-            text, b, w, a, kinds, counts = _tokens_of(batch, rows, model.shards)
+            _, _, train, lengths, _, place = batch
+            rank, kinds, counts = _words_of(batch, rows, model.shards)
+            w = rank[place]
+            text = np.repeat(np.arange(len(lengths)), lengths)
             base = np.bincount(text, np.log10((counts + 1) / model.total)[w], len(lengths))
             known = np.bincount(text, counts[w] > 0, len(lengths)).astype(np.int64)
-            u = len(kinds)
-            pair = b * u + w
-            if u**3 >= 1 << 63:
-                pairs, pair = np.unique(pair, return_inverse=True)
-            keys, trigram = np.unique(pair * u + a, return_inverse=True)
-            n = np.bincount(trigram, train[text], len(keys)).astype(np.int64)
-            pair, a = np.divmod(keys, u)
-            if u**3 >= 1 << 63:
-                pair = pairs[pair]
-            b, w = np.divmod(pair, u)
-            c_w = counts[w]
-            b, w, a = kinds[b], kinds[w], kinds[a]
-            shard = hot.value.shards(b, w, a, model.shards)
-            order = np.argsort(shard, kind="stable")
-            place = np.empty(len(order), np.uint32)
-            place[order] = np.arange(len(order))
-            draft = files.Draft(folder, f"{name}-links")
-            draft.write(pack(ids, none, lengths, known, base.view(np.int64), place[trigram]))
+            found = _Trigrams(lengths, w, kinds, hot.value, model.shards)
+            draft = files.Draft(folder, f"{name}-words")
+            draft.write(pack(known, base.view(np.int64), np.diff(rank, prepend=0), kinds))
             draft.commit()
-            out = []
-            for s, (x, y, z, count, c) in _cut(shard[order], b[order], w[order], a[order], n[order], c_w[order]):
-                out.append((s, name, pack(np.diff(x, prepend=0), y, z, count, c)))
-            yield _moved(out)
+            yield _moved([(shard, name, data) for shard, data in found.rows(train[text], kinds, counts)])
 
     return run
 
@@ -630,9 +641,10 @@ def _trigram_answers(model: Model, hot, fitted: bool):
 
     def run(batches):
         for shard, asked in _runs(batches):
-            parts = [unpack(data) for _, data in asked]
-            for p in parts:
-                p[0] = np.cumsum(p[0])
+            parts = []
+            for _, data in asked:
+                ids, counts, b, w, a, n = unpack(data)
+                parts.append((ids[np.cumsum(b, dtype=np.uint32)], ids[w], ids[a], n.astype(np.int64), counts[w]))
             name = f"trie-{shard:07d}"
             if not fitted:
                 b, w, a, n, c_w = (np.concatenate([p[c][p[3] > 0] for p in parts]) for c in range(5))
@@ -647,8 +659,7 @@ def _trigram_answers(model: Model, hot, fitted: bool):
             trie = Trie(arrays, model.mu3)
             out = []
             for (batch, _), (b, w, a, _, c_w) in zip(asked, parts):
-                values = trie.answers(b, w, a, c_w, model.total, model.mu2, hot.value).astype(np.float32)
-                out.append((shard, batch, pack(values.view(np.uint32))))
+                out.append((shard, batch, pack(trie.answers(b, w, a, c_w, model.total, model.mu2, hot.value))))
             yield _moved(out)
 
     return run
@@ -657,15 +668,18 @@ def _trigram_answers(model: Model, hot, fitted: bool):
 _SCORES = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _sums(folder: str, start: float):
+def _sums(folder: str, shards: int, hot, start: float):
     """The answers of each batch's tokens, added up by text."""
 
     def run(batches):
         for name, rows in _runs(batches):
-            ids, none, lengths, known, base, place = _batch(folder, f"{name}-links")
-            values = np.concatenate([unpack(data)[0] for _, data in rows]).view(np.float32)
+            ids, none, _, lengths, _, place = _batch(folder, name)
+            known, base, rank, kinds = _batch(folder, f"{name}-words")
+            found = _Trigrams(lengths, np.cumsum(rank)[place], kinds, hot.value, shards)
+            values = np.empty(len(found.order), np.int32)
+            values[found.order] = np.concatenate([unpack(data)[0] for _, data in rows])
             text = np.repeat(np.arange(len(lengths)), lengths)
-            score = np.bincount(text, values[place], len(lengths)) - start
+            score = STEP * np.bincount(text, values[found.of_token], len(lengths)) - start
             columns = [pa.array(ids, mask=none > 0), lengths, known, base.view(np.float64), score]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_SCORES)
 
@@ -690,19 +704,19 @@ def _asked(df: DataFrame, id_col: str, text_col: str, model: Model | None, mu2:
     def by_batch(rows: DataFrame) -> DataFrame:
         return rows.repartition(tasks, "batch").sortWithinPartitions("batch", "shard").select("batch", "shard", "data")
 
-    asked = by_shard(manifest.select("batch").repartition(tasks).mapInArrow(_word_requests(folder, shards), _MOVE_DDL))
+    batches = manifest.select("batch").repartition(tasks)
+    asked = by_shard(batches.mapInArrow(_word_requests(folder, shards), _MOVE_DDL))
     words = written(asked.mapInArrow(_word_answers(home, fitted, HOT), _WORDS_DDL), "lm-words")
     answers = by_batch(words.where(F.col("kind") == ANSWER))
     if model is None:
         figures = words.where(F.col("kind") == FIGURES).agg(F.sum("n"), F.sum("kinds"), F.sum("texts")).first()
         n, kinds, texts = (x or 0 for x in figures)
         least = max(HOT, n // HOT_SHARE)
-        often = words.where((F.col("kind") == OFTEN) & (F.col("n") >= least)).select("id", "n").collect()  # at most HOT_SHARE rows
-        ids = np.array([START, END, *sorted(r.id for r in often)], np.int64)
-        counts = dict((r.id, r.n) for r in often) | {START: texts, END: texts}
+        often = words.where((F.col("kind") == OFTEN) & (F.col("n") >= least)).select("id", "n", "hash").collect()  # at most HOT_SHARE rows
+        often = [(START, texts, 0), (END, texts, int(END_HASH)), *sorted((r.id, r.n, r.hash % (1 << 64)) for r in often)]
         none = np.zeros(0, np.int64)
-        hot = Hot(ids, np.array([counts[i] for i in ids.tolist()], np.int64), none, none)
-        pairs = answers.mapInArrow(_pair_counts(folder, shards, hot), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        hot = Hot(*(np.array([r[k] for r in often], np.int64) for k in range(2)), none, none)
+        pairs = batches.mapInArrow(_pair_counts(folder, np.array([r[2] for r in often], np.uint64)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
         found = sorted(map(tuple, pairs.where(F.col("n") >= least).collect()))  # at most HOT_SHARE rows
         hot = Hot(hot.ids, hot.counts, *(np.array([r[k] for r in found], np.int64) for k in range(2)))
         model = Model(folder, shards, n, kinds, texts, mu2, mu3, hot)
@@ -710,7 +724,7 @@ def _asked(df: DataFrame, id_col: str, text_col: str, model: Model | None, mu2:
     known = spark.sparkContext.broadcast(model.hot)  # bounded by HOT_SHARE
     asked = by_shard(answers.mapInArrow(_trigrams(folder, model, known), _MOVE_DDL))
     found = by_batch(asked.mapInArrow(_trigram_answers(model, known, fitted), _MOVE_DDL))
-    sums = found.mapInArrow(_sums(folder, math.log10(model.texts + model.mu3)), "id long, n_tokens long, n_known long, base_score double, score double")
+    sums = found.mapInArrow(_sums(folder, shards, known, math.log10(model.texts + model.mu3)), "id long, n_tokens long, n_known long, base_score double, score double")
     held = F.pmod(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("null")).cast("binary")), F.lit(FOLDS)) == HELD
     return model, sums.select(F.col("id").alias(id_col), held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -18,8 +18,10 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -58,6 +60,7 @@ class WordEncoder:
         self.library.encode_special_tokens = False
         self.bits = max(1, (self.library.get_vocab_size() - 1).bit_length())
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
+        self.code = "H" if self.bits <= 16 else "I"
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
         self.words = Memo(self._word if self._simple(spec) else self._library, 400_000)
@@ -78,16 +81,24 @@ class WordEncoder:
             and model["type"] == "BPE" and not model["dropout"] and not model["continuing_subword_prefix"] and bool(model["end_of_word_suffix"]) and not model.get("ignore_merges")
         )
 
+    def _packed(self, ids: list[int]) -> bytes:
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
     def _library(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return self._packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.pre_tokens[word.lower()]
         if SIMPLE.fullmatch(word) and not any(s in word for s in self.starts):
             return b"".join(map(self.pre_tokens.__getitem__, PRE_TOKENS.findall(word.lower())))
         return self._library(word)
 
     def _pre_token(self, text: str) -> bytes:
-        return np.array([t.id for t in self.merges.tokenize(mapped(text))], self.kind).tobytes()
+        return self._packed([t.id for t in self.merges.tokenize(mapped(text))])
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian numbers of `kind`."""

@@ -10,8 +10,12 @@ The public model at hand is of the BPE kind, so a path's score is whether BPE ke
 unigram model the same window serves with summed scores (`UnigramModel`), the usual Viterbi.
 
 Texts are cut before runs of spaces, which no piece crosses (checked against the vocabulary), and between a word and
-a mark that no piece has after a letter; what is between such cuts is encoded once and remembered in a bounded
-memo. Null texts count as empty; an empty text has no ids and decodes to itself; rows repeat as given.
+a mark that no piece has after a letter; what is between such cuts goes through the window, and if it is no longer than 64
+characters it is remembered in a bounded memo. The pieces of runs of spaces have the least score, all the same, so they merge after everything
+else, from the left; as no piece joins two spaces to another character (checked as well), a run is merged by itself, on a stack.
+
+Null texts count as empty; an empty text has no ids and decodes to itself; texts of any length take time in proportion and are whole in
+memory; rows repeat as given, an empty table gives no rows. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -51,6 +55,11 @@ class PieceModel:
         self.ids = {p: i for i, p in enumerate(self.pieces) if not (i in self.special or sp.is_byte(i) or sp.is_unused(i))}
         self.longest = max(map(len, self.ids))
         self._order()
+        #: How long pieces are at most that end with three characters.
+        self.ending: dict[str, int] = {}
+        for p in self.usable:
+            if len(p) > 2:
+                self.ending[p[-3:]] = max(self.ending.get(p[-3:], 0), len(p))
         self._cuts()
         self.memo = Memo(self._encode_part, 400_000)
 
@@ -72,6 +81,11 @@ class PieceModel:
         beside: set[tuple[str, str]] = {pair for p in self.usable for pair in zip(p, p[1:])}
         if any(b == SPACE and a != SPACE for a, b in beside):
             raise ValueError("pieces go on over a space")
+        if any(p.startswith(SPACE * 2) and p.strip(SPACE) for p in self.usable):
+            raise ValueError("pieces join two spaces to another character")
+        runs = [p for p in self.ids if len(p) > 1 and not p.strip(SPACE)]
+        if runs and len({self.scores[self.ids[p]] for p in runs}) > 1 or any(self.scores[self.ids[p]] >= min(self.scores[i] for q, i in self.ids.items() if len(q) > 1 and q.strip(SPACE)) for p in runs):
+            raise ValueError("runs of spaces don't merge last")
         #: Marks that no piece has after a Latin letter: a word ends where one of them follows.
         after_letter = {b for a, b in beside if re.match(f"[{LATIN}]", a)}
         marks = "".join(re.escape(c) for c in MARKS if c not in after_letter)
@@ -112,11 +126,11 @@ class PieceModel:
 
     def walk(self, text: str) -> Iterator[list[str]]:
         """Runs of pieces of `text`, committed as soon as they are certain."""
-        longest, usable, compatible = self.longest, self.usable, self._compatible_memo
+        longest, usable, compatible, ending = self.longest, self.usable, self._compatible_memo, self.ending.get
         last: dict[int, str] = {}
         done, before = 0, ""
         for end in range(1, len(text) + 1):
-            for start in range(max(done, end - longest), end):
+            for start in range(max(done, end - ending(text[end - 3 : end], 2)), end):
                 piece = text[start:end]
                 if end - start > 1 and piece not in usable:
                     continue
@@ -160,15 +174,29 @@ class PieceModel:
             memo = self.__dict__["_pairs"] = Memo(lambda pair: self.compatible(*pair), 200_000)
         return memo
 
+    def _spaces(self, n: int) -> list[int]:
+        """The ids of a run of spaces: equal scores merge from the left, so whatever could merge left of a space has done so before it is reached."""
+        lengths: list[int] = []
+        ids = self.ids
+        for _ in range(n):
+            lengths.append(1)
+            while len(lengths) > 1 and SPACE * (lengths[-1] + lengths[-2]) in ids:
+                lengths[-2:] = [lengths[-2] + lengths[-1]]
+        return [ids[SPACE * k] for k in lengths]
+
     def _encode_part(self, part: str) -> tuple[int, ...]:
-        if SPACE * 2 in part:  # runs of spaces have pieces of equal scores, for which the order of merges is positional
-            pieces: Iterable[str] = self._merge_all(part)
-        else:
-            pieces = (p for run in self.walk(part) for p in run)
+        word = part.lstrip(SPACE)
+        spaces = len(part) - len(word)
+        if spaces > 1:
+            ids = self.memo[SPACE + word] if word else ()
+            if word and ids[0] != self.ids[SPACE]:  # the word's first piece has the last space
+                return (*self._spaces(spaces - 1), *ids)
+            return (*self._spaces(spaces), *ids[1:])
         out: list[int] = []
-        for p in pieces:
-            k = self.ids.get(p)
-            out.extend((k,) if k is not None else (self.bytes[b] for b in p.encode("utf-8", "surrogatepass")))
+        for run in self.walk(part):
+            for p in run:
+                k = self.ids.get(p)
+                out.extend((k,) if k is not None else (self.bytes[b] for b in p.encode("utf-8", "surrogatepass")))
         return tuple(out)
 
     def parts_of(self, text: str) -> list[str]:

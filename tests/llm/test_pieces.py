@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 import sentencepiece
@@ -75,3 +76,21 @@ def test_query_over_the_whole_table(spark, sf_dir, library):
     for d in docs:
         ids = library.encode(d.text or "")
         assert (got[d.doc_id].n_tokens, got[d.doc_id].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) and got[d.doc_id].round_trip
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, " " + "QmFzZTY0IGVuY29k" * 62_500, "  " + "x9Zq" * 50_000, "a" * 200_000, "漢字" * 100_000])
+def test_very_long_texts_take_time_in_proportion(text):
+    model, library = pieces.model(FILE), sentencepiece.SentencePieceProcessor(model_file=FILE)
+    began = time.process_time()
+    ids = model.encode(text)
+    assert time.process_time() - began < 30 and ids == library.encode(text)
+    assert all(len(k) <= 64 for k in model.memo)
+
+
+def test_runs_of_spaces_equal_the_library():
+    model, library = pieces.model(FILE), sentencepiece.SentencePieceProcessor(model_file=FILE)
+    rng = random.Random(11)
+    parts = [*"aAz09.,<!ßéK\n\t\r{}文ñ▁", *(" " * k for k in (1, 2, 3, 5, 8, 14, 15, 17, 33)), "the", "\r\n"]
+    texts = [" " * k + w + " " * (k % 5) for k in range(70) for w in ("", "a", "the", "é", "文x", "{", "\r\n", "▁")]
+    texts += ["".join(rng.choices(parts, k=rng.randrange(25))) for _ in range(3000)]
+    assert [model.encode(t) for t in texts] == library.encode(texts)

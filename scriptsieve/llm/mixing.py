@@ -21,7 +21,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, unused
 
 MARGINS = ("source", "lang", "topic")
 NONE = "(none)"
@@ -92,9 +92,10 @@ def calibrated(df: DataFrame, targets: Mapping[str, DataFrame] | None = None, ro
 
 def sample(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The sampled rows of df, with its columns, each as often as it was drawn."""
-    names = calibrated(df, id_col=id_col, **options).where("sampled").groupBy(F.col("id").alias("__sampled")).agg(F.max("copies").alias("__copies"))
-    found = df.join(names, F.col(id_col).eqNullSafe(F.col("__sampled")))
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*(df[c] for c in df.columns))
+    key, copies, copy = unused(df, "sampled"), unused(df, "copies"), unused(df, "copy")
+    names = calibrated(df, id_col=id_col, **options).where("sampled").groupBy(F.col("id").alias(key)).agg(F.max("copies").alias(copies))
+    found = df.join(names, df[id_col].eqNullSafe(names[key]))
+    return found.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*(df[c] for c in df.columns))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

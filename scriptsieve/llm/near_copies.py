@@ -1,15 +1,16 @@
 """Near copies of whole texts: groups linked by the Jaccard similarity of their word shingles.
 
 Shingles are those of `simhash`, as sets. Two texts are linked if the sets' Jaccard similarity is NEAR or more; groups are the
-connected components of these links. A SimHash radius is no bound on this similarity, so fingerprints aren't used: a radius
-wide enough for nearly all such pairs (14 to 16 of 64 bits) leaves the Gray-order index nothing to skip, and its work is
-quadratic.
+connected components of these links. A SimHash radius is no bound on this similarity: at one wide enough for nearly all such pairs (14 to
+16 of 64 bits) the Gray-order index has nothing to skip and its work is quadratic. So SimHash finds the groups that it can, and every
+pair, of those groups and of the rest, is checked on whole sets.
 
-Method: candidates from min-hashes, each candidate checked on whole sets. A text has BANDS keys of ROWS min-hashes; a pair at
-the limit shares no key with probability (1 - 0.8^5)^40, about 1e-7, and closer pairs less. Of each key every text is checked
-against the least text with that key, so a key that very many texts hold makes one link each. Where the links that held
-leave a group of candidates in more than one part, the parts are compared with each other: pairs that share one of their
-rarest shingles (which a pair at the limit can't avoid) are checked until no two parts are linked.
+1. The operator `simhash` gives groups of fingerprints that differ in few bits. Each text is checked against the first of its group.
+2. Min-hashes give candidates for the rest. A text has BANDS keys of ROWS min-hashes; a pair at the limit shares no key with probability
+   (1 - 0.8^5)^40, about 1e-7, and closer pairs less. Of each key every text is a candidate with the least text that has it, so a key that very
+   many texts hold makes one link each; candidates that step 1 has put in one part aren't checked again.
+3. Where the links that held leave a group of candidates in more than one part, the parts are compared with each other: pairs that share one of
+   their rarest shingles (which a pair at the limit can't avoid) are checked until no two parts are linked.
 
 Equal sets are one row. Null and empty texts have no shingles and are near to each other only. Rows with a null id get the
 group of their set if a row with an id has it, else null; they never name a group. Other columns are kept by `one_of_each`.
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import by_batch, cut, forget, partitions, small_batches
 from .components import components
-from .simhash import SEED
+from .simhash import SEED, first_rows
+from .simhash import groups as fingerprint_groups
 
 #: The least similarity of a link, as a fraction.
 NEAR = (4, 5)
@@ -163,26 +165,40 @@ def _between(parts: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.repartition(4 * partitions(parts.sparkSession), "candidate").sortWithinPartitions("candidate").mapInArrow(run, "u long, v long")
 
 
-def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (u, v) that aren't in one part; parts: node, component."""
+    name = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
+    placed = pairs.join(name("u"), "u", "left").join(name("v"), "v", "left")
+    return placed.where(F.coalesce("part_u", "u") != F.coalesce("part_v", "v")).select("u", "v")
+
+
+def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 4) -> DataFrame:
     """doc, component for each row of df: texts linked transitively by a Jaccard similarity of NEAR or more."""
     small_batches(df.sparkSession)
     own = cut(_sketches(df, id_col, text_col, words))
-    keyed = own.where("doc is not null").select("fp", F.explode("keys").alias("key"))
+    named = own.where("doc is not null")
+    sets_of = cut(named.groupBy("fp").agg(F.min("doc").alias("doc"), F.first("keys").alias("keys")))  # a row a set
+    close = fingerprint_groups(df, id_col, text_col, words, bits).select("doc", F.col("component").alias("first")).where("doc is not null")
+    # Of each set the first document's group, and that group's first document's set.
+    first = sets_of.join(close, "doc").select(F.col("fp").alias("u"), "first").distinct()
+    stars = cut(first.join(named.select(F.col("doc").alias("first"), F.col("fp").alias("v")), "first").where("u <> v").select("u", "v").distinct())
+    keyed = sets_of.select("fp", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).where("v < most").select("key", "v")
     pairs = cut(keyed.join(shared, "key").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct())
-    candidates = cut(components(pairs))
-    wanted = own.where("doc is not null").join(candidates.select(F.col("node").alias("fp")), "fp").groupBy("fp").agg(F.min("doc").alias("doc"))
+    candidates = cut(components(pairs.unionByName(stars)))
+    wanted = sets_of.join(candidates.select(F.col("node").alias("fp")), "fp").select("fp", "doc")
     sets = cut(_sets(df, wanted, id_col, text_col, words))
-    held = cut(_checked(pairs, sets))
+    held = cut(_checked(stars, sets))
+    held = held.unionByName(cut(_checked(_apart(pairs, cut(components(held))), sets)))
     parts = candidates.select("node", F.col("component").alias("candidate")).join(components(held).withColumnRenamed("component", "part"), "node", "left")
     parts = cut(parts.withColumn("part", F.coalesce("part", "node")))
     found = components(held.unionByName(_between(parts, sets)))
-    tree = own.join(found, own.fp == found.node, "left").select("doc", F.coalesce("component", "fp").alias("root"))
+    # A set's group is named by the least document of its sets, a row each, so that copies meet before they are dealt by group.
+    tree = sets_of.select("fp", "doc").join(found, F.col("fp") == F.col("node"), "left").select("fp", "doc", F.coalesce("component", "fp").alias("root"))
     least = tree.groupBy("root").agg(F.min("doc").alias("component"))
-    return tree.join(least, "root").select("doc", "component")
+    return own.select("doc", "fp").join(tree.join(least, "root").select("fp", "component"), "fp", "left").select("doc", "component")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """The rows of df that are first of their group by id, and rows with a null id; columns as given. Of rows that repeat an id all stay or none."""
-    lasting = groups(df, id_col, text_col, words).where("doc = component").select(F.col("doc").alias("__kept")).distinct()
-    return df.join(lasting, df[id_col] == lasting["__kept"], "left").where(F.col("__kept").isNotNull() | df[id_col].isNull()).drop("__kept")
+    return first_rows(df, id_col, groups(df, id_col, text_col, words))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, cut, forget, partitions, small_batches, table
+from .common import by_batch, cut, forget, partitions, small_batches, table, unused
 from .components import Forest, components
 
 SEED = 42
@@ -231,10 +231,16 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     return own.join(named, "fp", "left").select("doc", "fp", "component")
 
 
+def first_rows(df: DataFrame, id_col: str, found: DataFrame) -> DataFrame:
+    """The rows of df whose id is the least of its group (found: doc, component), and those with a null id."""
+    name = unused(df, "first")
+    lasting = found.where("doc = component").select(F.col("doc").alias(name)).distinct()
+    return df.join(lasting, df[id_col] == lasting[name], "left").where(F.col(name).isNotNull() | df[id_col].isNull()).drop(name)
+
+
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 4) -> DataFrame:
     """The rows of df that are first of their group by id, and rows with a null id; columns as given. Of rows that repeat an id all stay or none."""
-    lasting = groups(df, id_col, text_col, words, bits).where("doc = component").select(F.col("doc").alias("__kept")).distinct()
-    return df.join(lasting, df[id_col] == lasting["__kept"], "left").where(F.col("__kept").isNotNull() | df[id_col].isNull()).drop("__kept")
+    return first_rows(df, id_col, groups(df, id_col, text_col, words, bits))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,3 +69,7 @@ def test_sample_of_a_given_size_has_the_shares(spark):
     have = {r.source: 4 * r["count"] for r in got.groupBy("source").count().collect()}
     want = {"a": 500**0.5, "b": 500**0.5, "c": 4000**0.5}
     assert {k: pytest.approx(10_000 * v / sum(want.values()), rel=0.1) for k, v in want.items()} == have and got.columns == df.columns
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", "s", "en", 1, 2, 3)], "doc_id long, text string, source string, lang string, sampled int, Copies int, copy int")
+    assert [tuple(r) for r in mixing.sample(df).collect()] == [(1, "a b", "s", "en", 1, 2, 3)]

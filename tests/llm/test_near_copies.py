@@ -66,3 +66,7 @@ def test_nulls_repeats_and_empty(spark):
     assert got == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 1), (3, 3), (4, 3), (5, 5)]
     assert sorted(r.doc_id or 0 for r in near_copies.one_of_each(df).collect()) == [0, 0, 1, 1, 3, 5]
     assert near_copies.one_of_each(df.limit(0)).count() == 0
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 7), (2, "a b c d e f", 8)], "doc_id long, text string, First int")
+    assert [tuple(r) for r in near_copies.one_of_each(df).collect()] == [(1, "a b c d e f", 7)]

@@ -1,10 +1,9 @@
-import numpy as np
 import sentencepiece
 
 import corpus_pipeline
-from scriptsieve.llm import mixing, quality, simhash, vocabularies
+from scriptsieve.llm import mixing, quality, vocabularies
 
-from .test_simhash import brute_components, brute_fingerprint
+from .test_near_copies import brute_groups
 from .test_suffixes import brute as brute_suffixes
 
 
@@ -19,10 +18,7 @@ def test_stages_equal_brute_force(spark, sf_dir):
         if name == "quality_rules":
             assert set(got) == {r.doc_id for r in quality.judge(docs).where("kept").collect()} and 0 < len(got) < len(before)
         elif name == "simhash_near_dedup":
-            ids = sorted(before)
-            fps = np.array([brute_fingerprint(before[i].text, 5) for i in ids], np.uint64)
-            near = np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4, 1))
-            want = brute_components(ids, [(ids[a], ids[b]) for a, b in near])
+            want = brute_groups({i: r.text for i, r in before.items()})
             assert set(got) == set(want.values())
         elif name == "suffix_array_dedup":
             want = brute_suffixes([(i, r.text) for i, r in before.items()])

@@ -119,3 +119,7 @@ def test_nulls_repeats_and_other_columns(spark):
     kept = simhash.one_of_each(df, words=4)
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 4, 4, 7, 9]
     assert simhash.groups(df.limit(0)).count() == 0
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 7), (2, "a b c d e f", 8)], "doc_id long, text string, FIRST int")
+    assert [tuple(r) for r in simhash.one_of_each(df).collect()] == [(1, "a b c d e f", 7)]

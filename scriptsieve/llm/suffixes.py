@@ -7,40 +7,48 @@ Method: sampled splitters range-partition suffixes by their leading tokens; buck
 equal and neighbouring suffixes are compared. So as not to move a suffix for each byte, only suffixes at anchors are
 sorted: an anchor is a position whose 16-byte leading token has the least hash of some window of `length` bytes. Equal
 windows have the same anchors at the same places, so each repeated string is seen from an anchor within it, and nothing is
-lost. The steps, each bounded by its partition:
-
-1. Anchors' token hashes go to buckets by ranges of the hash, by batch; a bucket finds the tokens that occur in two documents or more.
-2. Those return to their documents, which are read again; each shared anchor becomes a suffix with the bytes before it
-   that a window can reach. Copies of one context in a batch are combined: the smallest id goes on, the others are covered.
-3. Suffixes go to range buckets. There a multikey quicksort by 8-byte tokens brings equal contexts together (all but the
-   smallest id are covered whole), and contexts that share the leading token are compared window by window.
-4. Covered spans return to their documents and are cut out.
-
-Windows are compared by 64-bit polynomial hashes; everything else by bytes. Documents move as compressed packs. A null text counts as empty. A null id counts as
-larger than any other, and null ids don't count against each other; rows that repeat an id are judged one by one and
-don't count against each other. Other columns are kept by `without_repeats` and not read otherwise.
+lost. The steps, each bounded by a batch of documents or a bucket:
+
+1. Documents are written in batches, compressed, to files of the shared folder, which the later steps read; a document is known by its batch and
+   place. Other columns are kept there as Arrow data, so they come back as they were.
+2. Different tokens of a batch's anchors go to buckets by ranges of their hash, with the id of a document that has them. A bucket answers each
+   batch, in its order, which tokens two ids have, and which are frequent.
+3. Each shared anchor becomes a suffix with the bytes before it that a window can reach. Copies of one context in a batch are combined: the
+   smallest id goes on, the others are covered. Suffixes go to range buckets. There a multikey quicksort by 8-byte tokens brings equal contexts
+   together (all but the smallest id are covered whole), and contexts that share the leading token are compared window by window.
+   A frequent token, which would bring very many contexts to one bucket, is instead taken apart into the windows around it: each goes by its hash
+   with the batch's smallest id, so that a bucket has no more rows of a window than there are batches.
+4. Covered spans return to the batches and are cut out.
+
+Windows are compared by 64-bit polynomial hashes; everything else by bytes. A null text counts as empty. A null id counts as 2**63 - 1, larger than
+any other id but that one, and null ids don't count against each other; rows that repeat an id are judged one by one and don't count against each
+other. An empty table gives no rows; a text of any length is whole in one batch, and its suffixes are moved in parts. Other columns are kept by
+`without_repeats`, whatever their names, and not read otherwise.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import forget, partitions, small_batches, table
+from . import files
+from .common import forget, partitions, shared_folder, small_batches, table
 
 LENGTH, TOKEN = 50, 16
 REACH = LENGTH - TOKEN
-#: Bytes of text for a bucket, anchors in the splitters' sample at most, suffixes that are combined at once, bytes of text that are packed at once.
-BUCKET_BYTES, SAMPLE, COMBINE, HOLD = 8 << 20, 100_000, 100_000, 16 << 20
+#: Bytes of text for a bucket, anchors in the splitters' sample at most, suffixes that are combined at once, bytes of text of a batch.
+BUCKET_BYTES, SAMPLE, COMBINE, HOLD = 8 << 20, 100_000, 100_000, 8 << 20
+#: Documents from which a token is frequent: a 64th of all, within these limits. It decides how windows travel, not what is found.
+FREQUENT = (1024, 1 << 16)
 LAST_ID = np.iinfo(np.int64).max
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 _32 = np.uint64(32)
@@ -233,237 +241,269 @@ def _windows(rows, before, after, ids, group):
 
 # ---- the distributed steps
 
-_MOVE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
-_MOVE_DDL = "bucket int, kind int, data binary"
-SPANS, SUFFIXES, DOCUMENT = 0, 1, 2
+_MOVE = pa.schema([("bucket", pa.int32()), ("batch", pa.string()), ("data", pa.binary())])
+_MOVE_DDL = "bucket int, batch string, data binary"
 
 
-def _rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"bucket": [b for b, _, _ in found], "kind": [k for _, k, _ in found], "data": [d for _, _, d in found]}, schema=_MOVE)
+def _rows(found: list[tuple[int, str, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found) if found else ([], [], []), _MOVE)], schema=_MOVE)
 
 
-def _home(ids: np.ndarray, keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of documents by id and text key."""
-    h = (ids.astype(np.int64).view(np.uint64) ^ (keys.astype(np.uint64) << _32)) * _C[0]
-    h ^= h >> np.uint64(29)
-    h *= _C[1]
-    return ((h >> _32).astype(np.int64) * buckets) >> 32
-
-
-def _texts(batches) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], list[bytes]]]:
-    """(ids, keys, texts, other columns) of rows (id, text, rest), about HOLD bytes at once. The key, 32 bits of a text's hash, tells rows of one id apart."""
-    forget()
-    ids, texts, rest, size = [], [], [], 0
-
-    def held():
-        keys = np.array([xxhash.xxh64_intdigest(t) & 0xFFFFFFFF for t in texts], np.uint32)
-        return np.array(ids, np.int64), keys, texts, rest
-
+def _runs(batches) -> Iterator[tuple[object, list[tuple]]]:
+    """(key, its other columns) from rows in order of their first column."""
+    at, held = None, []
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            ids += part.column(0).to_pylist()
-            more = part.column(1).to_pylist()
-            texts += more
-            rest += part.column(2).to_pylist()
-            size += sum(map(len, more))
-            if size >= HOLD:
-                yield held()
-                ids, texts, rest, size = [], [], [], 0
-    if ids:
-        yield held()
-
-
-def _document_rows(buckets: int):
-    """Documents packed by home bucket."""
-
-    def run(batches):
-        for ids, keys, texts, rest in _texts(batches):
-            home = _home(ids, keys, buckets)
-            order = np.argsort(home, kind="stable")
-            edges = np.flatnonzero(np.concatenate(([True], np.diff(home[order]) != 0, [True])))
-            for s, e in zip(edges[:-1], edges[1:]):
-                k = order[s:e]
-                parts = [[x[i] for i in k] for x in (texts, rest)]
-                sizes = [np.array(list(map(len, x)), np.int64) for x in parts]
-                yield _rows([(int(home[k[0]]), DOCUMENT, pack(ids[k], keys[k], *sizes, *(np.frombuffer(b"".join(x), np.uint8) for x in parts), level=3))])
-
-    return run
+        for key, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != at and held:
+                yield at, held
+                held = []
+            at = key
+            held.append(tuple(rest))
+    if held:
+        yield at, held
 
 
-def _by_bucket(bucket: np.ndarray, kind: int, *columns: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Columns cut by bucket and packed; bucket need not be sorted."""
+def _cut(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Columns by bucket; bucket need not be sorted."""
     if not len(bucket):
-        return []
+        return
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
-    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-    columns = [c[order] for c in columns]
-    return [(int(bucket[s]), kind, pack(*(c[s:e] for c in columns))) for s, e in zip(edges[:-1], edges[1:])]
+    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))).tolist()
+    for s, e in zip(edges[:-1], edges[1:]):
+        yield int(bucket[s]), [c[order[s:e]] for c in columns]
 
 
-def _anchor_rows(buckets: int):
-    """Step 1, map: (token hash, document) of each batch, by ranges of the hash."""
+def _write_batches(folder: str):
+    """Rows (id, text, other columns) as files of about HOLD bytes of text: ids, lengths, texts, other columns as Arrow data."""
+    schema = pa.schema([("batch", pa.string())])
 
     def run(batches):
-        for ids, keys, texts, _ in _texts(batches):
-            found = [anchors(np.frombuffer(t, np.uint8))[1] for t in texts]
-            doc = np.repeat(np.arange(len(found), dtype=np.uint32), [len(x) for x in found])
-            h = np.concatenate(found) >> np.uint64(16)
-            if not len(h):
-                continue
-            order = np.argsort(h, kind="stable")
-            h, doc = h[order], doc[order]
-            repeat = np.zeros(len(h), bool)
-            repeat[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
-            h, doc = h[~repeat], doc[~repeat]
-            bucket = (h >> np.uint64(16)).astype(np.int64) * buckets >> 32
-            edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-            out = []
-            for s, e in zip(edges[:-1], edges[1:]):
-                used, own = np.unique(doc[s:e], return_inverse=True)
-                step = np.diff(h[s:e], prepend=np.uint64(0))
-                out.append((int(bucket[s]), 0, pack(step, own.astype(np.uint32), ids[used], keys[used])))
-            yield _rows(out)
+        forget()
+        held, size, part, k = [], 0, TaskContext.get().partitionId(), 0
+
+        def ended():
+            nonlocal held, size, k
+            rows = pa.Table.from_batches(held).combine_chunks()
+            texts = rows.column(1).to_pylist()
+            sink = pa.BufferOutputStream()
+            rest = rows.select(list(range(2, rows.num_columns)))
+            with pa.ipc.new_stream(sink, rest.schema) as out:
+                out.write_table(rest)
+            name = f"docs-{part:06d}-{k:06d}"
+            draft = files.Draft(folder, name)
+            draft.write(pack(rows.column(0).to_numpy(), np.array(list(map(len, texts)), np.int64), np.frombuffer(b"".join(texts), np.uint8), np.frombuffer(sink.getvalue(), np.uint8), level=3))
+            draft.commit()
+            held, size, k = [], 0, k + 1
+            return pa.RecordBatch.from_pydict({"batch": [name]}, schema=schema)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                held.append(batch.slice(at, 256))
+                size += sum(len(t.as_buffer() or b"") for t in held[-1].column(1))
+                if size >= HOLD:
+                    yield ended()
+        if held:
+            yield ended()
 
     return run
 
 
-def _by_key(batches) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
-    """(bucket, its (kind, data)) from rows in order of bucket."""
-    at, held = None, []
-    for batch in batches:
-        for b, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
-            if b != at:
-                if held:
-                    yield at, held
-                at, held = b, []
-            held.append((kind, data))
-    if held:
-        yield at, held
+def _documents(folder: str, name: str) -> tuple[np.ndarray, list[bytes], pa.Table]:
+    with files.read(f"{folder}/{name}") as f:
+        ids, lengths, raw, rest = unpack(f.read())
+    ends, raw = np.cumsum(lengths), raw.tobytes()
+    return ids, [raw[s:e] for s, e in zip((ends - lengths).tolist(), ends.tolist())], pa.ipc.open_stream(rest.tobytes()).read_all()
 
 
-def _shared_rows(buckets: int):
-    """Step 1, reduce: the tokens of a bucket that two ids or more have, by the documents' home buckets."""
+def _batch_tokens(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The places of each text's anchors; the anchors' tokens (48 bits of their hash), and their texts, one after the other."""
+    found = [anchors(np.frombuffer(t, np.uint8)) for t in texts]
+    tokens = np.concatenate([np.zeros(0, np.uint64), *(h for _, h in found)]) >> np.uint64(16)
+    return [at for at, _ in found], tokens, np.repeat(np.arange(len(texts)), [len(at) for at, _ in found])
 
-    def one(blobs):
-        h, doc, docs, n = [], [], [], 0
-        for _, blob in blobs:
-            step, own, ids, keys = unpack(blob)
-            h.append(np.cumsum(step, dtype=np.uint64))
-            doc.append(own.astype(np.int64) + n)
-            docs.append((ids, keys))
-            n += len(ids)
-        h, doc = np.concatenate(h), np.concatenate(doc)
-        ids, keys = (np.concatenate([d[k] for d in docs]) for k in range(2))
-        order = np.argsort(h, kind="stable")
-        h, doc = h[order], doc[order]
-        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        own = ids[doc]
-        sizes = np.diff(np.append(starts, len(h)))
-        shared = np.repeat(np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts), sizes)
-        h, doc = h[shared], doc[shared]
-        order = np.argsort(doc, kind="stable")
-        h, doc = h[order], doc[order]
-        return _rows(_by_bucket(_home(ids[doc], keys[doc], buckets), SPANS, ids[doc], keys[doc], h))
+
+def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    return (tokens >> np.uint64(16)).astype(np.int64) * buckets >> 32
+
+
+def _token_rows(folder: str, buckets: int):
+    """Step 2, map: the different tokens of a batch, whether several ids have them, one of these, and how many documents."""
 
     def run(batches):
-        for _, blobs in _by_key(batches):
-            yield one(blobs)
+        forget()
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                ids, texts, _ = _documents(folder, name)
+                _, tokens, doc = _batch_tokens(texts)
+                if not len(tokens):
+                    continue
+                order = np.argsort(tokens, kind="stable")
+                tokens, doc = tokens[order], doc[order]
+                first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+                least, most = np.minimum.reduceat(ids[doc], first), np.maximum.reduceat(ids[doc], first)
+                new = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (doc[1:] != doc[:-1])))
+                n = np.add.reduceat(new.astype(np.uint32), first, dtype=np.uint32)
+                out = []
+                for b, (t, one, several, count) in _cut(_bucket(tokens[first], buckets), tokens[first], least, (least != most).astype(np.uint8), n):
+                    kinds, place = np.unique(one, return_inverse=True)
+                    out.append((b, name, pack(np.diff(t, prepend=np.uint64(0)), kinds, place.astype(np.uint32), several, count)))
+                yield _rows(out)
 
     return run
 
 
-def _lookup(found: list[list[np.ndarray]]):
-    """Columns (id, text_key, values...) as a function from a document to its values."""
-    if not found:
-        return lambda i, k: None
-    ids, keys, *values = (np.concatenate([f[c] for f in found]) for c in range(len(found[0])))
-    order = np.lexsort((keys, ids))
-    ids, keys, values = ids[order], keys[order], [v[order] for v in values]
-    starts = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]), [True])))
-    place = {(int(ids[s]), int(keys[s])): (s, e) for s, e in zip(starts[:-1], starts[1:])}
+def _token_answers(frequent: int):
+    """Step 2, reduce: of each batch's tokens, which two ids have, and which of these are frequent."""
 
-    def get(i, k):
-        at = place.get((i, k))
-        return None if at is None else [v[at[0] : at[1]] for v in values]
+    def run(batches):
+        for b, asked in _runs(batches):
+            parts = []
+            for _, data in asked:
+                step, kinds, place, several, count = unpack(data)
+                parts.append((np.cumsum(step, dtype=np.uint64), kinds[place], several, count.astype(np.int64)))
+            tokens, ids, several, count = (np.concatenate([p[c] for p in parts]) for c in range(4))
+            order = np.argsort(tokens, kind="stable")
+            tokens, ids, several, count = tokens[order], ids[order], several[order], count[order]
+            new = np.concatenate(([True], tokens[1:] != tokens[:-1]))
+            first, group = np.flatnonzero(new), np.cumsum(new) - 1
+            shared = (np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)) | (np.maximum.reduceat(several, first) > 0)
+            often = shared & (np.add.reduceat(count, first) >= frequent)
+            flags = np.empty((2, len(tokens)), bool)
+            flags[:, order] = shared[group], often[group]
+            edges = np.cumsum([0, *(len(p[0]) for p in parts)]).tolist()
+            yield _rows([(b, name, pack(*(np.packbits(f[s:e]) for f in flags), np.array([e - s]))) for (name, _), s, e in zip(asked, edges[:-1], edges[1:])])
 
-    return get
+    return run
 
 
-def _documents(batches):
-    """(id, key, text, other columns, values of the document) from rows in order of bucket and kind."""
-    bucket, found, get = None, [], None
-    for batch in batches:
-        for b, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
-            if b != bucket:
-                bucket, found, get = b, [], None
-            if kind != DOCUMENT:
-                found.append(unpack(data))
-                continue
-            if get is None:
-                get, found = _lookup(found), []
-            ids, keys, lengths, more, raw, rest = unpack(data)
-            raw, rest, at, on = raw.tobytes(), rest.tobytes(), 0, 0
-            for i, k, n, m in zip(ids.tolist(), keys.tolist(), lengths.tolist(), more.tolist()):
-                yield i, k, raw[at : at + n], rest[on : on + m], get(i, k)
-                at, on = at + n, on + m
+SUFFIXES, WINDOWS, SPANS = range(3)
+_KINDS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("batch", pa.string()), ("data", pa.binary())])
+_KINDS_DDL = "bucket int, kind int, batch string, data binary"
 
 
-def _suffix_rows(splitters: np.ndarray, buckets: int):
-    """Step 2: suffixes at shared anchors, combined by batch, by range buckets; spans that a batch can tell by itself."""
+def _kinds(found: list[tuple[int, int, str, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found) if found else ([], [], [], []), _KINDS)], schema=_KINDS)
+
+
+def _suffix_rows(folder: str, splitters: np.ndarray, buckets: int):
+    """Step 3, map: suffixes at shared anchors, combined, by range buckets; windows of frequent tokens by buckets of their hash. What a batch can tell by itself is kept beside it."""
 
     def run(batches):
-        held, size = [], 0
-        for i, k, text, _, tokens in _documents(batches):
-            if tokens is None:
-                continue
-            data = np.frombuffer(text, np.uint8)
-            at, h = anchors(data)
-            at = at[np.isin(h >> np.uint64(16), tokens[0])]
-            if len(at):
-                held.append((i, k, at, *contexts(data, at)))
-                size += len(at)
-            if size >= COMBINE:
-                yield _rows(_combined(held, splitters, buckets))
-                held, size = [], 0
-        if held:
-            yield _rows(_combined(held, splitters, buckets))
+        forget()
+        for name, answers in _runs(batches):
+            found = [unpack(data) for _, data in answers]
+            shared, often = (np.concatenate([np.unpackbits(f[c], count=int(f[2][0])) for f in found]).astype(bool) for c in range(2))
+            ids, texts, _ = _documents(folder, name)
+            places, tokens, doc = _batch_tokens(texts)
+            kinds, token = np.unique(tokens, return_inverse=True)
+            if len(kinds) != len(shared):
+                raise ValueError(f"the answers aren't those of {name}")
+            shared, often, own = shared[token], often[token], []
+            edges = np.append(0, np.cumsum(list(map(len, places))))
+            held, wide, size = [], [], 0
+            for k, at in enumerate(places):
+                s, o = (flags[edges[k] : edges[k + 1]] for flags in (shared, often))
+                data = np.frombuffer(texts[k], np.uint8)
+                if (s & ~o).any():
+                    held.append((k, at[s & ~o], *contexts(data, at[s & ~o])))
+                    size += len(held[-1][1])
+                if o.any():
+                    wide.append((k, *_window_hashes(data, at[o])))
+                if size >= COMBINE:
+                    yield _kinds(_combined(name, held, ids, splitters, buckets, own))
+                    held, size = [], 0
+            if held:
+                yield _kinds(_combined(name, held, ids, splitters, buckets, own))
+            if wide:
+                yield _kinds(_windows_asked(name, wide, ids, buckets, own))
+            if own:
+                draft = files.Draft(folder, f"{name}-spans")
+                draft.write(pack(*(np.concatenate([x[c] for x in own]) for c in range(3))))
+                draft.commit()
 
     return run
 
 
-def _combined(held, splitters, buckets):
-    sizes = [len(x[2]) for x in held]
-    ids, keys = (np.repeat(np.array([x[c] for x in held], kind), sizes) for c, kind in enumerate((np.int64, np.uint32)))
-    at, rows, before, after = (np.concatenate([x[c] for x in held]) for c in (2, 3, 4, 5))
-    covered, order, _ = combine(rows, before, after, ids)
-    enough = before.astype(np.int64) + after >= REACH
-    k = np.flatnonzero(covered & enough)
-    out = _by_bucket(_home(ids[k], keys[k], buckets), SPANS, ids[k], keys[k], (at - before)[k].astype(np.int32), (at + TOKEN + after)[k].astype(np.int32))
+def _combined(name, held, ids, splitters, buckets, own):
+    sizes = [len(x[1]) for x in held]
+    doc = np.repeat(np.array([x[0] for x in held], np.int32), sizes)
+    at, rows, before, after = (np.concatenate([x[c] for x in held]) for c in (1, 2, 3, 4))
+    covered, order, _ = combine(rows, before, after, ids[doc])
+    k = np.flatnonzero(covered & (before.astype(np.int64) + after >= REACH))
+    own.append((doc[k], (at - before)[k].astype(np.int32), (at + TOKEN + after)[k].astype(np.int32)))
     k = order[~covered[order]]
     lead = np.ascontiguousarray(rows[k][:, REACH : REACH + 8]).view(">u8").reshape(-1).astype(np.uint64)
-    return out + _by_bucket(np.searchsorted(splitters, lead, "right"), SUFFIXES, ids[k], keys[k], at[k].astype(np.int32), before[k], after[k], rows[k])
+    out = []
+    for b, (d, a, x, y, r) in _cut(np.searchsorted(splitters, lead, "right"), doc[k], at[k].astype(np.int32), before[k], after[k], rows[k]):
+        used, place = np.unique(d, return_inverse=True)
+        out.append((b, SUFFIXES, name, pack(used, ids[used], place.astype(np.uint32), a, x, y, r)))
+    return out
 
 
-def _span_rows(buckets: int):
-    """Step 3: a bucket's suffixes are sorted and compared; spans go to the documents' home buckets."""
+def _window_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows around anchors, each once."""
+    starts = np.unique((at[:, None] - np.arange(REACH + 1)[None, :]).ravel())
+    starts = starts[(starts >= 0) & (starts <= len(data) - LENGTH)]
+    windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    powers = np.array([pow(_BASE, k, 1 << 64) for k in range(LENGTH)], np.uint64)
+    out = [(_BYTE[windows[starts[k : k + 8192]]] * powers).sum(axis=1, dtype=np.uint64) for k in range(0, len(starts), 8192)]
+    h = np.concatenate([np.zeros(0, np.uint64), *out])
+    return starts, (h ^ (h >> _32)) * _C[2]
+
+
+def _windows_asked(name, wide, ids, buckets, own):
+    """Windows of a batch: those of its smallest id ask, the others are covered."""
+    doc = np.repeat(np.array([x[0] for x in wide], np.int32), [len(x[1]) for x in wide])
+    start, h = (np.concatenate([x[c] for x in wide]) for c in (1, 2))
+    start = start.astype(np.int32)
+    order = np.argsort(h, kind="stable")
+    h, doc, start = h[order], doc[order], start[order]
+    new = np.concatenate(([True], h[1:] != h[:-1]))
+    least = np.minimum.reduceat(ids[doc], np.flatnonzero(new))[np.cumsum(new) - 1] if len(h) else ids[doc]
+    covered = ids[doc] > least
+    own.append((doc[covered], start[covered], start[covered] + np.int32(LENGTH)))
+    h, doc, start = h[~covered], doc[~covered], start[~covered]
+    out = []
+    for b, (x, d, a) in _cut((h >> _32).astype(np.int64) * buckets >> 32, h, doc, start):
+        used, place = np.unique(d, return_inverse=True)
+        out.append((b, WINDOWS, name, pack(used, ids[used], place.astype(np.uint32), a, np.diff(x, prepend=np.uint64(0)))))
+    return out
 
-    def run(batches):
-        for b, blobs in _by_key(batches):
-            for kind, data in blobs:
-                if kind == SPANS:
-                    yield _rows([(b, SPANS, data)])
-            parts = [unpack(data) for kind, data in blobs if kind == SUFFIXES]
+
+def _span_rows(batches):
+    """Step 3, reduce: a bucket's suffixes are sorted and compared, and its windows; spans go back to the batches."""
+    for _, asked in _runs(batches):
+        for kind, answer in ((SUFFIXES, _compared), (WINDOWS, _least)):
+            parts = [(name, *unpack(data)) for k, name, data in asked if k == kind]
             if not parts:
                 continue
-            ids, keys, at, before, after, rows = (np.concatenate([p[c] for p in parts]) for c in range(6))
-            del parts
-            left, right = covered_spans(rows, before, after, ids)
-            k = np.flatnonzero(left >= 0)
-            yield _rows(_by_bucket(_home(ids[k], keys[k], buckets), SPANS, ids[k], keys[k], (at[k] - left[k]).astype(np.int32), (at[k] + TOKEN + right[k]).astype(np.int32)))
+            ids = np.concatenate([p[2][p[3]] for p in parts])
+            hit, start, end = answer(ids, [p[4:] for p in parts])
+            edges = np.cumsum([0, *(len(p[3]) for p in parts)]).tolist()
+            out = []
+            for (name, used, _, place, *_), s, e in zip(parts, edges[:-1], edges[1:]):
+                k = np.flatnonzero(hit[s:e])
+                if len(k):
+                    out.append((0, name, pack(used[place[k]], start[s:e][k], end[s:e][k])))
+            yield _rows(out)
+
+
+def _compared(ids, parts):
+    at, before, after, rows = (np.concatenate([p[c] for p in parts]) for c in range(4))
+    left, right = covered_spans(rows, before, after, ids)
+    return left >= 0, (at - left).astype(np.int32), (at + TOKEN + right).astype(np.int32)
 
-    return run
+
+def _least(ids, parts):
+    start = np.concatenate([p[0] for p in parts])
+    h = np.concatenate([np.cumsum(p[1], dtype=np.uint64) for p in parts])
+    order = np.argsort(h, kind="stable")
+    new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+    least = np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    hit = np.empty(len(h), bool)
+    hit[order] = ids[order] > least
+    return hit, start, start + np.int32(LENGTH)
 
 
 def kept_bytes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int]:
@@ -481,23 +521,50 @@ def kept_bytes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes
     return b"".join(out), len(begin)
 
 
-def plan(df: DataFrame, id_col: str, text_col: str, rest: Column | None = None) -> DataFrame:
-    """Covered spans and packed documents, dealt by home bucket and sorted by bucket and kind."""
+def _judged(df: DataFrame, id_col: str, text_col: str, rest: list[Column], ddl: str, output) -> DataFrame:
+    """What output(texts, other columns, kept texts and numbers of removed runs) makes of each batch of documents."""
     spark = df.sparkSession
     small_batches(spark)
-    size = df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    buckets = max(partitions(spark), math.ceil(size / BUCKET_BYTES))
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST_ID))).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), F.lit(b"").alias("rest"))
-    splitters = _splitters(docs, size, buckets)
-    moved = docs if rest is None else df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST_ID))).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), rest.cast("binary").alias("rest"))
-    packed = moved.mapInArrow(_document_rows(buckets), _MOVE_DDL)
-
-    def step(rows: DataFrame, fn) -> DataFrame:
-        return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(fn, _MOVE_DDL)
-
-    tokens = step(docs.mapInArrow(_anchor_rows(buckets), _MOVE_DDL), _shared_rows(buckets))
-    spans = step(step(tokens.unionByName(packed), _suffix_rows(splitters, buckets)), _span_rows(buckets))
-    return spans.unionByName(packed).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    folder = f"{shared_folder(spark)}/repeats-{uuid.uuid4().hex}"
+    size, n = df.agg(F.sum(F.octet_length(F.col(text_col))), F.count("*")).first()
+    buckets = max(partitions(spark), math.ceil((size or 0) / BUCKET_BYTES))
+    frequent = min(max(n // 64, FREQUENT[0]), FREQUENT[1])
+    docs = df.select(F.coalesce(df[id_col].cast("long"), F.lit(int(LAST_ID))).alias("id"), F.coalesce(df[text_col].cast("binary"), F.lit(b"")).alias("text"), *rest)
+    splitters = _splitters(docs, size or 0, buckets)
+    docs.mapInArrow(_write_batches(folder), "batch string").write.json(f"{folder}/manifest")
+    manifest = spark.read.schema("batch string").json(f"{folder}/manifest")
+    count = max(1, manifest.count())
+    tasks = min(count, 4 * max(buckets, partitions(spark)))
+    batches = manifest.repartition(tasks)
+
+    def by_bucket(rows: DataFrame, *order: str) -> DataFrame:
+        return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", *order)
+
+    def by_batch(rows: DataFrame) -> DataFrame:
+        return rows.repartition(tasks, "batch").sortWithinPartitions("batch", "bucket").select("batch", "bucket", "data")
+
+    tokens = by_bucket(batches.mapInArrow(_token_rows(folder, buckets), _MOVE_DDL), "batch").select("bucket", "batch", "data")
+    answers = by_batch(tokens.mapInArrow(_token_answers(frequent), _MOVE_DDL))
+    suffixes = by_bucket(answers.mapInArrow(_suffix_rows(folder, splitters, buckets), _KINDS_DDL), "kind", "batch")
+    spans = suffixes.select("bucket", "kind", "batch", "data").mapInArrow(_span_rows, _MOVE_DDL)
+    every = manifest.select(F.lit(-1).cast("int").alias("bucket"), "batch", F.lit(None).cast("binary").alias("data"))
+
+    def run(rows):
+        forget()
+        for name, found in _runs(rows):
+            _, texts, rest = _documents(folder, name)
+            spans = [unpack(data) for _, data in found if data is not None]
+            if files.there(f"{folder}/{name}-spans"):
+                with files.read(f"{folder}/{name}-spans") as f:
+                    spans.append(unpack(f.read()))
+            kept = [(t, 0) for t in texts]
+            if spans:
+                doc, start, end = (np.concatenate([x[c] for x in spans]) for c in range(3))
+                for k, (starts, ends) in _cut(doc, start, end):
+                    kept[k] = kept_bytes(texts[k], starts, ends)
+            yield from output(texts, rest, kept)
+
+    return by_batch(spans.unionByName(every)).mapInArrow(run, ddl)
 
 
 def _splitters(docs: DataFrame, size: int, buckets: int) -> np.ndarray:
@@ -520,48 +587,32 @@ def _splitters(docs: DataFrame, size: int, buckets: int) -> np.ndarray:
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept_sha256 for each row of df."""
-    there = plan(df, id_col, text_col)
     schema = pa.schema([(id_col, pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
-    def run(batches):
-        out = []
-        for i, _, text, _, spans in _documents(batches):
-            kept, n = (text, 0) if spans is None else kept_bytes(text, *spans)
-            out.append((None if i == LAST_ID else i, len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest()))
-            if len(out) == 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+    def output(texts, rest, kept):
+        columns = [rest.column(0).to_pylist(), [len(t) for t in texts], [len(t) - len(k) for t, (k, _) in zip(texts, kept)], [n for _, n in kept], [hashlib.sha256(k).hexdigest() for k, _ in kept]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return there.mapInArrow(run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _judged(df, id_col, text_col, [df[id_col].cast("long").alias("c0")], f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", output)
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df with what is left of their texts; null texts stay null. Characters that lost a byte go whole; rows of which only white space is left go, if something was removed. The other columns move with the texts."""
-    rest = F.to_json(F.struct(F.struct(*[c for c in df.columns if c != text_col]).alias("row"), F.col(text_col).isNull().alias("none")), {"ignoreNullFields": "false"})
-    there = plan(df, id_col, text_col, rest)
-    schema = pa.schema([("rest", pa.string()), ("left", pa.string())])
-
-    def run(batches):
-        out = []
-        for _, _, text, rest, spans in _documents(batches):
-            kept = text.decode("utf-8", "replace")
-            if spans is not None:
-                kept = kept_bytes(text, *spans)[0].decode("utf-8", "ignore")
-                if not kept.encode("utf-8").strip():
-                    continue
-            out.append((rest.decode(), kept))
-            if len(out) == 512:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], schema=schema)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], schema=schema)
-
-    kind = T.StructType([T.StructField("row", T.StructType([f for f in df.schema if f.name != text_col])), T.StructField("none", T.BooleanType())])
-    found = there.mapInArrow(run, "rest string, left string").select(F.from_json("rest", kind).alias("r"), F.col("left"))
-    text = F.when(~F.col("r.none"), F.col("left"))
-    return found.select(*[text.alias(c) if c == text_col else F.col("r.row").getField(c).alias(c) for c in df.columns])
+    """The rows of df with what is left of their texts; null texts stay null. Characters that lost a byte go whole; rows of which only white space is left go, if something was removed. The other columns stay with the texts, as they were."""
+    others = [c for c in df.columns if c != text_col]
+
+    def output(texts, rest, kept):
+        left, keep = [], []
+        for (text, n), none in zip(kept, rest.column(0).to_pylist()):
+            keep.append(not n or bool(text.decode("utf-8", "ignore").encode("utf-8").strip()))
+            if keep[-1]:
+                left.append(None if none else text.decode("utf-8", "ignore" if n else "replace"))
+        rows = rest.filter(pa.array(keep, pa.bool_()))
+        columns = {c: rows.column(1 + k).combine_chunks() for k, c in enumerate(others)} | {text_col: pa.array(left, pa.string())}
+        yield pa.RecordBatch.from_arrays([columns[c] for c in df_columns], names=df_columns)
+
+    df_columns = df.columns
+    rest = [df[text_col].isNull().alias("c0"), *(df[c].alias(f"c{k + 1}") for k, c in enumerate(others))]
+    return _judged(df, id_col, text_col, rest, df.schema, output)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

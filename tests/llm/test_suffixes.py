@@ -98,7 +98,39 @@ def test_nulls_repeats_and_empty(spark):
 
 def test_rows_without_repeats(spark):
     long = "some words that are long enough to be a string of fifty bytes at least"
-    df = spark.createDataFrame([(4, long, "a"), (5, "mine: " + long, "b"), (6, long, "c"), (7, " ", "d")], "doc_id long, text string, __left string")
-    df = df.withColumnRenamed("__left", "source")
-    left = {r.doc_id: (r.text, r.source) for r in suffixes.without_repeats(df).collect()}
-    assert left == {4: (long, "a"), 5: ("mine: ", "b"), 7: (" ", "d")}
+    df = spark.createDataFrame([(4, long, "a", 1), (5, "mine: " + long, "b", 2), (6, long, "c", 3), (7, " ", "d", 4), (8, None, None, None)], "doc_id long, text string, batch string, c0 int")
+    left = {r.doc_id: (r.text, r.batch, r.c0) for r in suffixes.without_repeats(df).collect()}
+    assert left == {4: (long, "a", 1), 5: ("mine: ", "b", 2), 7: (" ", "d", 4), 8: (None, None, None)}
+
+
+def test_other_columns_come_back_as_they_were(spark):
+    sql = """select id as doc_id, 'text ' || id as text, timestamp'1850-01-02 03:04:05.123456' + make_interval(0, 0, 0, id) as at, timestamp_ntz'2024-01-01 00:00:00.000001' as ntz, cast(id as decimal(38, 10)) / 3 as price,
+      case id when 1 then double('nan') when 2 then double('infinity') else 0.1D end as x, unhex('00ff') as raw, map('a', array(id, null)) as m, named_struct('p', date'0001-01-01', 'q', null) as s, cast(id as byte) as tiny from range(5)"""
+    df = spark.sql(sql)
+    out = suffixes.without_repeats(df)
+    assert out.schema.simpleString() == df.schema.simpleString()
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, df.collect()))
+
+
+def test_extreme_ids(spark):
+    long = "some words that are long enough to be a string of fifty bytes at least"
+    df = spark.createDataFrame([((1 << 63) - 1, long), (-(1 << 63), long), (None, long)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffixes.digests(df).collect()}
+    assert got == {(1 << 63) - 1: len(long), -(1 << 63): 0, None: len(long)}
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_frequent_tokens_equal_brute_force(spark, monkeypatch, seed):
+    """All tokens that a few documents share are frequent, so that windows travel by their hashes, and batches are small."""
+    monkeypatch.setattr(suffixes, "FREQUENT", (4, 4))
+    rows = made(seed, 90) + SPECIAL
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert {r.doc_id: tuple(r)[1:] for r in suffixes.digests(df).collect()} == brute(rows)
+
+
+def test_long_texts(spark):
+    rng = random.Random(12)
+    text = "".join(rng.choices("abcdefgh ", k=400_000))
+    rows = [(2, text), (1, text[100_000:300_000]), (3, "x" * 300_000), (4, "x" * 200_000)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2: (400_000, 200_000, 1), 1: (200_000, 0, 0), 3: (300_000, 0, 0), 4: (200_000, 200_000, 1)}

@@ -1,7 +1,7 @@
 """WARC files: a deterministic sharded writer and a reader.
 
-Method: records are range-sorted by id into shards whose boundaries come from an exact histogram of the ids, so that they don't
-hang on the cluster's size; each shard writes files that roll by compressed size, with headers, record ids and digests made
+Method: records are range-sorted by id into shards whose boundaries come from exact sums of bytes by ranges of ids, of which those that hold more than
+a shard are cut again until they don't or are one id, so that shards don't hang on the cluster's size or on how ids are spread; each shard writes files that roll by compressed size, with headers, record ids and digests made
 anew, one gzip member a record. Files are written under temporary names, moved when complete, and named in a manifest; readers
 open only what the manifest names. Two runs over the same rows give the same bytes.
 
@@ -22,17 +22,19 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .common import partitions, shared_folder, small_batches, table
+from .common import cut, partitions, shared_folder, small_batches, table
 
 SPACE = uuid.UUID("6f1c5d5e-5f43-5b0e-9d3b-0a6d3a2f9c11")
 DATE = "2024-01-01T00:00:00Z"
-#: Buckets of the id histogram, which is all that reaches the driver.
-BUCKETS = 4096
+#: Ranges into which one that holds more than a shard is cut; their sums are all that reaches the driver, so many rows for each shard at most and round.
+CUTS = 256
 SMALL, LARGE = 1 << 20, 256 << 20
 
 
@@ -106,22 +108,45 @@ def members(stream, step: int = 1 << 20) -> Iterator[bytes]:
             unpacker, out = zlib.decompressobj(31), []
 
 
-def shards(ids: DataFrame, shard_bytes: int | None) -> tuple[int, int, list[int]]:
-    """(least id, bucket width, shard of each bucket) from rows (id, size); at most BUCKETS rows reach the driver. Without shard_bytes a shard has a 64th of all bytes, from SMALL to LARGE."""
-    least, most = ids.agg(F.min("id"), F.max("id")).first()
+def shards(sizes: DataFrame, shard_bytes: int | None = None) -> list[int]:
+    """The first id of each shard but the first, in order, from rows (id, size). A shard holds shard_bytes at most, or one id. Without shard_bytes a shard has a 64th of all bytes, from SMALL to LARGE."""
+    known = sizes.where("id is not null")
+    least, most, total = known.agg(F.min("id"), F.max("id"), F.sum("size")).first()
     if least is None:
-        return 0, 1, [0]
-    width = (most - least) // BUCKETS + 1
-    bucket = F.floor((F.col("id").cast("decimal(20,0)") - F.lit(least).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int")
-    sizes = {r[0]: r[1] for r in ids.where("id is not null").groupBy(bucket.alias("b")).agg(F.sum("size")).collect()}
-    shard_bytes = shard_bytes or min(max(sum(sizes.values()) // 64, SMALL), LARGE)
-    out, held, at = [], 0, 0
-    for b in range(max(sizes) + 1):
-        if held and held + sizes.get(b, 0) > shard_bytes:
-            at, held = at + 1, 0
-        held += sizes.get(b, 0)
-        out.append(at)
-    return least, width, out
+        return []
+    limit = shard_bytes or min(max(total // 64, SMALL), LARGE)
+    fine, heavy = [], [(least, most, total)]  # (first id, last id, bytes)
+    while heavy:
+        heavy.sort()
+        done = [h for h in heavy if h[2] <= limit or h[0] == h[1]]
+        fine += done
+        heavy = [h for h in heavy if h[2] > limit and h[0] < h[1]]
+        if not heavy:
+            break
+        first, last, width = ([h[0] for h in heavy], [h[1] for h in heavy], [(h[1] - h[0]) // CUTS + 1 for h in heavy])
+
+        @F.pandas_udf("long")
+        def cut_of(ids: pd.Series) -> pd.Series:
+            values = ids.to_numpy(np.int64)
+            at = np.searchsorted(np.array(first, np.int64), values, "right") - 1
+            inside = (at >= 0) & (values <= np.array(last, np.int64)[at])
+            # Differences of ids can need 64 bits, which unsigned numbers have.
+            step = (values.view(np.uint64) - np.array(first, np.int64).view(np.uint64)[at]) // np.array(width, np.uint64)[at]
+            return pd.Series(np.where(inside, at * CUTS + step.astype(np.int64), -1))
+
+        sums = known.select(cut_of("id").alias("cut"), "size").where("cut >= 0").groupBy("cut").agg(F.sum("size").alias("size")).collect()
+        heavy = []
+        for r in sums:
+            k, step = divmod(r["cut"], CUTS)
+            start = first[k] + step * width[k]
+            heavy.append((start, min(start + width[k] - 1, last[k]), r["size"]))
+    out, held = [], 0
+    for start, _, size in sorted(fine):
+        if held and held + size > limit:
+            out.append(start)
+            held = 0
+        held += size
+    return out
 
 
 def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = 0, shard_bytes: int | None = None, file_bytes: int = 64 << 20, date: str = DATE) -> DataFrame:
@@ -129,17 +154,20 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "u
     spark = df.sparkSession
     small_batches(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("urn:none")).alias("url"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("payload"))
-    first, width, shard_of = shards(rows.select("id", F.octet_length("payload").alias("size")), shard_bytes)
+    bounds = shards(cut(rows.select("id", F.octet_length("payload").cast("long").alias("size"))), shard_bytes)
+
+    @F.pandas_udf("int")
+    def shard_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(np.array(bounds, np.int64), ids.to_numpy(np.int64), "right").astype(np.int32))
+
     keyed = rows.withColumn("digest", F.sha1("payload"))
     last = keyed.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("id").alias("last"))
-    bucket = F.floor((F.col("id").cast("decimal(20,0)") - F.lit(first).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int")
-    places = F.split(F.lit(",".join(map(str, shard_of))), ",").cast("array<int>")
-    keyed = keyed.withColumn("shard", F.coalesce(F.get(places, bucket), F.lit(0)))
+    keyed = keyed.withColumn("shard", F.when(F.col("id").isNull(), 0).otherwise(shard_of(F.coalesce("id", F.lit(0)))))
     # Payloads move once: what a revisit refers to goes to its shard as a row of its own, before the record.
     known = keyed.where(F.octet_length("payload") >= least).select("shard", "id", "digest").distinct().join(last, "digest").where(F.col("last") != F.coalesce("id", F.lit(-1)))
     known = known.select("shard", "id", "digest", F.lit(0).alias("kind"), F.lit("").alias("url"), F.lit(b"").alias("payload"), F.col("last").alias("refers"))
     records = keyed.select("shard", "id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers"))
-    dealt = known.unionByName(records).repartitionByRange(min(max(shard_of) + 1, 4096), "shard").sortWithinPartitions("shard", "id", "digest", "kind", "url")
+    dealt = known.unionByName(records).repartitionByRange(len(bounds) + 1, "shard").sortWithinPartitions("shard", "id", "digest", "kind", "url")
     schema = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
     def run(batches):

@@ -1,3 +1,4 @@
+import bisect
 import glob
 import hashlib
 
@@ -68,3 +69,23 @@ def test_query_equals_sql(spark, sf_dir):
     con.execute(f"create view pages as select * from read_parquet('{sf_dir}/pages.parquet')")
     cols = "page_id, payload_bytes, payload_digest, record_type, refers_to"
     assert [tuple(r) for r in con.execute(f"select {cols} from ({warc.ORACLE}) order by 1").fetchall()] == got
+
+
+@pytest.mark.parametrize("ids", [[*range(1000), 1 << 62], [-(1 << 63), *range(5, 900, 3), (1 << 63) - 1], [7] * 50 + [8] * 50, [k * k * k for k in range(400)]])
+def test_shards_hold_no_more_than_asked(spark, ids):
+    sizes = spark.createDataFrame([(i, 10 + i % 7) for i in ids] + [(None, 500)], "id long, size long")
+    bounds = warc.shards(sizes, 100)
+    assert bounds == sorted(set(bounds))
+    held = {}
+    for i in ids:
+        held.setdefault(bisect.bisect_right(bounds, i), []).append(i)
+    assert all(sum(10 + i % 7 for i in x) <= 100 or len(set(x)) == 1 for x in held.values())
+    whole = [sum(10 + i % 7 for i in held[k]) for k in sorted(held)]
+    assert all(a + b > 50 for a, b in zip(whole, whole[1:]))
+
+
+def test_extreme_ids_and_a_long_payload(spark, tmp_path):
+    rows = [(-(1 << 63), "u", "a"), ((1 << 63) - 1, "v", "a"), ((1 << 53) + 1, "w", "x" * 3_000_000), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read(warc.write(df, f"file://{tmp_path}/x", shard_bytes=50), f"file://{tmp_path}/x").collect()}
+    assert got == {-(1 << 63): (1, "revisit", (1 << 63) - 1), (1 << 63) - 1: (1, "response", None), (1 << 53) + 1: (3_000_000, "response", None), None: (0, "response", None)}

@@ -8,7 +8,9 @@ The factor is the target size of the sample in tokens over the tokens there are,
 under-represented cells repeat, so that a small cell takes nothing from the others. `op4_mixing` has no copies, as in its SQL:
 there the factor is 1 over the largest ratio, and the most under-represented cell sets the size of the sample.
 
-Only sums by cell and margin are shuffled, with map-side partials, so that a source with a third of all rows is a row a task.
+Only sums by cell are shuffled, with map-side partials, so that a source with a third of all rows is a row a task. Up to ONE_TASK cells, which are
+counted first, are raked in one task, where windows by margin need no exchange; more are raked by the same windows over all tasks. Rounds go on in
+blocks until the margins are within TOLERANCE of their targets, or can't come closer.
 Null margins are the value "(none)". Null and empty texts have no tokens: they don't count in any cell and are kept with
 probability 1. A margin value without a target, or with a target of 0, has probability 0. Rows that repeat are drawn alike; a null id
 is drawn as the text "null". The order of rows doesn't matter. Other columns are kept by `sample`.
@@ -17,8 +19,9 @@ is drawn as the text "null". The order of rows doesn't matter. Other columns are
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table, unused
@@ -27,7 +30,8 @@ MARGINS = ("source", "lang", "topic")
 NONE = "(none)"
 #: Target shares follow the tokens to this power where none are given: below 1 lifts rare values.
 FLATTEN = {"source": 0.5, "lang": 0.7, "topic": 0.8}
-ROUNDS = 8
+#: Rounds of a block, blocks at most, largest difference of a margin from its target as a share of all tokens, cells that one task rakes.
+ROUNDS, BLOCKS, TOLERANCE, ONE_TASK = 8, 12, 1e-6, 1 << 20
 SEED = "mix"
 WORD = r"[^\x20\x09-\x0D]+"
 LEGAL, RECORDS = r"(?i)licen[sc]e|copyright|warrant", r"@|[0-9]{4}"
@@ -49,25 +53,36 @@ def weighed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def raked(cells: DataFrame, targets: Mapping[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """cells: source, lang, topic, tokens (one row each, tokens > 0). Returns them with `weight`, raked to the targets: for each margin rows (value, share)."""
-    total = F.broadcast(cells.agg(F.sum("tokens").alias("total")))  # one row
+    n, total = cells.agg(F.count("*"), F.sum("tokens")).first()
     at = cells.withColumn("weight", F.col("tokens").cast("double"))
     for m in MARGINS:
         if targets and m in targets:
-            share = targets[m].select(F.col("value").alias(m), F.col("share"))
+            share = targets[m].select(F.col("value").alias(m), F.col("share").cast("double").alias("share"))
         else:
             share = cells.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(FLATTEN[m])).alias("share"))
-        whole = F.broadcast(share.agg(F.sum("share").alias("whole")))  # one row
-        want = share.join(whole).join(total).select(m, (F.col("share") / F.col("whole") * F.col("total")).alias(f"want_{m}"))
-        at = at.join(want, m, "left").fillna(0.0, [f"want_{m}"])
-    at = cut(at)
-    for _ in range(rounds):
-        for m in MARGINS:
-            sums = at.groupBy(m).agg(F.sum("weight").alias("have"))
-            at = at.join(sums, m).withColumn("weight", F.when(F.col("have") > 0, F.col("weight") * F.col(f"want_{m}") / F.col("have")).otherwise(F.lit(0.0))).drop("have")
+        whole = share.agg(F.sum("share")).first()[0] or 1.0
+        at = at.join(share.select(m, (F.col("share") / F.lit(whole) * F.lit(float(total or 0))).alias(f"want_{m}")), m, "left").fillna(0.0, [f"want_{m}"])
+    at, off = cut(at), float("inf")
+    for _ in range(BLOCKS):
+        at = at.coalesce(1) if n <= ONE_TASK else at
+        for _ in range(rounds):
+            for m in MARGINS:
+                at = at.withColumn("have", F.sum("weight").over(Window.partitionBy(m)))
+                at = at.withColumn("weight", F.when(F.col("have") > 0, F.col("weight") * F.col(f"want_{m}") / F.col("have")).otherwise(F.lit(0.0))).drop("have")
         at = cut(at)
+        before, off = off, _residual(at, total)
+        if off <= TOLERANCE or off > 0.9 * before:
+            break
     return at.select(*MARGINS, "tokens", "weight")
 
 
+def _residual(at: DataFrame, total: int | None) -> float:
+    """The largest difference of a margin's weight from its target, as a share of all tokens, among margins that some cell can meet; 0 without cells."""
+    found = [at.groupBy(m).agg(F.abs(F.sum("weight") - F.first(f"want_{m}")).alias("off")).agg(F.max("off").alias("off")) for m in MARGINS]
+    off = reduce(DataFrame.unionByName, found).agg(F.max("off")).first()[0]
+    return off / total if total else 0.0
+
+
 def drawn(id_col: Column, seed: str = SEED) -> Column:
     """A number in [0, 1) by the hash of an id."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null"))))

@@ -194,8 +194,8 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     parts = cut(parts.withColumn("part", F.coalesce("part", "node")))
     found = components(held.unionByName(_between(parts, sets)))
     # A set's group is named by the least document of its sets, a row each, so that copies meet before they are dealt by group.
-    tree = sets_of.select("fp", "doc").join(found, F.col("fp") == F.col("node"), "left").select("fp", "doc", F.coalesce("component", "fp").alias("root"))
-    least = tree.groupBy("root").agg(F.min("doc").alias("component"))
+    tree = cut(sets_of.select("fp", "doc").join(found, F.col("fp") == F.col("node"), "left").select("fp", "doc", F.coalesce("component", "fp").alias("root")))
+    least = cut(tree.groupBy("root").agg(F.min("doc").alias("component")))  # cut, so that the join below is one whose large groups Spark can split
     return own.select("doc", "fp").join(tree.join(least, "root").select("fp", "component"), "fp", "left").select("doc", "component")
 
 

@@ -226,8 +226,9 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     own = cut(fingerprints(df, id_col, text_col, words))
     distinct = cut(own.groupBy("fp").agg(F.min("doc").alias("rep")).where("rep is not null"))
     found = components(links(distinct, distinct.count(), bits))
-    tree = distinct.join(found, distinct.fp == found.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    named = tree.join(tree.groupBy("root").agg(F.min("rep").alias("component")), "root").select("fp", "component")
+    tree = cut(distinct.join(found, distinct.fp == found.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root")))
+    least = cut(tree.groupBy("root").agg(F.min("rep").alias("component")))  # cut, so that the join is one whose large groups Spark can split
+    named = cut(tree.join(least, "root").select("fp", "component"))
     return own.join(named, "fp", "left").select("doc", "fp", "component")
 
 

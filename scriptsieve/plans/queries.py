@@ -273,13 +273,7 @@ def balanced_undersample(spark, d):
 
 @query("smp5_shuffle", "select doc_id, row_number() over (order by md5('s:' || doc_id), doc_id)::bigint as position from labels")
 def shuffle(spark, d):
-    order = sampling.draw_order("s", F.col("doc_id"))
-    # Places over range-partitioned rows: the count of the partitions before, and the place within.
-    rows = sampling.shuffled(table(spark, d, "labels").select("doc_id"), "doc_id").select("doc_id", F.spark_partition_id().alias("part"))
-    counts = rows.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy(order, "doc_id"))
-    return rows.withColumn("place", place).join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("place")).cast("long").alias("position"))  # a row for each partition
+    return sampling.ranked(table(spark, d, "labels").select("doc_id"), "doc_id", "s", name="position")
 
 
 @query("ml4_fold_assignment", "select doc_id, ((row_number() over (partition by quality order by md5('fold:' || doc_id), doc_id) - 1) % 10)::int as fold from labels")

@@ -55,6 +55,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: About a row group, the least that a task can read by itself.
+ROW_GROUP = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, where its files are so few and so small that they would keep fewer busy; else df itself, so no more than a row group a core is moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * ROW_GROUP and len(df.inputFiles()) < cores else df
+
+
 def by_batch(fn: Callable[[dict[str, list]], dict[str, list]], schema: pa.Schema, rows: int = 512):
     """An iterator function for mapInArrow that calls fn on slices of at most `rows` rows, as Python lists by column."""
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, cut, forget, partitions, small_batches
+from .common import by_batch, cut, forget, partitions, small_batches, spread
 from .components import components
 from .simhash import SEED, first_rows
 from .simhash import groups as fingerprint_groups
@@ -110,7 +110,7 @@ def _sketches(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
         return {"doc": rows["doc"], "fp": [set_key(s) for s in found], "keys": [band_keys(s) for s in found]}
 
     schema = pa.schema([("doc", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
-    return df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text")).mapInArrow(by_batch(run, schema), "doc long, fp long, keys array<long>")
+    return spread(df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))).mapInArrow(by_batch(run, schema), "doc long, fp long, keys array<long>")
 
 
 def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .common import partitions, shared_folder, small_batches, table, written
+from .common import partitions, shared_folder, small_batches, spread, table, written
 from .suffixes import pack, unpack
 
 #: Set on held-out texts of the supplied tables: -3.568 a token; MU3 5, 60 and 200 gave -3.559, -3.603 and -3.658, MU2 500 and 200 -3.591 and
@@ -691,7 +691,7 @@ def _asked(df: DataFrame, id_col: str, text_col: str, model: Model | None, mu2:
     small_batches(spark)
     folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("data"))
-    docs.mapInArrow(_write_batches(folder, model is None), "batch string, tokens long").write.json(f"{folder}/manifest")
+    spread(docs).mapInArrow(_write_batches(folder, model is None), "batch string, tokens long").write.json(f"{folder}/manifest")
     manifest = spark.read.schema("batch string, tokens long").json(f"{folder}/manifest")
     count, size = manifest.agg(F.count("*"), F.sum("tokens")).first()
     fitted, home = model is not None, model.folder if model else folder

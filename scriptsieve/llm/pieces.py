@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vocabularies
-from .common import Memo, by_batch, small_batches, table
+from .common import Memo, by_batch, small_batches, spread, table
 
 SPACE = "▁"
 #: Letters of the Latin blocks, and marks that may follow a word.
@@ -266,7 +266,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return {id_col: rows["id"], "ids": ids, "n_tokens": [len(i) for i in ids], "decoded": texts, "round_trip": [(t or "").replace(SPACE, " ") == d for t, d in zip(rows["text"], texts)]}
 
     schema = pa.schema([(id_col, pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("decoded", pa.string()), ("round_trip", pa.bool_())])
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(by_batch(run, schema, 128), f"`{id_col}` long, {ENCODED}")
+    return spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(by_batch(run, schema, 128), f"`{id_col}` long, {ENCODED}")
 
 
 def encode_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "piece_bpe_32k.model", folder: str | None = None) -> DataFrame:
@@ -281,7 +281,7 @@ def encode_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return {id_col: rows["id"], "n_tokens": [len(i) for i in ids], "ids_crc32": [zlib.crc32(np.array(i, "<u4").tobytes()) for i in ids], "round_trip": same}
 
     schema = pa.schema([(id_col, pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_())])
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(by_batch(run, schema, 256), f"`{id_col}` long, n_tokens long, ids_crc32 long, round_trip boolean")
+    return spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(by_batch(run, schema, 256), f"`{id_col}` long, n_tokens long, ids_crc32 long, round_trip boolean")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

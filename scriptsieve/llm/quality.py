@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import token_counts, vocabularies
-from .common import Memo, by_batch, small_batches, table
+from .common import Memo, by_batch, small_batches, spread, table
 
 SPACE = "▁"
 #: Marks a count of byte-level tokens among pieces.
@@ -248,7 +248,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     schema = pa.schema([(id_col, pa.int64()), *((name, _ARROW[kind]) for name, kind in _FIELDS)])
     ddl = ", ".join([f"`{id_col}` long", *(f"{name} {kind}" for name, kind in _FIELDS)])
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(by_batch(run, schema), ddl)
+    return spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))).mapInArrow(by_batch(run, schema), ddl)
 
 
 def kept_rows(df: DataFrame, text_col: str = "text", lang_col: str = "lang", bands: Mapping[str, Band] = BANDS, folder: str | None = None) -> DataFrame:
@@ -268,7 +268,7 @@ def kept_rows(df: DataFrame, text_col: str = "text", lang_col: str = "lang", ban
                 keep.append(not failed and verdict(len(t), len(t.encode("utf-8", "surrogatepass").split()), *next(rest), band_of(lang, t, bands)))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return spread(df).mapInArrow(run, df.schema)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, cut, forget, partitions, small_batches, table, unused
+from .common import by_batch, cut, forget, partitions, small_batches, spread, table, unused
 from .components import Forest, components
 
 SEED = 42
@@ -68,7 +68,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return {"doc": rows["doc"], "fp": fps}
 
     schema = pa.schema([("doc", pa.int64()), ("fp", pa.int64())])
-    return df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text")).mapInArrow(by_batch(run, schema), "doc long, fp long")
+    return spread(df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))).mapInArrow(by_batch(run, schema), "doc long, fp long")
 
 
 def gray_rank(fp: F.Column) -> F.Column:

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .common import forget, partitions, shared_folder, small_batches, table
+from .common import forget, partitions, shared_folder, small_batches, spread, table
 
 LENGTH, TOKEN = 50, 16
 REACH = LENGTH - TOKEN
@@ -531,7 +531,7 @@ def _judged(df: DataFrame, id_col: str, text_col: str, rest: list[Column], ddl:
     frequent = min(max(n // 64, FREQUENT[0]), FREQUENT[1])
     docs = df.select(F.coalesce(df[id_col].cast("long"), F.lit(int(LAST_ID))).alias("id"), F.coalesce(df[text_col].cast("binary"), F.lit(b"")).alias("text"), *rest)
     splitters = _splitters(docs, size or 0, buckets)
-    docs.mapInArrow(_write_batches(folder), "batch string").write.json(f"{folder}/manifest")
+    spread(docs).mapInArrow(_write_batches(folder), "batch string").write.json(f"{folder}/manifest")
     manifest = spark.read.schema("batch string").json(f"{folder}/manifest")
     count = max(1, manifest.count())
     tasks = min(count, 4 * max(buckets, partitions(spark)))

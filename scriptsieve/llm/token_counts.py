@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import vocabularies
-from .common import Memo, by_batch, small_batches, table
+from .common import Memo, by_batch, small_batches, spread, table
 
 #: Characters with Unicode's White_Space property (fixed values).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -193,7 +193,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return {id_col: rows["id"], "n_bytes": [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in rows["text"]], "n_tokens": [count(t) for t in rows["text"]]}
 
     schema = pa.schema([(id_col, _arrow(kind)), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(by_batch(run, schema), f"`{id_col}` {kind.simpleString()}, n_bytes long, n_tokens long")
+    return spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(by_batch(run, schema), f"`{id_col}` {kind.simpleString()}, n_bytes long, n_tokens long")
 
 
 def _arrow(kind) -> pa.DataType:

@@ -47,6 +47,12 @@ def seekable(uri: str):
     return system.open_input_file(path)
 
 
+def remove(uri: str) -> None:
+    """Removes a folder with what is in it."""
+    system, path = opened(uri)
+    system.delete_dir(path)
+
+
 def there(uri: str) -> bool:
     system, path = opened(uri)
     return system.get_file_info(path).type == fs.FileType.File

@@ -39,3 +39,21 @@ def test_stages_equal_brute_force(spark, sf_dir):
 def test_empty_table(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_awkward_rows(spark, sf_dir, tmp_path):
+    """Nulls in every column, repeats, a very long text, and columns whose names the operators use go through all stages."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    long = docs.limit(1).selectExpr("cast(77777 as bigint) as doc_id", "repeat(concat(text, ' '), 400) as text", "lang", "source", "n_chars")
+    nothing = docs.limit(1).selectExpr(*(f"cast(null as {f.dataType.simpleString()}) as {f.name}" for f in docs.schema))
+    more = docs.unionByName(docs.limit(5)).unionByName(long).unionByName(nothing)
+    more = more.selectExpr("*", "doc_id as sampled", "source as batch", "timestamp'2024-01-01 00:00:00.000001' as first", "lang as c0")
+    more.write.parquet(f"{tmp_path}/documents.parquet")
+    stage = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, fn in corpus_pipeline.STAGES[:-1]:
+        out = fn(spark, stage, sf_dir)
+        assert out.columns == more.columns and out.schema.simpleString() == more.schema.simpleString()
+        rows = out.collect()
+        assert rows and all(r["first"].microsecond == 1 for r in rows)
+        stage = spark.createDataFrame(rows, out.schema)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0

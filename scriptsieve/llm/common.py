@@ -62,7 +62,7 @@ ROW_GROUP = 128 << 20
 def spread(df: DataFrame) -> DataFrame:
     """df over as many tasks as there are cores, where its files are so few and so small that they would keep fewer busy; else df itself, so no more than a row group a core is moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * ROW_GROUP and len(df.inputFiles()) < cores else df
 
 

@@ -273,3 +273,21 @@ def kept_rows(df: DataFrame, text_col: str = "text", lang_col: str = "lang", ban
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
+
+
+def quality_base_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base figures of op7_quality_rules, which SQL can express; its verdict is the tokenisers'."""
+    return op7_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+BASE_ORACLE = r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+k as (select doc_id, unnest(range(1, len(w) - 6)) as i, w from d where len(w) > 7),
+x as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as said from k),
+r as (select doc_id, i from x qualify count(*) over (partition by doc_id, said) > 1),
+c as (select doc_id, count(distinct i + j) as n from r, range(0, 8) v(j) group by 1),
+l as (select doc_id, list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) as lines from d)
+select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0)::bigint as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols,
+  (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words, len(w) < 20 or 100 * coalesce(c.n, 0) > 30 * len(w) as base_failed
+from d join l using (doc_id) left join c using (doc_id)
+"""

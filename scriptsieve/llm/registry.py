@@ -15,5 +15,6 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op6_token_files": token_files.op6_token_files,
     "op5_lm_scores": ngrams.op5_lm_scores,
+    "quality_base_figures": quality.quality_base_figures,
 }
-ORACLE_SQL: dict[str, str] = {"op3_embedding_near_dedup": embeddings.ORACLE, "op10_warc": warc.ORACLE, "op4_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_near_dedup": embeddings.ORACLE, "op10_warc": warc.ORACLE, "op4_mixing": mixing.ORACLE, "op8_suffix_dedup": suffixes.ORACLE, "quality_base_figures": quality.BASE_ORACLE}

@@ -617,3 +617,19 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
+
+
+#: The oracle of the query: every window of every document, in hexadecimal digits.
+ORACLE = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+p as (select doc_id, h, unnest(range(0, length(h) // 2, 512)) as block from d),
+q as (select doc_id, length(h) as size, block, substr(h, block * 2 + 1, 2 * (512 + 49)) as part from p),
+w as (select doc_id, block + i as pos, substr(part, 2 * i + 1, 2) as b, case when 2 * (block + i) + 100 <= size then substr(part, 2 * i + 1, 100) end as said from q, range(0, 512) v(i) where 2 * (block + i) < size),
+m as (select said, min(doc_id) as first from w where said is not null group by said),
+s as (select w.doc_id, pos, b, coalesce(m.first < w.doc_id, false) as hit from w left join m on m.said = w.said),
+c as (select doc_id, pos, b, max(hit::int) over (partition by doc_id order by pos rows between 49 preceding and current row) = 1 as gone from s),
+r as (select *, lag(gone, 1, false) over (partition by doc_id order by pos) as before from c),
+g as (select doc_id, count(*) filter (where gone) as n_removed, count(*) filter (where gone and not before) as n_spans, string_agg(b, '' order by pos) filter (where not gone) as kept from r group by doc_id)
+select d.doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from d left join g using (doc_id)
+"""

@@ -51,9 +51,9 @@ from .suffixes import pack, unpack
 MU2, MU3 = 1000.0, 20.0
 FOLDS, HELD = 7, 2
 #: Tokens of a batch and of a shard, about.
-BATCH, SHARD = 1 << 21, 3 << 19
+BATCH, SHARD = 1 << 21, 1 << 22
 #: Tokens from which a word or pair is dealt over several shards: this many, or this share of all.
-HOT, HOT_SHARE = SHARD // 32, 1 << 20
+HOT, HOT_SHARE = SHARD // 64, 1 << 20
 END_HASH = np.uint64(0x0E4D0E4D0E4D0E4D)
 START, UNKNOWN, END, WORDS = 0, 1, 2, 1 << 32
 _BASE = 0x9E6C63D0876A9A47 | 1
@@ -299,48 +299,80 @@ class Trie:
         self.mu3 = mu3
 
     @classmethod
-    def built(cls, b, w, a, count, c_w, total: float, mu2: float, mu3: float, hot: Hot) -> list[np.ndarray]:
-        """From sorted distinct trigrams (b, w, a) with counts, and the words' counts."""
-        pairs = _firsts(b, w)
-        c_pair = hot.pair_counts(b[pairs], w[pairs], np.add.reduceat(count, pairs) if len(pairs) else count)
-        middles = _firsts(b[pairs])
+    def built(cls, ids, c_w, found: Keys, total: float, mu2: float, mu3: float, hot: Hot) -> list[np.ndarray]:
+        """From sorted distinct trigrams, as places among the words `ids`, with counts; c_w: the words' own counts."""
+        b, w, a, count, pairs, middles = found.b, found.w, found.a, found.count, found.pairs, found.middles
+        c_pair = hot.pair_counts(ids[b[pairs]], ids[w[pairs]], np.add.reduceat(count, pairs) if len(pairs) else count)
         sums = np.add.reduceat(c_pair, middles) if len(middles) else c_pair
-        c_b = hot.word_counts(b[pairs][middles], sums)
-        of_pair = np.repeat(np.arange(len(middles)), np.diff(np.append(middles, len(pairs))))
-        of_triple = np.repeat(np.arange(len(pairs)), np.diff(np.append(pairs, len(b))))
-        p2 = (c_pair + mu2 * (c_w[pairs] + 1) / total) / (c_b[of_pair] + mu2)
-        ranks = np.unique(np.concatenate((b[pairs], w[pairs], a)))
-        words, word_shifts = _relative(np.searchsorted(ranks, w[pairs]), middles)
-        before, before_shifts = _relative(np.searchsorted(ranks, a), pairs)
-        levels = [ranks, np.searchsorted(ranks, b[pairs][middles]), np.append(middles, len(pairs)), word_shifts, words, np.append(pairs, len(b)), before_shifts, before]
-        steps = [np.log10(c_b + mu2), np.log10(p2), np.log10(c_pair + mu3), np.log10(count + mu3 * p2[of_triple])]
+        c_b = hot.word_counts(ids[b[pairs][middles]], sums)
+        p2 = (c_pair + mu2 * (c_w[w[pairs]] + 1) / total) / (c_b[found.middle_of_pair] + mu2)
+        used = np.zeros(len(ids), bool)
+        for x in (b, w, a):
+            used[x] = True
+        rank = np.cumsum(used) - 1
+        words, word_shifts = _relative(rank[w[pairs]], middles)
+        before, before_shifts = _relative(rank[a], pairs)
+        levels = [ids[used], rank[b[pairs][middles]], np.append(middles, len(pairs)), word_shifts, words, np.append(pairs, len(b)), before_shifts, before]
+        steps = [np.log10(c_b + mu2), np.log10(p2), np.log10(c_pair + mu3), np.log10(count + mu3 * p2[found.pair_of])]
         return [x for level in levels for x in EliasFano(level).arrays()] + [quantised(x) for x in steps]
 
-    def answers(self, b, w, a, c_w, total: float, mu2: float, hot: Hot) -> np.ndarray:
-        """log10 of the token's numerator, less that of its part as a context, of each trigram, in steps. What a word or pair that isn't here counts is 0, or known to all."""
-        log_mu3, share = math.log10(self.mu3), (c_w + 1) / total
-        (rb, there), (rw, w_there), (ra, a_there) = (self.ranks.successor(x) for x in (b, w, a))
-        c_b = hot.word_counts(b, np.zeros(len(b), np.int64))
-        c_pair = hot.pair_counts(b, w, np.zeros(len(b), np.int64))
-        p2, context = np.log10((c_pair + mu2 * share) / (c_b + mu2)), quantised(np.log10(c_pair + self.mu3))
-        k = np.flatnonzero(there)
-        middle, hit = self.middle.successor(rb[k])
-        k, middle = k[hit], middle[hit]
-        none = c_pair[k] == 0
-        p2[k[none]] = np.log10(mu2 * share[k[none]]) - restored(self.context[middle[none]])
-        inside = w_there[k]
-        k, middle = k[inside], middle[inside]
-        pair, hit = self.words.successor(rw[k] + self.word_shifts.get(middle))
-        hit &= pair < self.to_words.get(middle + 1)
-        k, pair = k[hit], pair[hit]
-        p2[k], context[k] = restored(self.pair[pair]), self.pair_context[pair]
-        score = quantised(p2 + log_mu3)
-        inside = a_there[k]
-        k, pair = k[inside], pair[inside]
-        triple, hit = self.before.successor(ra[k] + self.before_shifts.get(pair))
-        hit &= triple < self.to_before.get(pair + 1)
-        score[k[hit]] = self.triple[triple[hit]]
-        return score.astype(np.int32) - np.where(w == END, ZERO, context).astype(np.int32)
+    def answers(self, ids, c_w, asked: Keys, total: float, mu2: float, hot: Hot) -> np.ndarray:
+        """log10 of the token's numerator, less that of its part as a context, of each trigram, in steps. Middle words, pairs and trigrams are each looked up once.
+        What a word or pair that isn't here counts is 0, or known to all."""
+        log_mu3, rank_there = math.log10(self.mu3), self.ranks.successor(ids)
+        rank, there = rank_there[0], rank_there[1]
+        # Middle words.
+        b = asked.b[asked.pairs][asked.middles]
+        middle, here = self.middle.successor(np.where(there[b], rank[b], self.ranks.n))
+        here &= there[b]
+        context_b = np.log10(hot.word_counts(ids[b], np.zeros(len(b), np.int64)) + mu2)
+        context_b[here] = restored(self.context[middle[here]])
+        shift, last = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+        shift[here], last[here] = self.word_shifts.get(middle[here]), self.to_words.get(middle[here] + 1)
+        # Pairs.
+        of, w, pair_b = asked.middle_of_pair, asked.w[asked.pairs], asked.b[asked.pairs]
+        c_pair = hot.pair_counts(ids[pair_b], ids[w], np.zeros(len(w), np.int64))
+        p2, context = np.log10(c_pair + mu2 * (c_w[w] + 1) / total) - context_b[of], quantised(np.log10(c_pair + self.mu3))
+        known = np.flatnonzero(here[of] & there[w])
+        place, hit = self.words.successor(rank[w[known]] + shift[of[known]])
+        hit &= place < last[of[known]]
+        known, place = known[hit], place[hit]
+        p2[known], context[known] = restored(self.pair[place]), self.pair_context[place]
+        shift, last = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
+        shift[known], last[known] = self.before_shifts.get(place), self.to_before.get(place + 1)
+        # Trigrams.
+        of, a = asked.pair_of, asked.a
+        score = quantised(p2 + log_mu3)[of]
+        known = np.flatnonzero((last[of] > 0) & there[a])
+        place, hit = self.before.successor(rank[a[known]] + shift[of[known]])
+        hit &= place < last[of[known]]
+        score[known[hit]] = self.triple[place[hit]]
+        return score.astype(np.int32) - np.where(ids[w] == END, ZERO, context).astype(np.int32)[of]
+
+
+class Keys:
+    """Sorted distinct trigrams of places (b, w, a), with counts, and where their pairs and middle words start."""
+
+    def __init__(self, b: np.ndarray, w: np.ndarray, a: np.ndarray, count: np.ndarray):
+        self.b, self.w, self.a, self.count = b, w, a, count
+        self.pairs = _firsts(b, w)
+        self.middles = _firsts(b[self.pairs])
+        self.pair_of = np.repeat(np.arange(len(self.pairs)), np.diff(np.append(self.pairs, len(b))))
+        self.middle_of_pair = np.repeat(np.arange(len(self.middles)), np.diff(np.append(self.middles, len(self.pairs))))
+
+    def where(self, keep: np.ndarray) -> Keys:
+        return Keys(self.b[keep], self.w[keep], self.a[keep], self.count[keep])
+
+
+def distinct(b: np.ndarray, w: np.ndarray, a: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct rows of places below n, and which of them each row is."""
+    pair, pairs = b * n + w, None
+    if n**3 >= 1 << 63:
+        pairs, pair = np.unique(pair, return_inverse=True)
+    keys, of = np.unique(pair * n + a, return_inverse=True)
+    pair, a = np.divmod(keys, n)
+    b, w = np.divmod(pair if pairs is None else pairs[pair], n)
+    return b, w, a, of
 
 
 # ---- words and pairs that are dealt over several shards
@@ -588,17 +620,12 @@ class _Trigrams:
     """The different trigrams of a batch, in order of shard, from its tokens as ranks of words and the words' ids."""
 
     def __init__(self, lengths: np.ndarray, w: np.ndarray, kinds: np.ndarray, hot: Hot, shards: int):
-        starts, u = np.cumsum(lengths) - lengths, len(kinds)
+        starts = np.cumsum(lengths) - lengths
         b = np.concatenate(([0], w[:-1]))
         b[starts] = 0
         a = np.concatenate(([0], b[:-1]))
         a[starts] = 0
-        pair, pairs = b * u + w, None
-        if u**3 >= 1 << 63:
-            pairs, pair = np.unique(pair, return_inverse=True)
-        keys, self.of_token = np.unique(pair * u + a, return_inverse=True)
-        pair, self.a = np.divmod(keys, u)
-        self.b, self.w = np.divmod(pair if pairs is None else pairs[pair], u)
+        self.b, self.w, self.a, self.of_token = distinct(b, w, a, len(kinds))
         self.shard = hot.shards(kinds[self.b], kinds[self.w], kinds[self.a], shards)
         self.order = np.argsort(self.shard.astype(np.int32), kind="stable")
 
@@ -612,7 +639,7 @@ class _Trigrams:
             own = np.flatnonzero(used)
             used[own] = False
             place[own] = np.arange(len(own), dtype=np.uint32)
-            yield shard, pack(kinds[own], counts[own], np.diff(place[b], prepend=np.uint32(0)), place[w], place[a], c)
+            yield shard, pack(np.diff(kinds[own], prepend=0), counts[own], np.diff(place[b], prepend=np.uint32(0)), place[w], place[a], c)
 
 
 def _trigrams(folder: str, model: Model, hot):
@@ -641,25 +668,27 @@ def _trigram_answers(model: Model, hot, fitted: bool):
 
     def run(batches):
         for shard, asked in _runs(batches):
-            parts = []
-            for _, data in asked:
-                ids, counts, b, w, a, n = unpack(data)
-                parts.append((ids[np.cumsum(b, dtype=np.uint32)], ids[w], ids[a], n.astype(np.int64), counts[w]))
+            parts = [unpack(data) for _, data in asked]
+            words = [np.cumsum(p[0]) for p in parts]
+            ids, first, place = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
+            c_w = np.concatenate([p[1] for p in parts])[first]
+            edges = np.cumsum([0, *map(len, words)]).tolist()
+            at = [place[s:e] for s, e in zip(edges[:-1], edges[1:])]
+            # Places in a batch's words become places in the shard's.
+            b, w, a = (np.concatenate([x[c(p)] for x, p in zip(at, parts)]) for c in (lambda p: np.cumsum(p[2], dtype=np.uint32), lambda p: p[3], lambda p: p[4]))
+            b, w, a, of = distinct(b, w, a, len(ids))
+            keys = Keys(b, w, a, np.bincount(of, np.concatenate([p[5] for p in parts]), len(b)).astype(np.int64))
+            edges = np.cumsum([0, *(len(p[5]) for p in parts)]).tolist()
+            del parts, words, place, at
             name = f"trie-{shard:07d}"
             if not fitted:
-                b, w, a, n, c_w = (np.concatenate([p[c][p[3] > 0] for p in parts]) for c in range(5))
-                order = np.lexsort((a, w, b))
-                b, w, a, n, c_w = (x[order] for x in (b, w, a, n, c_w))
-                first = _firsts(b, w, a)
-                n = np.add.reduceat(n, first) if len(first) else n
-                _to_file(model.folder, name, Trie.built(b[first], w[first], a[first], n, c_w[first], model.total, model.mu2, model.mu3, hot.value))
-                del b, w, a, n, c_w, order, first
-            none = np.zeros(0, np.int64)
-            arrays = _from_file(model.folder, name) if files.there(f"{model.folder}/{name}") else Trie.built(none, none, none, none, none, model.total, model.mu2, model.mu3, hot.value)
-            trie = Trie(arrays, model.mu3)
-            out = []
-            for (batch, _), (b, w, a, _, c_w) in zip(asked, parts):
-                out.append((shard, batch, pack(trie.answers(b, w, a, c_w, model.total, model.mu2, hot.value))))
+                _to_file(model.folder, name, Trie.built(ids, c_w, keys.where(keys.count > 0), model.total, model.mu2, model.mu3, hot.value))
+            if files.there(f"{model.folder}/{name}"):
+                arrays = _from_file(model.folder, name)
+            else:
+                arrays = Trie.built(ids, c_w, keys.where(np.zeros(len(b), bool)), model.total, model.mu2, model.mu3, hot.value)
+            values = Trie(arrays, model.mu3).answers(ids, c_w, keys, model.total, model.mu2, hot.value)[of]
+            out = [(shard, batch, pack(values[s:e])) for (batch, _), s, e in zip(asked, edges[:-1], edges[1:])]
             yield _moved(out)
 
     return run

@@ -51,7 +51,7 @@ def weighed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col), none).alias("source"), F.coalesce(F.col(lang_col), none).alias("lang"), about.alias("topic"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"))
 
 
-def raked(cells: DataFrame, targets: Mapping[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def raked(cells: DataFrame, targets: Mapping[str, DataFrame] | None = None, rounds: int = ROUNDS, blocks: int = BLOCKS) -> DataFrame:
     """cells: source, lang, topic, tokens (one row each, tokens > 0). Returns them with `weight`, raked to the targets: for each margin rows (value, share)."""
     n, total = cells.agg(F.count("*"), F.sum("tokens")).first()
     at = cells.withColumn("weight", F.col("tokens").cast("double"))
@@ -63,13 +63,15 @@ def raked(cells: DataFrame, targets: Mapping[str, DataFrame] | None = None, roun
         whole = share.agg(F.sum("share")).first()[0] or 1.0
         at = at.join(share.select(m, (F.col("share") / F.lit(whole) * F.lit(float(total or 0))).alias(f"want_{m}")), m, "left").fillna(0.0, [f"want_{m}"])
     at, off = cut(at), float("inf")
-    for _ in range(BLOCKS):
+    for _ in range(blocks):
         at = at.coalesce(1) if n <= ONE_TASK else at
         for _ in range(rounds):
             for m in MARGINS:
                 at = at.withColumn("have", F.sum("weight").over(Window.partitionBy(m)))
                 at = at.withColumn("weight", F.when(F.col("have") > 0, F.col("weight") * F.col(f"want_{m}") / F.col("have")).otherwise(F.lit(0.0))).drop("have")
         at = cut(at)
+        if blocks == 1:
+            break
         before, off = off, _residual(at, total)
         if off <= TOLERANCE or off > 0.9 * before:
             break
@@ -89,10 +91,10 @@ def drawn(id_col: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
 
 
-def calibrated(df: DataFrame, targets: Mapping[str, DataFrame] | None = None, rounds: int = ROUNDS, seed: str = SEED, budget: int | None = None, once: bool = False, **columns) -> DataFrame:
+def calibrated(df: DataFrame, targets: Mapping[str, DataFrame] | None = None, rounds: int = ROUNDS, seed: str = SEED, budget: int | None = None, once: bool = False, blocks: int = BLOCKS, **columns) -> DataFrame:
     """id, source, lang, topic, tokens, probability, sampled, copies for each row of df. budget: tokens of the sample; once: no row more than once, whatever size that leaves."""
     rows = cut(weighed(df, **columns))
-    cells = raked(rows.where("tokens > 0").groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), targets, rounds)
+    cells = raked(rows.where("tokens > 0").groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), targets, rounds, blocks)
     ratio = cells.select(*MARGINS, (F.col("weight") / F.col("tokens")).alias("ratio"))
     if once:
         unit = ratio.agg(F.max("ratio")).first()[0] or 1.0
@@ -114,7 +116,7 @@ def sample(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = calibrated(table(spark, sf_dir, "documents"), once=True)
+    found = calibrated(table(spark, sf_dir, "documents"), once=True, blocks=1)  # ROUNDS rounds, as its SQL
     return found.select(F.col("id").alias("doc_id"), *MARGINS, F.col("tokens").alias("n_tokens"), "probability", "sampled")
 
 

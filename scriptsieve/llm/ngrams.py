@@ -51,7 +51,7 @@ from .suffixes import pack, unpack
 MU2, MU3 = 1000.0, 20.0
 FOLDS, HELD = 7, 2
 #: Tokens of a batch and of a shard, about.
-BATCH, SHARD = 1 << 21, 1 << 22
+BATCH, SHARD = 3 << 19, 3 << 19
 #: Tokens from which a word or pair is dealt over several shards: this many, or this share of all.
 HOT, HOT_SHARE = SHARD // 64, 1 << 20
 END_HASH = np.uint64(0x0E4D0E4D0E4D0E4D)
@@ -672,6 +672,7 @@ def _trigram_answers(model: Model, hot, fitted: bool):
             words = [np.cumsum(p[0]) for p in parts]
             ids, first, place = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
             c_w = np.concatenate([p[1] for p in parts])[first]
+            del first
             edges = np.cumsum([0, *map(len, words)]).tolist()
             at = [place[s:e] for s, e in zip(edges[:-1], edges[1:])]
             # Places in a batch's words become places in the shard's.

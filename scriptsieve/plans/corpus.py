@@ -10,7 +10,7 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import learning, pairing, rules, script_rules, tokens, trace
+from ..operators import learning, pairing, rules, script_rules, surface, tokens, trace
 from ..sources import readers, writers
 from ..storage import scratch
 from .queries import CALLS, ORACLE_SQL, QUERIES, TEXT_RULES, calls, query, table
@@ -336,6 +336,20 @@ def label_counts(spark, d):
     return trace.ground_truth(labelled_calls(spark, d)).groupBy("is_canvas", "is_webrtc", "is_canvasfont", "is_audio").agg(F.count("*").alias("scripts"))
 
 
+_TWO = "canvasrenderingcontext2d"
+_CALLED = {
+    f"{_TWO}.filltext": "sum((doc_id % 2 = 0)::int)", f"{_TWO}.strokestyle": "sum((doc_id % 3 < 2)::int)", "htmlcanvaselement.todataurl": "sum((doc_id % 5 < 4)::int)", f"{_TWO}.save": "sum((doc_id % 7 = 0)::int)",
+    "rtcpeerconnection.createoffer": "sum((doc_id % 4 = 0)::int)", "rtcpeerconnection.onicecandidate": "sum((doc_id % 6 < 3)::int)", f"{_TWO}.font": "sum(18 + doc_id % 5 + 2 * (doc_id % 2))",
+    f"{_TWO}.measuretext": "sum(19 + doc_id % 4)", "offlineaudiocontext.startrendering": "sum((doc_id % 11 = 0)::int)",
+}
+
+
+@query("pag3_hooked_surface", " union all ".join(f"select '{s}' as symbol, {_CALLED.get(s, 'sum(0)')}::bigint as n from documents" for s in surface.symbols()))
+def hooked_surface(spark, d):
+    """PAG3: how often each symbol of the whole hooked surface was called."""
+    return trace.coverage(labelled_calls(spark, d), surface.surface(spark))
+
+
 @query("pag5_hook_semantics", "select event_id, case event_id % 4 when 0 then 'method' when 1 then 'getter' when 2 then 'setter' else 'method' end as kind from events")
 def hook_semantics(spark, d):
     arguments = F.expr("case event_id % 4 when 0 then '[1, 2]' when 1 then '{}' when 2 then '[\"x\"]' else '[]' end")

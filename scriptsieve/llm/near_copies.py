@@ -8,7 +8,8 @@ pair, of those groups and of the rest, is checked on whole sets.
 1. The operator `simhash` gives groups of fingerprints that differ in few bits. Each text is checked against the first of its group.
 2. Min-hashes give candidates for the rest. A text has BANDS keys of ROWS min-hashes; a pair at the limit shares no key with probability
    (1 - 0.8^5)^40, about 1e-7, and closer pairs less. Of each key every text is a candidate with the least text that has it, so a key that very
-   many texts hold makes one link each; candidates that step 1 has put in one part aren't checked again.
+   many texts hold makes one link each. One candidate of each text is checked at a time, and those that links have put in one part aren't
+   checked at all; after AHEAD rounds all that are left are checked.
 3. Where the links that held leave a group of candidates in more than one part, the parts are compared with each other: pairs that share one of
    their rarest shingles (which a pair at the limit can't avoid) are checked until no two parts are linked.
 
@@ -35,6 +36,8 @@ from .simhash import groups as fingerprint_groups
 #: The least similarity of a link, as a fraction.
 NEAR = (4, 5)
 BANDS, ROWS = 40, 5
+#: Rounds in which one candidate of each set is checked, before all that are left.
+AHEAD = 2
 _FACTORS = np.random.default_rng(9).integers(1, 1 << 62, (BANDS * ROWS, 1), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.random.default_rng(10).integers(1, 1 << 62, (1, ROWS), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -189,6 +192,11 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     wanted = sets_of.join(candidates.select(F.col("node").alias("fp")), "fp").select("fp", "doc")
     sets = cut(_sets(df, wanted, id_col, text_col, words))
     held = cut(_checked(stars, sets))
+    for _ in range(AHEAD):  # a candidate of each set at a time, as most of the others are then in one part
+        pairs = cut(_apart(pairs, cut(components(held))))
+        now = cut(pairs.groupBy("u").agg(F.min("v").alias("v")))
+        held = held.unionByName(cut(_checked(now, sets)))
+        pairs = pairs.join(now, ["u", "v"], "left_anti")
     held = held.unionByName(cut(_checked(_apart(pairs, cut(components(held))), sets)))
     parts = candidates.select("node", F.col("component").alias("candidate")).join(components(held).withColumnRenamed("component", "part"), "node", "left")
     parts = cut(parts.withColumn("part", F.coalesce("part", "node")))

@@ -51,9 +51,9 @@ from .suffixes import pack, unpack
 MU2, MU3 = 1000.0, 20.0
 FOLDS, HELD = 7, 2
 #: Tokens of a batch and of a shard, about.
-BATCH, SHARD = 3 << 19, 3 << 19
+BATCH, SHARD = 1 << 21, 1 << 21
 #: Tokens from which a word or pair is dealt over several shards: this many, or this share of all.
-HOT, HOT_SHARE = SHARD // 64, 1 << 20
+HOT, HOT_SHARE = SHARD // 32, 1 << 20
 END_HASH = np.uint64(0x0E4D0E4D0E4D0E4D)
 START, UNKNOWN, END, WORDS = 0, 1, 2, 1 << 32
 _BASE = 0x9E6C63D0876A9A47 | 1
@@ -503,7 +503,7 @@ def _write_batches(folder: str, train: bool):
             name = f"batch-{part:06d}-{k:06d}"
             flags = np.array([(i is None, train and not held_out(i)) for i in ids], np.uint8)
             draft = files.Draft(folder, name)
-            draft.write(pack(np.array([i or 0 for i in ids], np.int64), flags[:, 0], flags[:, 1], lengths, words, place.astype(np.uint32)))
+            draft.write(pack(np.array([i or 0 for i in ids], np.int64), flags[:, 0], flags[:, 1], lengths, words, place.astype(np.uint32), level=3))
             draft.commit()
             row = {"batch": [name], "tokens": [len(h)]}
             held, ids, size, k = [], [], 0, k + 1

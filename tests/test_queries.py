@@ -36,3 +36,14 @@ def test_query_equals_sql(spark, sf_dir, con, name):
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     assert got == rows(names, want.fetchall())
     assert got or name == "none"
+
+
+def test_arithmetic_equals_sql_to_the_last_bit(spark, tmp_path):
+    quantities = [None, 0.0, -0.0, -7.5, 0.005, 12.34, 1e6 / 7, *(float(123457 * k) for k in range(1, 60)), *(10.0**k / 3 for k in range(-160, 155, 5)), 1e151, 1e200, float("nan"), float("inf"), -float("inf")]
+    rates = [None, 0.0, 0.07, 0.1, float("nan")]
+    rows = [(k, 1, q, rates[k % 5], rates[k // 5 % 5]) for k, q in enumerate(quantities)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = sorted(con.execute(queries.ORACLE_SQL["mth1_arithmetic"]).fetchall())
+    assert repr([tuple(r) for r in sorted(queries.QUERIES["mth1_arithmetic"](spark, str(tmp_path)).collect())]) == repr(want)

@@ -11,7 +11,7 @@ lost. The steps, each bounded by a batch of documents or a bucket:
 
 1. Documents are written in batches, compressed, to files of the shared folder, which the later steps read; a document is known by its batch and
    place. Other columns are kept there as Arrow data, so they come back as they were.
-2. Different tokens of a batch's anchors go to buckets by ranges of their hash, with the id of a document that has them. A bucket answers each
+2. Different tokens of a batch's anchors go to buckets by ranges of their hash that hold as many anchors each, with the id of a document that has them. A bucket answers each
    batch, in its order, which tokens two ids have, and which are frequent.
 3. Each shared anchor becomes a suffix with the bytes before it that a window can reach. Copies of one context in a batch are combined: the
    smallest id goes on, the others are covered. Suffixes go to range buckets. There a multikey quicksort by 8-byte tokens brings equal contexts
@@ -323,11 +323,16 @@ def _batch_tokens(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.
     return [at for at, _ in found], tokens, np.repeat(np.arange(len(texts)), [len(at) for at, _ in found])
 
 
-def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
-    return (tokens >> np.uint64(16)).astype(np.int64) * buckets >> 32
+def _token_splitters(buckets: int) -> np.ndarray:
+    """Ranges of tokens (48 bits) that hold as many anchors each. An anchor has the least hash of a window, so small hashes are frequent: the share q**REACH * (1 + REACH * (1 - q)) of
+    the tokens with a hash of 1 - q are anchors, which are spread by the integral of this."""
+    x = np.linspace(0, 1, (1 << 20) + 1)
+    n, q = REACH + 2, 1 - x
+    part = 1 - q ** (n - 1) * (n - REACH * q) / 2
+    return (np.interp(np.arange(1, buckets) / buckets, part, x) * 2.0**48).astype(np.uint64)
 
 
-def _token_rows(folder: str, buckets: int):
+def _token_rows(folder: str, splitters: np.ndarray):
     """Step 2, map: the different tokens of a batch, whether several ids have them, one of these, and how many documents."""
 
     def run(batches):
@@ -345,7 +350,7 @@ def _token_rows(folder: str, buckets: int):
                 new = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (doc[1:] != doc[:-1])))
                 n = np.add.reduceat(new.astype(np.uint32), first, dtype=np.uint32)
                 out = []
-                for b, (t, one, several, count) in _cut(_bucket(tokens[first], buckets), tokens[first], least, (least != most).astype(np.uint8), n):
+                for b, (t, one, several, count) in _cut(np.searchsorted(splitters, tokens[first], "right"), tokens[first], least, (least != most).astype(np.uint8), n):
                     kinds, place = np.unique(one, return_inverse=True)
                     out.append((b, name, pack(np.diff(t, prepend=np.uint64(0)), kinds, place.astype(np.uint32), several, count)))
                 yield _rows(out)
@@ -543,7 +548,7 @@ def _judged(df: DataFrame, id_col: str, text_col: str, rest: list[Column], ddl:
     def by_batch(rows: DataFrame) -> DataFrame:
         return rows.repartition(tasks, "batch").sortWithinPartitions("batch", "bucket").select("batch", "bucket", "data")
 
-    tokens = by_bucket(batches.mapInArrow(_token_rows(folder, buckets), _MOVE_DDL), "batch").select("bucket", "batch", "data")
+    tokens = by_bucket(batches.mapInArrow(_token_rows(folder, _token_splitters(buckets)), _MOVE_DDL), "batch").select("bucket", "batch", "data")
     answers = by_batch(tokens.mapInArrow(_token_answers(frequent), _MOVE_DDL))
     suffixes = by_bucket(answers.mapInArrow(_suffix_rows(folder, splitters, buckets), _KINDS_DDL), "kind", "batch")
     spans = suffixes.select("bucket", "kind", "batch", "data").mapInArrow(_span_rows, _MOVE_DDL)

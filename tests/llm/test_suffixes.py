@@ -134,3 +134,11 @@ def test_long_texts(spark):
     rows = [(2, text), (1, text[100_000:300_000]), (3, "x" * 300_000), (4, "x" * 200_000)]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {2: (400_000, 200_000, 1), 1: (200_000, 0, 0), 3: (300_000, 0, 0), 4: (200_000, 200_000, 1)}
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 112, 3000])
+def test_buckets_of_tokens_are_even(buckets):
+    _, h = suffixes.anchors(np.random.default_rng(buckets).integers(32, 127, 2_000_000, dtype=np.uint8))
+    splitters = suffixes._token_splitters(buckets)
+    sizes = np.bincount(np.searchsorted(splitters, h >> np.uint64(16), "right"), minlength=buckets)
+    assert len(sizes) == buckets and sizes.max() < 1.2 * len(h) / buckets + 60

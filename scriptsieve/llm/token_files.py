@@ -47,6 +47,8 @@ NORMALIZER = ["NFC", "Replace", "Lowercase"]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words whose lower case and pre-tokens are the same in Python: ASCII and the letters of Latin-1 that lower-case one to one.
 SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: Of these, letters and then punctuation, two pre-tokens at most.
+LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
@@ -66,8 +68,8 @@ class WordEncoder:
         self.words = Memo(self._word if self._simple(spec) else self._library, 400_000)
         if self._simple(spec):
             self.merges = self.library.model
-            self.starts = tuple({t["content"][:2] for t in spec["added_tokens"]})
-            self.pre_tokens = Memo(self._pre_token, 400_000)
+            self.special = re.compile("|".join(sorted({re.escape(t["content"][:2]) for t in spec["added_tokens"]})) or "(?!)").search
+            self.pre_tokens = Memo(self._pre_token, 600_000)
 
     @staticmethod
     def _simple(spec: dict) -> bool:
@@ -93,7 +95,12 @@ class WordEncoder:
     def _word(self, word: str) -> bytes:
         if word.isascii() and word.isalpha():
             return self.pre_tokens[word.lower()]
-        if SIMPLE.fullmatch(word) and not any(s in word for s in self.starts):
+        if self.special(word):
+            return self._library(word)
+        if found := LETTERS.fullmatch(word):
+            letters, rest = found.groups()
+            return self.pre_tokens[letters.lower()] + self.pre_tokens[rest] if rest else self.pre_tokens[letters.lower()]
+        if SIMPLE.fullmatch(word):
             return b"".join(map(self.pre_tokens.__getitem__, PRE_TOKENS.findall(word.lower())))
         return self._library(word)
 

@@ -137,3 +137,15 @@ def test_query(spark, sf_dir):
         assert got[d.doc_id] == (d.doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert len(got) == len(docs)
+
+
+def test_words_of_letters_and_punctuation_are_cut_at_once():
+    coder = token_files.encoder(vocabularies.path("word_bpe_49k.json", None))
+    looked, cut = coder.pre_tokens, token_files.PRE_TOKENS
+    for word in ("Übung,", "maïs...%%%", "it's", "l'été,", "a'", "abc'd", "x<|", "x<|endoftext|>", "<|im_end|>y", "a1", "a×b", "÷a", "Ab!!", "é", "ÿ~", "ŒUVRE,"):
+        assert coder._word(word) == coder._library(word), word
+    try:
+        token_files.PRE_TOKENS = None  # such words don't need the expression
+        assert coder._word("Naïveté?!") == looked["naïveté"] + looked["?!"]
+    finally:
+        token_files.PRE_TOKENS = cut

@@ -22,7 +22,7 @@ A middle word with a fraction of a shard's tokens or more is dealt by b w, and a
 then can't know, are sent to all: no more than 2**20 words and 2**20 pairs, as each has that share of all tokens or more. N, V and the
 number of training texts are the only other figures that reach the driver. Words are known by 64-bit hashes.
 
-`fit` gives the model and the scores of the texts it was asked for; `score` asks a model for other texts. A null text counts as empty (the
+`fit` gives the model and the scores of the texts it was asked for; `score` asks a model for other texts; `scores` gives the scores alone and keeps no shard of the n-gram levels. A null text counts as empty (the
 end alone), a null id trains as the text "null"; rows that repeat are each returned and each train; an empty table gives no rows and an
 empty model. A text of any length is whole in one batch. Other columns are not read.
 """
@@ -52,6 +52,8 @@ MU2, MU3 = 1000.0, 20.0
 FOLDS, HELD = 7, 2
 #: Tokens of a batch and of a shard, about.
 BATCH, SHARD = 1 << 21, 1 << 21
+#: Words of a batch that its files have by frequency.
+FREQUENT = 4096
 #: Tokens from which a word or pair is dealt over several shards: this many, or this share of all.
 HOT, HOT_SHARE = SHARD // 32, 1 << 20
 END_HASH = np.uint64(0x0E4D0E4D0E4D0E4D)
@@ -459,6 +461,10 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(("null" if doc_id is None else str(doc_id)).encode()) % FOLDS == HELD
 
 
+def _by_count(counts: np.ndarray) -> np.ndarray:
+    return np.argsort(-counts, kind="stable")
+
+
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)).astype(np.int64) * shards) >> 32
 
@@ -489,7 +495,7 @@ def _runs(batches) -> Iterator[tuple[object, list[tuple]]]:
 
 
 def _write_batches(folder: str, train: bool):
-    """Texts (id, data) as files of about BATCH tokens: ids, which are null, which train, tokens of each, different words, tokens as places among them."""
+    """Texts (id, data) as files of about BATCH tokens: ids, which are null, which train, tokens of each, different words, tokens as places among them; frequent words come first, so that they compress."""
     schema = pa.schema([("batch", pa.string()), ("tokens", pa.int64())])
 
     def run(batches):
@@ -499,11 +505,14 @@ def _write_batches(folder: str, train: bool):
         def ended():
             nonlocal held, ids, size, k
             h, lengths = (np.concatenate(x) for x in zip(*held))
-            words, place = np.unique(h, return_inverse=True)
+            words, place, n = np.unique(h, return_inverse=True, return_counts=True)
+            top = _by_count(n)[:FREQUENT].astype(np.uint32)
+            code = np.arange(len(top), len(top) + len(words), dtype=np.uint32)
+            code[top] = np.arange(len(top))
             name = f"batch-{part:06d}-{k:06d}"
             flags = np.array([(i is None, train and not held_out(i)) for i in ids], np.uint8)
             draft = files.Draft(folder, name)
-            draft.write(pack(np.array([i or 0 for i in ids], np.int64), flags[:, 0], flags[:, 1], lengths, words, place.astype(np.uint32), level=3))
+            draft.write(pack(np.array([i or 0 for i in ids], np.int64), flags[:, 0], flags[:, 1], lengths, words, code[place], top, level=3))
             draft.commit()
             row = {"batch": [name], "tokens": [len(h)]}
             held, ids, size, k = [], [], 0, k + 1
@@ -528,13 +537,19 @@ def _batch(folder: str, name: str) -> list[np.ndarray]:
         return unpack(f.read())
 
 
+def _texts(folder: str, name: str) -> list[np.ndarray]:
+    """What _write_batches wrote, tokens as places among the words."""
+    *rest, words, code, top = _batch(folder, name)
+    return [*rest, words, np.concatenate((top, np.arange(len(words), dtype=np.uint32)))[code]]
+
+
 def _word_requests(folder: str, shards: int):
     """The different words of each batch by shard, with their counts in training texts and the number of these."""
 
     def run(batches):
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                _, _, train, lengths, words, place = _batch(folder, name)
+                _, _, train, lengths, words, place = _texts(folder, name)
                 counts = np.bincount(place[np.repeat(train, lengths) > 0], minlength=len(words))
                 texts = int(train.sum())
                 rows = []
@@ -604,7 +619,7 @@ def _pair_counts(folder: str, hashes: np.ndarray):
     def run(batches):
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                _, _, train, lengths, words, place = _batch(folder, name)
+                _, _, train, lengths, words, place = _texts(folder, name)
                 at = np.minimum(np.searchsorted(ordered, words), len(ordered) - 1)
                 w = np.where(ordered[at] == words, order[at] + 1, -1)[place]
                 b = np.concatenate(([0], w[:-1]))
@@ -630,16 +645,17 @@ class _Trigrams:
         self.order = np.argsort(self.shard.astype(np.int32), kind="stable")
 
     def rows(self, train: np.ndarray, kinds: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """Of each shard: the words' ids and counts, and the trigrams as places among them, with how often they train."""
+        """Of each shard: the words' ids and counts, and the trigrams as places among them, with how often they train. Places of w and a are those by falling counts, which compress."""
         n = np.bincount(self.of_token, train, len(self.b)).astype(np.uint32)
-        used, place = np.zeros(len(kinds), bool), np.zeros(len(kinds), np.uint32)
+        used, place, popular = np.zeros(len(kinds), bool), np.zeros(len(kinds), np.uint32), np.zeros(len(kinds), np.uint32)
         for shard, (b, w, a, c) in _cut(self.shard[self.order], self.b[self.order], self.w[self.order], self.a[self.order], n[self.order]):
             for x in (b, w, a):
                 used[x] = True
             own = np.flatnonzero(used)
             used[own] = False
             place[own] = np.arange(len(own), dtype=np.uint32)
-            yield shard, pack(np.diff(kinds[own], prepend=0), counts[own], np.diff(place[b], prepend=np.uint32(0)), place[w], place[a], c)
+            popular[own[_by_count(counts[own])]] = np.arange(len(own), dtype=np.uint32)
+            yield shard, pack(np.diff(kinds[own], prepend=0), counts[own], np.diff(place[b], prepend=np.uint32(0)), popular[w], popular[a], c)
 
 
 def _trigrams(folder: str, model: Model, hot):
@@ -647,7 +663,7 @@ def _trigrams(folder: str, model: Model, hot):
 
     def run(batches):
         for name, rows in _runs(batches):
-            batch = _batch(folder, name)
+            batch = _texts(folder, name)
             _, _, train, lengths, _, place = batch
             rank, kinds, counts = _words_of(batch, rows, model.shards)
             w = rank[place]
@@ -663,8 +679,8 @@ def _trigrams(folder: str, model: Model, hot):
     return run
 
 
-def _trigram_answers(model: Model, hot, fitted: bool):
-    """A shard of the n-gram levels: built, unless it is there, and asked."""
+def _trigram_answers(model: Model, hot, fitted: bool, keep: bool):
+    """A shard of the n-gram levels: built, unless it is there, and asked; keep: its file stays as a part of the model."""
 
     def run(batches):
         for shard, asked in _runs(batches):
@@ -676,15 +692,19 @@ def _trigram_answers(model: Model, hot, fitted: bool):
             edges = np.cumsum([0, *map(len, words)]).tolist()
             at = [place[s:e] for s, e in zip(edges[:-1], edges[1:])]
             # Places in a batch's words become places in the shard's.
-            b, w, a = (np.concatenate([x[c(p)] for x, p in zip(at, parts)]) for c in (lambda p: np.cumsum(p[2], dtype=np.uint32), lambda p: p[3], lambda p: p[4]))
+            b = np.concatenate([x[np.cumsum(p[2], dtype=np.uint32)] for x, p in zip(at, parts)])
+            at = [x[_by_count(p[1])] for x, p in zip(at, parts)]
+            w, a = (np.concatenate([x[p[c]] for x, p in zip(at, parts)]) for c in (3, 4))
             b, w, a, of = distinct(b, w, a, len(ids))
             keys = Keys(b, w, a, np.bincount(of, np.concatenate([p[5] for p in parts]), len(b)).astype(np.int64))
             edges = np.cumsum([0, *(len(p[5]) for p in parts)]).tolist()
             del parts, words, place, at
             name = f"trie-{shard:07d}"
             if not fitted:
-                _to_file(model.folder, name, Trie.built(ids, c_w, keys.where(keys.count > 0), model.total, model.mu2, model.mu3, hot.value))
-            if files.there(f"{model.folder}/{name}"):
+                arrays = Trie.built(ids, c_w, keys.where(keys.count > 0), model.total, model.mu2, model.mu3, hot.value)
+                if keep:
+                    _to_file(model.folder, name, arrays)
+            elif files.there(f"{model.folder}/{name}"):
                 arrays = _from_file(model.folder, name)
             else:
                 arrays = Trie.built(ids, c_w, keys.where(np.zeros(len(b), bool)), model.total, model.mu2, model.mu3, hot.value)
@@ -703,7 +723,7 @@ def _sums(folder: str, shards: int, hot, start: float):
 
     def run(batches):
         for name, rows in _runs(batches):
-            ids, none, _, lengths, _, place = _batch(folder, name)
+            ids, none, _, lengths, _, place = _texts(folder, name)
             known, base, rank, kinds = _batch(folder, f"{name}-words")
             found = _Trigrams(lengths, np.cumsum(rank)[place], kinds, hot.value, shards)
             values = np.empty(len(found.order), np.int32)
@@ -716,7 +736,7 @@ def _sums(folder: str, shards: int, hot, start: float):
     return run
 
 
-def _asked(df: DataFrame, id_col: str, text_col: str, model: Model | None, mu2: float, mu3: float) -> tuple[Model, DataFrame]:
+def _asked(df: DataFrame, id_col: str, text_col: str, model: Model | None, mu2: float, mu3: float, keep: bool = True) -> tuple[Model, DataFrame]:
     spark = df.sparkSession
     small_batches(spark)
     folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
@@ -753,7 +773,7 @@ def _asked(df: DataFrame, id_col: str, text_col: str, model: Model | None, mu2:
         model.save()
     known = spark.sparkContext.broadcast(model.hot)  # bounded by HOT_SHARE
     asked = by_shard(answers.mapInArrow(_trigrams(folder, model, known), _MOVE_DDL))
-    found = by_batch(asked.mapInArrow(_trigram_answers(model, known, fitted), _MOVE_DDL))
+    found = by_batch(asked.mapInArrow(_trigram_answers(model, known, fitted, keep), _MOVE_DDL))
     sums = found.mapInArrow(_sums(folder, shards, known, math.log10(model.texts + model.mu3)), "id long, n_tokens long, n_known long, base_score double, score double")
     held = F.pmod(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("null")).cast("binary")), F.lit(FOLDS)) == HELD
     return model, sums.select(F.col("id").alias(id_col), held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
@@ -772,7 +792,8 @@ def score(model: Model, df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu2: float = MU2, mu3: float = MU3) -> DataFrame:
-    return fit(df, id_col, text_col, mu2, mu3)[1]
+    """The rows of `fit` alone: shards of the n-gram levels aren't written, as each is asked only by the task that builds it."""
+    return _asked(df, id_col, text_col, None, mu2, mu3, keep=False)[1]
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
 import collections
 import math
+import pathlib
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scriptsieve.llm import ngrams
+from scriptsieve.llm.common import shared_folder
 
 
 def words(text):
@@ -142,3 +145,25 @@ def test_nulls_repeats_and_empty(spark):
     with_null = df.unionByName(df.limit(1).selectExpr("cast(null as long) as doc_id", "text", "score"))
     assert ngrams.scores(with_null).where("doc_id is null").count() == 1
     assert ngrams.scores(df.limit(0)).count() == 0
+
+
+def test_scores_alone_keep_no_tries(spark):
+    df = spark.createDataFrame([(k, f"a b {k % 3} c a b") for k in range(40)], "doc_id long, text string")
+    shards = lambda: {str(p) for p in pathlib.Path(shared_folder(spark).removeprefix("file:")).glob("lm-*/trie-*")}
+    before = shards()
+    got = sorted(map(tuple, ngrams.scores(df).collect()))
+    assert shards() == before
+    model, own = ngrams.fit(df)
+    assert sorted(map(tuple, own.collect())) == got and shards() > before
+
+
+def test_frequent_words_come_first_in_files(tmp_path, monkeypatch):
+    monkeypatch.setattr(ngrams, "FREQUENT", 2)
+    monkeypatch.setattr(ngrams.TaskContext, "get", lambda: type("", (), {"partitionId": lambda self: 0})())
+    texts = [b"x y y z", b"y u", b""]
+    (row,) = ngrams._write_batches(str(tmp_path), True)([pa.RecordBatch.from_pydict({"id": [1, 2, None], "data": texts})])
+    h, lengths = ngrams.tokens(texts, ngrams.Hasher())
+    *_, found, words, place = ngrams._texts(str(tmp_path), row.column(0)[0].as_py())
+    assert (words[place] == h).all() and (found == lengths).all() and (np.diff(words) > 0).all()
+    code = ngrams._batch(str(tmp_path), row.column(0)[0].as_py())[5]
+    assert np.bincount(code)[:2].sum() == 6  # of 9 tokens: y and the end

@@ -67,6 +67,25 @@ def test_nulls_repeats_and_empty(spark):
     assert sorted(r.doc_id or 0 for r in near_copies.one_of_each(df).collect()) == [0, 0, 1, 1, 3, 5]
     assert near_copies.one_of_each(df.limit(0)).count() == 0
 
+
+def test_finished_steps_leave_no_shuffle_files(spark):
+    """A group of near copies takes many steps; what one has dealt out is gone when it ends, not when the driver's garbage is collected."""
+    rng, base = random.Random(8), [f"w{i}" for i in range(60)]
+    texts = []
+    for k in range(200):
+        words = list(base)
+        for _ in range(k % 6):
+            words[rng.randrange(60)] = f"v{rng.randrange(10**6)}"
+        texts.append((k, " ".join(words)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    found = near_copies.groups(df)
+    left = {f.split("_")[1] for f in files() - before}
+    assert len(left) <= 2, f"files of {len(left)} shuffles"
+    assert {r.doc: r.component for r in found.collect()} == brute_groups(dict(texts))
+
+
 def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 7), (2, "a b c d e f", 8)], "doc_id long, text string, First int")
     assert [tuple(r) for r in near_copies.one_of_each(df).collect()] == [(1, "a b c d e f", 7)]

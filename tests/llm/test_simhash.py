@@ -81,6 +81,17 @@ def test_forest_and_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("alone", [5, 40, 1 << 19])
+def test_components_of_more_links_than_a_task_joins(spark, monkeypatch, alone):
+    monkeypatch.setattr("scriptsieve.llm.components.ALONE", alone)
+    rng = random.Random(alone)
+    pairs = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(150)] + [(9000, k) for k in range(8000, 8300)] + [(k, k + 1) for k in range(-60, -2)]
+    want = brute_components({x for p in pairs for x in p}, pairs)
+    df = spark.createDataFrame([*pairs, *pairs[:50], (None, 3), (3, None), (77777, 77777)], "u long, v long").repartition(7)
+    got = [tuple(r) for r in components(df).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == {n: want[n] for n in {x for p in pairs if p[0] != p[1] for x in p}}
+
+
 def test_query_equals_brute_force(spark, sf_dir):
     sf_dir = sf_dir.replace("sf0.001", "sf0.01")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()

@@ -589,7 +589,8 @@ def json_values(spark, d):
 
 @query("mth1_arithmetic", "select l_orderkey, l_linenumber, round(pi() * l_quantity * l_quantity, 6) as area, case when l_discount = 0 then 'inf'::double else l_tax * 100 / l_discount end as pct from lineitem")
 def arithmetic(spark, d):
-    pct = F.when(F.col("l_discount") == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.col("l_tax") * 100, F.col("l_discount")))
+    # The quotient is one of doubles in the SQL, whatever the columns are; Spark would round that of decimals to a scale.
+    pct = F.when(F.col("l_discount") == 0, F.lit(float("inf"))).otherwise(F.try_divide((F.col("l_tax") * 100).cast("double"), F.col("l_discount").cast("double")))
     area = number_functions.rounded(F.pi() * F.col("l_quantity") * F.col("l_quantity"), 6)  # in the SQL's order: other orders differ in the last bit
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", area.alias("area"), pct.alias("pct"))
 

@@ -47,3 +47,11 @@ def test_arithmetic_equals_sql_to_the_last_bit(spark, tmp_path):
     con.execute(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
     want = sorted(con.execute(queries.ORACLE_SQL["mth1_arithmetic"]).fetchall())
     assert repr([tuple(r) for r in sorted(queries.QUERIES["mth1_arithmetic"](spark, str(tmp_path)).collect())]) == repr(want)
+
+
+def test_arithmetic_on_decimals_equals_sql_to_the_last_bit(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("create table lineitem as select range as l_orderkey, 1::integer as l_linenumber, (range % 50)::decimal(15, 2) as l_quantity, (range % 11 / 100)::decimal(15, 2) as l_discount, (range % 9 / 100)::decimal(15, 2) as l_tax from range(500)")
+    con.execute(f"copy lineitem to '{tmp_path}/lineitem.parquet' (format parquet)")
+    want = sorted(con.execute(queries.ORACLE_SQL["mth1_arithmetic"]).fetchall())
+    assert repr([tuple(r) for r in sorted(queries.QUERIES["mth1_arithmetic"](spark, str(tmp_path)).collect())]) == repr(want)

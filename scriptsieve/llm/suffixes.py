@@ -17,7 +17,8 @@ lost. The steps, each bounded by a batch of documents or a bucket:
    smallest id goes on, the others are covered. Suffixes go to range buckets. There a multikey quicksort by 8-byte tokens brings equal contexts
    together (all but the smallest id are covered whole), and contexts that share the leading token are compared window by window.
    A frequent token, which would bring very many contexts to one bucket, is instead taken apart into the windows around it: each goes by its hash
-   with the batch's smallest id, so that a bucket has no more rows of a window than there are batches.
+   with the batch's smallest id, so that a bucket has no more rows of a window than there are batches (of a batch with very many different windows,
+   parts). They are met part by part, and spans that touch are joined at once, so that a batch of nothing but frequent tokens takes no more memory.
 4. Covered spans return to the batches and are cut out.
 
 Windows are compared by 64-bit polynomial hashes; everything else by bytes. A null text counts as empty. A null id counts as 2**63 - 1, larger than
@@ -45,8 +46,8 @@ from .common import forget, partitions, shared_folder, small_batches, spread, ta
 
 LENGTH, TOKEN = 50, 16
 REACH = LENGTH - TOKEN
-#: Bytes of text for a bucket, anchors in the splitters' sample at most, suffixes that are combined at once, bytes of text of a batch.
-BUCKET_BYTES, SAMPLE, COMBINE, HOLD = 8 << 20, 100_000, 100_000, 8 << 20
+#: Bytes of text for a bucket, anchors in the splitters' sample at most, suffixes that are combined at once, windows that are met at once, bytes of text of a batch.
+BUCKET_BYTES, SAMPLE, COMBINE, MEET, HOLD = 8 << 20, 100_000, 100_000, 1 << 19, 8 << 20
 #: Documents from which a token is frequent: a 64th of all, within these limits. It decides how windows travel, not what is found.
 FREQUENT = (1024, 1 << 16)
 LAST_ID = np.iinfo(np.int64).max
@@ -406,22 +407,30 @@ def _suffix_rows(folder: str, splitters: np.ndarray, buckets: int):
                 raise ValueError(f"the answers aren't those of {name}")
             shared, often, own = shared[token], often[token], []
             edges = np.append(0, np.cumsum(list(map(len, places))))
-            held, wide, size = [], [], 0
+            held, wide, size, windows = [], [], 0, 0
             for k, at in enumerate(places):
                 s, o = (flags[edges[k] : edges[k + 1]] for flags in (shared, often))
                 data = np.frombuffer(texts[k], np.uint8)
                 if (s & ~o).any():
                     held.append((k, at[s & ~o], *contexts(data, at[s & ~o])))
                     size += len(held[-1][1])
-                if o.any():
-                    wide.append((k, *_window_hashes(data, at[o])))
+                for part in range(0, int(o.sum()), MEET // (REACH + 1)):
+                    start, h = _window_hashes(data, at[o][part : part + MEET // (REACH + 1)])
+                    wide.append((np.full(len(start), k, np.int32), start.astype(np.int32), h))
+                    windows += len(start)
+                    if windows >= MEET:
+                        wide = [_askers(wide, ids, own)]
+                        windows = len(wide[0][0])
+                        if 2 * windows >= MEET:
+                            yield _kinds(_windows_asked(name, *wide[0], ids, buckets))
+                            wide, windows = [], 0
                 if size >= COMBINE:
                     yield _kinds(_combined(name, held, ids, splitters, buckets, own))
                     held, size = [], 0
             if held:
                 yield _kinds(_combined(name, held, ids, splitters, buckets, own))
             if wide:
-                yield _kinds(_windows_asked(name, wide, ids, buckets, own))
+                yield _kinds(_windows_asked(name, *_askers(wide, ids, own), ids, buckets))
             if own:
                 draft = files.Draft(folder, f"{name}-spans")
                 draft.write(pack(*(np.concatenate([x[c] for x in own]) for c in range(3))))
@@ -436,7 +445,7 @@ def _combined(name, held, ids, splitters, buckets, own):
     at, rows, before, after = (np.concatenate([x[c] for x in held]) for c in (1, 2, 3, 4))
     covered, order, _ = combine(rows, before, after, ids[doc])
     k = np.flatnonzero(covered & (before.astype(np.int64) + after >= REACH))
-    own.append((doc[k], (at - before)[k].astype(np.int32), (at + TOKEN + after)[k].astype(np.int32)))
+    own.append(joined(doc[k], (at - before)[k].astype(np.int32), (at + TOKEN + after)[k].astype(np.int32)))
     k = order[~covered[order]]
     lead = np.ascontiguousarray(rows[k][:, REACH : REACH + 8]).view(">u8").reshape(-1).astype(np.uint64)
     out = []
@@ -457,18 +466,29 @@ def _window_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, (h ^ (h >> _32)) * _C[2]
 
 
-def _windows_asked(name, wide, ids, buckets, own):
-    """Windows of a batch: those of its smallest id ask, the others are covered."""
-    doc = np.repeat(np.array([x[0] for x in wide], np.int32), [len(x[1]) for x in wide])
-    start, h = (np.concatenate([x[c] for x in wide]) for c in (1, 2))
-    start = start.astype(np.int32)
+def joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (int32), with those of a document that overlap or touch joined."""
+    place = doc.astype(np.int64) << 32
+    order = np.argsort(place | start, kind="stable")
+    begin, reach = (place | start)[order], np.maximum.accumulate((place | end)[order])
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(begin)), bool), begin[1:] > reach[:-1])))
+    last = np.append(first[1:], len(begin))[: len(first)] - 1
+    return (begin[first] >> 32).astype(np.int32), begin[first].astype(np.int32), reach[last].astype(np.int32)
+
+
+def _askers(wide, ids, own):
+    """Documents, starts and hashes of windows, of each those of the smallest id, by hash; the others are covered."""
+    doc, start, h = (np.concatenate([x[c] for x in wide]) for c in range(3))
     order = np.argsort(h, kind="stable")
-    h, doc, start = h[order], doc[order], start[order]
+    doc, start, h = doc[order], start[order], h[order]
     new = np.concatenate(([True], h[1:] != h[:-1]))
     least = np.minimum.reduceat(ids[doc], np.flatnonzero(new))[np.cumsum(new) - 1] if len(h) else ids[doc]
     covered = ids[doc] > least
-    own.append((doc[covered], start[covered], start[covered] + np.int32(LENGTH)))
-    h, doc, start = h[~covered], doc[~covered], start[~covered]
+    own.append(joined(doc[covered], start[covered], start[covered] + np.int32(LENGTH)))
+    return doc[~covered], start[~covered], h[~covered]
+
+
+def _windows_asked(name, doc, start, h, ids, buckets):
     out = []
     for b, (x, d, a) in _cut((h >> _32).astype(np.int64) * buckets >> 32, h, doc, start):
         used, place = np.unique(d, return_inverse=True)
@@ -490,7 +510,7 @@ def _span_rows(batches):
             for (name, used, _, place, *_), s, e in zip(parts, edges[:-1], edges[1:]):
                 k = np.flatnonzero(hit[s:e])
                 if len(k):
-                    out.append((0, name, pack(used[place[k]], start[s:e][k], end[s:e][k])))
+                    out.append((0, name, pack(*joined(used[place[k]], start[s:e][k], end[s:e][k]))))
             yield _rows(out)
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -142,3 +143,56 @@ def test_buckets_of_tokens_are_even(buckets):
     splitters = suffixes._token_splitters(buckets)
     sizes = np.bincount(np.searchsorted(splitters, h >> np.uint64(16), "right"), minlength=buckets)
     assert len(sizes) == buckets and sizes.max() < 1.2 * len(h) / buckets + 60
+
+
+def frequent_batch(folder, texts):
+    """The spans that step 3 keeps of a batch whose tokens are all frequent, the windows that it asks, and the most memory of the step beside the texts'."""
+    name = "docs-000000-000000"
+    draft = suffixes.files.Draft(str(folder), name)
+    rest = suffixes.pa.table({"c0": range(len(texts))})
+    sink = suffixes.pa.BufferOutputStream()
+    with suffixes.pa.ipc.new_stream(sink, rest.schema) as out:
+        out.write_table(rest)
+    draft.write(suffixes.pack(np.arange(len(texts)), np.array(list(map(len, texts))), np.frombuffer(b"".join(texts), np.uint8), np.frombuffer(sink.getvalue(), np.uint8)))
+    draft.commit()
+    n = len(np.unique(suffixes._batch_tokens(texts)[1]))
+    answer = suffixes.pack(np.packbits(np.ones(n, bool)), np.packbits(np.ones(n, bool)), np.array([n]))
+    rows = suffixes.pa.RecordBatch.from_pydict({"batch": [name], "bucket": [0], "data": [answer]})
+    tracemalloc.start()
+    asked = sum(len(suffixes.unpack(data)[2]) for batch in suffixes._suffix_rows(str(folder), np.zeros(0, np.uint64), 4)([rows]) for data in batch.column(3).to_pylist())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    with suffixes.files.read(f"{folder}/{name}-spans") as f:
+        return suffixes.unpack(f.read()), asked, most
+
+
+def test_a_batch_of_frequent_tokens_takes_bounded_memory(tmp_path):
+    text = np.random.default_rng(1).integers(97, 123, 10_000, np.uint8).tobytes()
+    texts = [text] * 400
+    (doc, start, end), asked, most = frequent_batch(tmp_path, texts)
+    assert len(doc) <= 10 * len(texts) and asked == len(text) - 49
+    for k in range(len(texts)):
+        kept = suffixes.kept_bytes(text, start[doc == k], end[doc == k])[0] if (doc == k).any() else text
+        assert kept == (b"" if k else text)
+    assert most < 40 * sum(map(len, texts))
+
+
+def test_different_windows_of_frequent_tokens_are_asked_in_parts(tmp_path, monkeypatch):
+    monkeypatch.setattr(suffixes, "MEET", 5000, raising=False)
+    texts = [np.random.default_rng(k).integers(97, 123, 4000, np.uint8).tobytes() for k in (1, 2, 3, 2)]
+    (doc, start, end), asked, _ = frequent_batch(tmp_path, texts)
+    found = {k: suffixes.kept_bytes(texts[k], start[doc == k], end[doc == k])[0] for k in set(doc.tolist())}
+    assert asked >= 3 * 3951 and set(found) <= {3}  # what a part could not tell, its bucket does
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_joined_spans_are_the_same_bytes_and_runs(seed):
+    rng = np.random.default_rng(seed)
+    doc, start = rng.integers(0, 6, 200).astype(np.int32), rng.integers(0, 900, 200).astype(np.int32)
+    end = start + rng.integers(1, 20, 200).astype(np.int32)
+    text = rng.integers(0, 256, 1000, np.uint8).tobytes()
+    d, s, e = suffixes.joined(doc, start, end)
+    for k in range(6):
+        assert suffixes.kept_bytes(text, s[d == k], e[d == k]) == suffixes.kept_bytes(text, start[doc == k], end[doc == k])
+        assert (d == k).sum() == suffixes.kept_bytes(text, start[doc == k], end[doc == k])[1]
+    assert [len(x) for x in suffixes.joined(doc[:0], start[:0], end[:0])] == [0, 0, 0]

@@ -149,3 +149,27 @@ def test_words_of_letters_and_punctuation_are_cut_at_once():
         assert coder._word("Naïveté?!") == looked["naïveté"] + looked["?!"]
     finally:
         token_files.PRE_TOKENS = cut
+
+
+def test_plain_texts_are_merged_together_without_the_library():
+    library, coder = Tokenizer.from_file(FILE), token_files.WordEncoder(FILE)
+    coder.library = coder.merges = coder.special = None
+    rng = random.Random(4)
+    texts = ["", " ", "'", "Don't WE'LL 'sabc \"'s a''s 9's éa's x's's v'e", "12a 3", "ÀÖØß ÿ" * 3, "aaaaaaa thththe " * 9, *("".join(rng.choices("etaoinshrdlu bcdéüßÄ\n'.,0", k=rng.randint(1, 300))) for _ in range(400))]
+    got = [np.frombuffer(ids, coder.kind).tolist() for ids in coder.encode_all(texts)]
+    assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert max(map(len, coder.runs)) <= 64
+
+
+def test_merges_of_words_of_all_lengths():
+    coder, rng = token_files.encoder(FILE), random.Random(5)
+    words = ["".join(rng.choices("etaoinshrdlu" * 2 + "bcdéü漢", k=n)) for n in range(1, 65) for _ in range(20)] + [w * n for w in ("a", "th", "the") for n in range(1, 22)]
+    assert coder.together.ids([w.encode() for w in words]) == [coder._pre_token(w) for w in words] and coder.together.ids([]) == []
+
+
+@pytest.mark.parametrize("size", [1, 7, 60])
+def test_texts_are_cut_by_slices(monkeypatch, size):
+    monkeypatch.setattr(token_files, "SLICE", size)
+    library, coder, rng = Tokenizer.from_file(FILE), token_files.encoder(FILE), random.Random(size)
+    texts = ["", "", "\t", "a" * 70 + " b", "漢字　x\x1cy é × <|endoftext|>z, it's", *("".join(rng.choices("abé'sl \n 漢×\x1c\x85<|.,1S", k=rng.randint(0, 90))) for _ in range(300)), ""]
+    assert [encoded(coder, t) for t in texts] == [np.frombuffer(ids, coder.kind).tolist() for ids in coder.encode_all(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]

@@ -220,7 +220,12 @@ class WordEncoder:
 
     def _run(self, run: bytes) -> bytes:
         """The ids of what _cut finds, alone: white space, a pre-token or an odd word."""
-        return b"" if run.isspace() else self._by_word(run.decode("utf-8", "surrogatepass")) if self.odd(run) else self._pre_token(run.decode())
+        if run.isspace():
+            return b""
+        text = run.decode("utf-8", "surrogatepass")
+        if not self.odd(run):
+            return self._pre_token(text)
+        return self._by_word(text) if CONTROL.search(text) or len(text.split()) > 1 else self._word(text)
 
     def _cut(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Where white space, pre-tokens and odd words start in UTF-8, and its bytes in lower case, but for odd words."""
@@ -244,10 +249,15 @@ class WordEncoder:
             odd = np.append(odd, np.flatnonzero((raw[:-1] == a) & (raw[1:] == b)))
         if len(odd):
             white = np.concatenate(([-1], np.flatnonzero(kinds == SPACE), [len(raw)]))
-            for k in np.unique(np.searchsorted(white, odd)).tolist():
-                lo, hi = int(white[k - 1]) + 1, int(white[k])
-                first[lo + 1 : hi] = False
-                lower[lo:hi] = raw[lo:hi]
+            ends = np.zeros(len(white), bool)
+            ends[np.searchsorted(white, odd)] = True
+            k = np.flatnonzero(ends)
+            edges = np.zeros(len(raw) + 1, np.int8)
+            edges[white[k - 1] + 1], edges[white[k]] = 1, -1
+            within = np.cumsum(edges[:-1], dtype=np.int8) > 0
+            first &= ~within
+            first[white[k - 1] + 1] = True
+            np.copyto(lower, raw, where=within)
         return np.flatnonzero(first), lower
 
     def _slice(self, texts: list[str]) -> list[bytes]:
